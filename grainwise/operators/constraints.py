@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grain import as_list
@@ -31,9 +31,12 @@ class TableRules:
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Surplus rows under a unique key: rows minus distinct keys."""
-    per_key = df.groupBy(*as_list(keys)).agg(F.count("*").alias("n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+    """Rows a key would reject: all but one per value, and any with a NULL in it."""
+    keys = as_list(keys)
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    has_null = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    surplus = F.when(has_null, F.col("_n")).otherwise(F.col("_n") - 1)
+    return per_key.agg(F.coalesce(F.sum(surplus), F.lit(0)).alias("violations"))
 
 
 def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:

@@ -52,11 +52,11 @@ def keep_latest(
 
 def duplicate_profile(df: DataFrame, key: str) -> DataFrame:
     """Rows, distinct keys and surplus rows of a table that has no unique key."""
-    per_key = df.groupBy(key).agg(F.count("*").alias("n"))
+    per_key = df.groupBy(key).agg(F.count("*").alias("_n"))
     return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.count(key).alias("distinct_keys"),
-        F.count_if(F.col("n") > 1).alias("repeated_keys"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"),
-        F.coalesce(F.max("n"), F.lit(0)).alias("max_per_key"),
+        F.count_if(F.col("_n") > 1).alias("repeated_keys"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("surplus_rows"),
+        F.coalesce(F.max("_n"), F.lit(0)).alias("max_per_key"),
     )
