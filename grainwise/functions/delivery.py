@@ -23,8 +23,13 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    """Exact elapsed microseconds, safe on zone-less timestamps."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Exact elapsed microseconds between zone-less timestamps.
+
+    ``timestampdiff`` would read both in the session time zone and lose or gain
+    an hour across a clock change; subtraction does not.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("long")
 
 
 def days_between(start: Column, end: Column) -> Column:

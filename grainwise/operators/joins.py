@@ -23,14 +23,16 @@ def hot_keys(df: DataFrame, column: str, min_share: float = HOT_SHARE, min_rows:
     One scan of one column into a frequent-items sketch of fixed size; no
     shuffle of the keys. The answer only steers how a join is executed, never
     what it returns, so the sketch error is harmless. At most ``HOT_LIMIT``
-    keys come back to the driver.
+    keys come back to the driver; None stands for NULL.
     """
     row = df.agg(
         F.count("*").alias("n"),
+        F.count_if(F.col(column).isNull()).alias("nulls"),
         F.expr(f"approx_top_k({column}, {HOT_LIMIT}, {SKETCH_ITEMS})").alias("top"),
     ).first()
     floor = max(row["n"] * min_share, min_rows)
-    return [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= floor]
+    heavy = [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= floor]
+    return [*heavy, None] if row["nulls"] >= floor else heavy
 
 
 def join_many_to_one(
@@ -50,13 +52,12 @@ def join_many_to_one(
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported many-to-one join: {how}")
-    hot = list(hot)
-    if not hot:
+    if len(hot) == 0:
         return many.join(one, key, how)
-    if len(hot) > HOT_LIMIT:
+    if len(hot) > HOT_LIMIT + 1:
         raise ValueError(f"{len(hot)} hot keys exceed the broadcast bound of {HOT_LIMIT}")
-    is_hot = F.col(key).isin(hot)
-    stays = F.coalesce(is_hot, F.lit(True))
+    is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False))
+    stays = F.col(key).isNull() | is_hot
     held = many.where(stays).join(F.broadcast(one.where(is_hot)), key, how)
     moved = many.where(~stays).join(one.where(~is_hot), key, how)
     return held.unionByName(moved)

@@ -80,14 +80,12 @@ def payments_by_order(payments: DataFrame, key: str = "order_id") -> DataFrame:
     )
 
 
-def reviews_by_order(reviews: DataFrame) -> DataFrame:
+def reviews_by_order(
+    reviews: DataFrame, columns: Sequence[str] = ("review_score", "review_creation_date")
+) -> DataFrame:
     """The latest answered review of each order; an unanswered one loses."""
-    return keep_latest(
-        reviews,
-        "order_id",
-        ["review_answer_timestamp", "review_creation_date", "review_id"],
-        ["review_score", "review_creation_date"],
-    )
+    order = ["review_answer_timestamp", "review_creation_date", "review_id"]
+    return keep_latest(reviews, "order_id", order, columns)
 
 
 def build_fct_order(raw: RawTables, columns: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
@@ -104,7 +102,7 @@ def build_fct_order(raw: RawTables, columns: Sequence[str] = ORDER_COLUMNS) -> D
     fact = (
         fact.join(items_by_order(raw), "order_id", "left")
         .join(payments_by_order(raw.order_payments), "order_id", "left")
-        .join(reviews_by_order(raw.order_reviews).drop("review_creation_date"), "order_id", "left")
+        .join(reviews_by_order(raw.order_reviews, ["review_score"]), "order_id", "left")
     )
     purchased = F.col("order_purchase_timestamp")
     derived = {
@@ -132,14 +130,16 @@ def build_fct_order_item(
     """
     attributes = [c for c in ORDER_ATTRIBUTES if c in columns]
     fact = raw.order_items.withColumn("item_value", F.col("price") + F.col("freight_value"))
-    if set(columns) & set(PRODUCT_COLUMNS):
-        products = build_dim_product(raw.products, raw.category_translation)
-        fact = join_many_to_one(fact, products, "product_id", "left", raw.hot("order_items", "product_id"))
-        fact = fact.withColumn("product_category", F.coalesce("product_category", F.lit(UNKNOWN_CATEGORY)))
+    # Orders first: a filter on the order then thins out the lines that are
+    # shuffled once more by product.
     if attributes:
         order = fct_order if fct_order is not None else build_fct_order(raw, ["order_id", *attributes])
         order = order.select("order_id", *attributes)
         fact = join_many_to_one(fact, order, "order_id", "inner", raw.hot("order_items", "order_id"))
+    if set(columns) & set(PRODUCT_COLUMNS):
+        products = build_dim_product(raw.products, raw.category_translation)
+        fact = join_many_to_one(fact, products, "product_id", "left", raw.hot("order_items", "product_id"))
+        fact = fact.withColumn("product_category", F.coalesce("product_category", F.lit(UNKNOWN_CATEGORY)))
     return fact.select(*columns)
 
 

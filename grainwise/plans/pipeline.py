@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.calendar import date_dimension
 from ..operators.checks import require_no_failures
+from ..operators.totals import load_audit
 from ..sources.readers import RawTables, land_parquet, load_parquet
 from ..sources.sinks import register_views, write_fact, write_report, write_table
-from .marts import build_dim_customer, build_dim_product, build_dim_seller, build_fct_order, build_fct_order_item
-from .reconciliation import reconcile
+from .marts import (
+    build_dim_customer,
+    build_dim_product,
+    build_dim_seller,
+    build_fct_order,
+    build_fct_order_item,
+    items_by_order,
+    payments_by_order,
+    reviews_by_order,
+)
+from .reconciliation import raw_constraints, reconcile
 from .reports import report_tables
 
 
@@ -46,24 +56,48 @@ def read_marts(spark: SparkSession, root: str) -> Marts:
     return Marts(**{name: spark.read.parquet(f"{root}/{name}") for name in Marts.__dataclass_fields__})
 
 
+def export_csv(marts: Marts, root: str) -> None:
+    """CSV copies of every mart and dimension, for tools that read nothing else."""
+    for name, df in vars(marts).items():
+        write_table(df, f"{root}/{name}", "csv")
+
+
+def sql_views(raw: RawTables, marts: Marts) -> dict[str, DataFrame]:
+    """Raw tables, marts and reports under the names SQL users know them by."""
+    reports = report_tables(marts.fct_order, marts.fct_order_item)
+    return {
+        **raw.by_name(),
+        **vars(marts),
+        "v_reviews_deduped": reviews_by_order(raw.order_reviews),
+        "v_items_by_order": items_by_order(raw),
+        "v_payments_by_order": payments_by_order(raw.order_payments),
+        **{f"v_{name}": df for name, df in reports.items()},
+    }
+
+
 def run(
     spark: SparkSession,
     raw: RawTables,
     out: str,
     payment_gap: float | None = None,
     unpaid_orders: int | None = None,
+    expected_rows: dict[str, int] | None = None,
 ) -> Marts:
-    """Build everything; raises when a check fails, after the check table is written."""
+    """Build, check and report everything; raises when a check failed.
+
+    The check tables and reports are written first, so a failed run can be
+    read. Every step after the marts starts from their files.
+    """
+    write_table(load_audit(raw.by_name(), expected_rows).coalesce(1), f"{out}/reports/load_audit")
+    write_table(raw_constraints(raw).coalesce(1), f"{out}/reports/constraints")
     marts = write_marts(spark, raw, f"{out}/marts")
-    register_views(vars(marts))
-    checks_path = f"{out}/reports/reconciliation"
-    write_table(
-        reconcile(raw, marts.fct_order, marts.fct_order_item, payment_gap, unpaid_orders).coalesce(1), checks_path
-    )
-    checks = spark.read.parquet(checks_path)
+    register_views(sql_views(raw, marts))
+    checks = reconcile(raw, marts.fct_order, marts.fct_order_item, payment_gap, unpaid_orders)
+    write_table(checks.coalesce(1), f"{out}/reports/reconciliation")
     for name, report in report_tables(marts.fct_order, marts.fct_order_item).items():
-        register_views({name: report})
         write_report(report, f"{out}/reports/{name}")
+    checks = spark.read.parquet(f"{out}/reports/reconciliation")
+    write_report(checks.orderBy("ord"), f"{out}/reports/reconciliation_csv")
     require_no_failures(checks)
     return marts
 

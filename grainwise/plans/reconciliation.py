@@ -152,5 +152,4 @@ def orders_without_review(raw: RawTables) -> DataFrame:
 
 def raw_constraints(raw: RawTables) -> DataFrame:
     """Every declared key, reference and domain of the raw tables."""
-    tables = {name: getattr(raw, "category_translation" if name == "product_category_translation" else name) for name in RULES}
-    return constraint_report(tables, RULES)
+    return constraint_report(raw.by_name(), RULES)

@@ -114,7 +114,9 @@ def headline_from_raw(raw: RawTables) -> DataFrame:
     if raw.line_delivered is not None:
         by_line = raw.order_items.groupBy("order_id").agg(F.max(raw.line_delivered).alias(DELIVERED_AT))
         orders = orders.join(by_line, "order_id", "left")
-    rows = orders.where(F.col(DELIVERED_AT).isNotNull()).join(reviews_by_order(raw.order_reviews), "order_id", "left")
+    rows = orders.where(F.col(DELIVERED_AT).isNotNull()).join(
+        reviews_by_order(raw.order_reviews, ["review_score"]), "order_id", "left"
+    )
     late = is_late(whole_days_late(F.col(DELIVERED_AT), F.col("order_estimated_delivery_date")))
     return _lateness_table(rows.select(late.alias("is_late"), "review_score"))
 

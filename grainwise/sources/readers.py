@@ -40,6 +40,11 @@ class RawTables:
     hot_rows: int = HOT_ROWS
     _hot: dict = field(default_factory=dict, repr=False)
 
+    def by_name(self) -> dict[str, DataFrame]:
+        """The tables under their declared names."""
+        renamed = {"product_category_translation": "category_translation"}
+        return {name: getattr(self, renamed.get(name, name)) for name in SCHEMAS}
+
     def hot(self, table: str, column: str) -> list:
         """Keys too heavy for one task, found once per table and column."""
         if (table, column) not in self._hot:

@@ -89,6 +89,10 @@ def test_rollup_recomputes_distinct_counts(fact):
     assert sum(r["total_customers"] for r in rows if r["grouping_id"] == 0) == 3
 
 
+def test_sketched_customers_are_close(fact):
+    assert evaluate(fact, ["total_customers", "total_orders"], approximate=True).first()[0] == 2
+
+
 def test_evaluate_rejects_mixed_facts_and_unknown_groupings(fact):
     with pytest.raises(ValueError):
         evaluate(fact, ["total_revenue", "items_sold"])

@@ -12,7 +12,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grainwise.functions import BUCKET_EDGES, BUCKET_LABELS, bucketize, rounded
+from grainwise.functions import BUCKET_EDGES, BUCKET_LABELS, bucketize, days_between, rounded
+from grainwise.functions.delivery import micros_between
 from grainwise.operators.calendar import date_dimension, fill_months, month_over_month, year_to_date
 from grainwise.operators.checks import Check, ChecksFailed, compare_tables, require_no_failures, run_checks, with_status
 from grainwise.operators.constraints import ForeignKey, TableRules, constraint_report, orphan_keys
@@ -56,6 +57,21 @@ def test_ties_round_half_up(spark):
     assert got == [0.58, 0.001, -0.001, 2.68]
 
 
+def test_durations_ignore_the_session_time_zone(spark):
+    df = spark.createDataFrame(
+        [(datetime(2017, 10, 14), datetime(2017, 10, 16, 12, 0, 0, 1)), (datetime(2018, 2, 18), datetime(2018, 2, 17))],
+        "a timestamp_ntz, b timestamp_ntz",
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [tuple(r) for r in df.select(micros_between(F.col("a"), F.col("b")), days_between(F.col("a"), F.col("b"))).collect()]
+            assert got == [(216_000_000_001, 216_000_000_001 / 86_400_000_000), (-86_400_000_000, -1.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 # grain
 
 
@@ -123,6 +139,14 @@ def skewed(spark, n=3000):
 def test_hot_keys_finds_the_heavy_one(spark):
     assert hot_keys(skewed(spark), "k", min_share=0.2, min_rows=1) == [7]
     assert hot_keys(skewed(spark), "k", min_share=0.2, min_rows=1_000_000) == []
+    assert hot_keys(skewed(spark), "k", min_share=0.01, min_rows=1)[-1] is None
+
+
+def test_missing_keys_are_held_back_too(spark):
+    many = skewed(spark).withColumn("k", F.when(F.col("line") % 2 == 0, F.col("k")))
+    one = spark.createDataFrame([(k, f"name{k}") for k in range(35)], "k int, name string")
+    plain = rows(many.join(one, "k", "left").select("line", "name"))
+    assert rows(join_many_to_one(many, one, "k", "left", hot=[None]).select("line", "name")) == plain
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
@@ -137,7 +161,7 @@ def test_hot_join_equals_plain_join(spark, how):
 
 def test_hot_join_bounds_its_broadcast(spark):
     with pytest.raises(ValueError):
-        join_many_to_one(skewed(spark), skewed(spark), "k", hot=range(HOT_LIMIT + 1))
+        join_many_to_one(skewed(spark), skewed(spark), "k", hot=range(HOT_LIMIT + 2))
     with pytest.raises(ValueError):
         join_many_to_one(skewed(spark), skewed(spark), "k", "full")
 

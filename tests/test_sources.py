@@ -74,7 +74,7 @@ def test_schemas_hold_money_as_decimals():
 def write_csvs(raw, root):
     """The fixture as CSV files, one file per table."""
     for name, schema in SCHEMAS.items():
-        df = getattr(raw, "category_translation" if name == "product_category_translation" else name)
+        df = raw.by_name()[name]
         lines = [",".join(schema.names)]
         for r in df.collect():
             lines.append(",".join("" if v is None else str(v) for v in r))
@@ -100,7 +100,17 @@ def test_the_whole_job(spark, raw, tmp_path):
     assert marts.fct_order.count() == 4 and marts.fct_order_item.count() == 6
     assert marts.dim_product.count() == 3 and marts.dim_date.count() == 365
     assert spark.table("fct_order").count() == 4
-    assert spark.table("monthly_sales").count() == 3
+    assert spark.table("v_monthly_sales").count() == 3
+    naive = spark.sql(
+        """select count(*) as n, sum(i.price + i.freight_value) as v from orders o
+           join order_items i on i.order_id = o.order_id join order_payments p on p.order_id = o.order_id"""
+    ).first()
+    assert tuple(naive) == (10, Decimal(1220))
+    audit = {r["table_name"]: r["row_count"] for r in spark.read.parquet(f"{out}/reports/load_audit").collect()}
+    assert audit["order_items"] == 6 and len(audit) == 8
+    assert {r["status"] for r in spark.read.parquet(f"{out}/reports/constraints").collect()} == {"PASS"}
+    pipeline.export_csv(marts, f"{out}/csv")
+    assert spark.read.option("header", True).csv(f"{out}/csv/fct_order_item").count() == 6
     assert spark.read.parquet(f"{out}/reports/reconciliation").count() == 6
     schema = T.StructType(
         [
