@@ -28,6 +28,21 @@ def reviewed() -> Column:
     return sales() & F.col("review_score").isNotNull()
 
 
+def sales_rows(df: DataFrame) -> DataFrame:
+    """The base table of every sales metric."""
+    return df.where(sales())
+
+
+def delivered_rows(df: DataFrame) -> DataFrame:
+    """The base table of every delivery metric."""
+    return df.where(delivered())
+
+
+def reviewed_rows(df: DataFrame) -> DataFrame:
+    """The base table of every review metric."""
+    return df.where(reviewed())
+
+
 def slice_rows(
     df: DataFrame,
     date_from: str | None = None,

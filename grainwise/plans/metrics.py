@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mean, ratio, rounded
 from ..operators.calendar import month_over_month, year_to_date
-from ..operators.populations import delivered, reviewed, sales
+from ..operators.populations import delivered, reviewed, sales, sales_rows
 from ..operators.totals import merge_totals
 
 ORDER, ITEM = "order", "item"
@@ -188,7 +188,7 @@ def evaluate(
 
 def revenue_by_month(fct_order: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """Monthly revenue with its change on the prior calendar month and year to date."""
-    monthly = evaluate(fct_order.where(sales()), ["total_revenue"], [*dims, "order_month"])
+    monthly = evaluate(sales_rows(fct_order), ["total_revenue"], [*dims, "order_month"])
     return year_to_date(month_over_month(monthly, "order_month", "total_revenue", dims), "order_month", "total_revenue", dims)
 
 

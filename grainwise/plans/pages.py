@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import mean, ratio, rounded
 from ..functions.delivery import MICROS_PER_DAY, micros_between
 from ..operators.calendar import month_over_month
-from ..operators.populations import delivered, enough_volume, sales, too_little_volume
+from ..operators.populations import delivered, delivered_rows, enough_volume, sales_rows, too_little_volume
 from ..operators.shares import cumulative_share, scaled_to_max, share_of_total, step_change, top_n
 from ..operators.stats import correlation, exact_median, histogram, paired_histogram
 from .marts import DELIVERED_AT
@@ -40,7 +40,8 @@ def revenue_by_month_with_mom(fct_order: DataFrame) -> DataFrame:
 
 def revenue_by_state(fct_order: DataFrame) -> DataFrame:
     """Revenue and its share by state, over all sales rather than deliveries."""
-    return at_edge(share_of_total(evaluate(fct_order.where(sales()), ["total_revenue"], ["customer_state"]), "total_revenue"))
+    by_state = evaluate(sales_rows(fct_order), ["total_revenue"], ["customer_state"])
+    return at_edge(share_of_total(by_state, "total_revenue"))
 
 
 # order value
@@ -48,20 +49,20 @@ def revenue_by_state(fct_order: DataFrame) -> DataFrame:
 
 def aov_trend(fct_order: DataFrame) -> DataFrame:
     names = ["total_orders", "aov", "avg_valued_order", "items_per_order"]
-    return at_edge(evaluate(fct_order.where(sales()), names, ["order_month"]))
+    return at_edge(evaluate(sales_rows(fct_order), names, ["order_month"]))
 
 
 def order_value_distribution(fct_order: DataFrame, width: int = 50) -> DataFrame:
-    return histogram(fct_order.where(sales()), F.col("order_value"), width)
+    return histogram(sales_rows(fct_order), F.col("order_value"), width)
 
 
 def items_per_order_distribution(fct_order: DataFrame) -> DataFrame:
-    return fct_order.where(sales()).groupBy("item_count").agg(F.count("*").alias("orders"))
+    return sales_rows(fct_order).groupBy("item_count").agg(F.count("*").alias("orders"))
 
 
 def payment_mix(fct_order: DataFrame) -> DataFrame:
     """Orders and their share by main payment type and longest installment plan."""
-    mix = fct_order.where(sales()).groupBy("primary_payment_type", "max_installments").agg(F.count("*").alias("orders"))
+    mix = sales_rows(fct_order).groupBy("primary_payment_type", "max_installments").agg(F.count("*").alias("orders"))
     return at_edge(share_of_total(mix, "orders"))
 
 
@@ -95,13 +96,14 @@ def peak_month(fct_order: DataFrame, minimum: int = MIN_MONTH_ORDERS) -> DataFra
 def growth_inputs(fct_order: DataFrame) -> DataFrame:
     """Is growth in orders, in basket value or in basket size?"""
     names = ["total_revenue", "total_orders", "aov", "items_per_order", "total_customers"]
-    return at_edge(evaluate(fct_order.where(sales()), names, ["order_month"]))
+    return at_edge(evaluate(sales_rows(fct_order), names, ["order_month"]))
 
 
 def repeat_rate(fct_order: DataFrame) -> DataFrame:
     """Share of customers with more than one order."""
     per_customer = (
-        fct_order.where(sales() & F.col("customer_unique_id").isNotNull())
+        sales_rows(fct_order)
+        .where(F.col("customer_unique_id").isNotNull())
         .groupBy("customer_unique_id")
         .agg(F.count("*").alias("n"))
     )
@@ -119,26 +121,26 @@ def repeat_rate(fct_order: DataFrame) -> DataFrame:
 
 def late_trend(fct_order: DataFrame) -> DataFrame:
     names = ["delivered_orders", "late_orders", "late_delivery_rate"]
-    return at_edge(evaluate(fct_order.where(delivered()), names, ["order_month"]))
+    return at_edge(evaluate(delivered_rows(fct_order), names, ["order_month"]))
 
 
 def delivery_distribution(fct_order: DataFrame, width: int = 5) -> DataFrame:
     """Actual and promised days on one set of bins."""
     days = {"actual_orders": F.col("delivery_days"), "promised_orders": F.col("estimated_days")}
-    return paired_histogram(fct_order.where(delivered()), days, width)
+    return paired_histogram(delivered_rows(fct_order), days, width)
 
 
 def median_delivery(fct_order: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """Exact median of days from purchase to delivery."""
     elapsed = micros_between(F.col("order_purchase_timestamp"), F.col(DELIVERED_AT))
-    found = exact_median(fct_order.where(delivered()), elapsed, dims, name="micros")
+    found = exact_median(delivered_rows(fct_order), elapsed, dims, name="micros")
     return found.select(*dims, rounded(F.col("micros") / float(MICROS_PER_DAY), 6).alias("median_delivery_days"))
 
 
 def approx_median_delivery(fct_order: DataFrame, dims: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Sketch median, one pass, where a stated error will do."""
     return (
-        fct_order.where(delivered())
+        delivered_rows(fct_order)
         .groupBy(*dims)
         .agg(F.percentile_approx("delivery_days", 0.5, accuracy).alias("median_delivery_days"))
     )
@@ -182,7 +184,7 @@ def state_drivers(fct_order: DataFrame) -> DataFrame:
 def late_one_star_share(fct_order: DataFrame) -> DataFrame:
     """Late orders' share of all one-star reviews, and how much likelier they are."""
     late, one = F.col("is_late"), F.col("review_score") == 1
-    counted = fct_order.where(delivered()).agg(
+    counted = delivered_rows(fct_order).agg(
         F.count_if(one).alias("one_star"),
         F.count_if(one & late).alias("late_one_star"),
         F.count_if(late).alias("late_orders"),
@@ -203,7 +205,7 @@ def late_one_star_share(fct_order: DataFrame) -> DataFrame:
 
 def counterfactual_gap(fct_order: DataFrame) -> DataFrame:
     """Upper bound on the overall score if late orders rated like on-time ones."""
-    scored = fct_order.where(delivered()).agg(
+    scored = delivered_rows(fct_order).agg(
         mean(F.col("review_score")).alias("overall_score"),
         mean(F.when(~F.col("is_late"), F.col("review_score"))).alias("on_time_score"),
     )
@@ -223,30 +225,30 @@ def top_categories(
 
 def category_table(fct_order_item: DataFrame, n: int = TABLE_CATEGORIES) -> DataFrame:
     names = ["category_revenue", "items_sold", "category_avg_review", "freight_share", "category_late_rate"]
-    measured = evaluate(fct_order_item.where(sales()), names, ["product_category"])
+    measured = evaluate(sales_rows(fct_order_item), names, ["product_category"])
     return at_edge(top_n(measured, "category_revenue", "product_category", n))
 
 
 def category_treemap(fct_order_item: DataFrame) -> DataFrame:
-    measured = evaluate(fct_order_item.where(sales()), ["category_revenue"], ["product_category"])
+    measured = evaluate(sales_rows(fct_order_item), ["category_revenue"], ["product_category"])
     return at_edge(share_of_total(measured, "category_revenue"))
 
 
 def category_concentration(fct_order_item: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:
     """How much of all revenue the ``n`` largest categories carry."""
-    measured = evaluate(fct_order_item.where(sales()), ["category_revenue"], ["product_category"])
+    measured = evaluate(sales_rows(fct_order_item), ["category_revenue"], ["product_category"])
     return at_edge(cumulative_share(measured, "category_revenue", "product_category", n))
 
 
 def price_vs_review(fct_order_item: DataFrame) -> DataFrame:
     names = ["items_sold", "avg_item_price", "category_avg_review"]
-    return at_edge(evaluate(fct_order_item.where(sales()), names, ["product_category"]))
+    return at_edge(evaluate(sales_rows(fct_order_item), names, ["product_category"]))
 
 
 def category_drivers(fct_order_item: DataFrame, minimum: int = MIN_CATEGORY_LINES) -> DataFrame:
     """Across categories with enough lines, what goes with the score?"""
     names = ["items_sold", "category_avg_review", "category_late_rate", "freight_share", "avg_item_price"]
-    measured = evaluate(fct_order_item.where(sales()), names, ["product_category"])
+    measured = evaluate(sales_rows(fct_order_item), names, ["product_category"])
 
     def against_score(x: str) -> Column:
         return correlation(x, "category_avg_review")
@@ -268,5 +270,5 @@ def category_lateness_split(fct_order_item: DataFrame) -> DataFrame:
     NULL could not be mistaken for the total because ``is_total`` says which.
     """
     names = ["category_avg_review_on_time", "category_avg_review_late", "category_late_rate"]
-    split = evaluate(fct_order_item.where(sales()), names, ["product_category"], "rollup")
+    split = evaluate(sales_rows(fct_order_item), names, ["product_category"], "rollup")
     return at_edge(split.select("product_category", (F.col("grouping_id") == 1).alias("is_total"), *names))

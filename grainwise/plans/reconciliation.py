@@ -9,7 +9,7 @@ from ..functions import ratio
 from ..operators.checks import Check, compare_tables, run_checks
 from ..operators.constraints import constraint_report, orphan_keys
 from ..operators.fanout import Child, fanout_report
-from ..operators.populations import sales
+from ..operators.populations import sales_rows
 from ..operators.totals import merge_totals
 from ..schemas import RULES
 from ..sources.readers import RawTables
@@ -123,7 +123,7 @@ def order_fanout(raw: RawTables) -> DataFrame:
 
 def additivity(fct_order: DataFrame, fct_order_item: DataFrame) -> DataFrame:
     """Category revenues summed up, beside total revenue at order grain."""
-    by_category = evaluate(fct_order_item.where(sales()), ["category_revenue"], ["product_category"])
+    by_category = evaluate(sales_rows(fct_order_item), ["category_revenue"], ["product_category"])
     totals = merge_totals(
         by_category.agg(
             F.count("*").alias("categories"), F.sum("category_revenue").alias("sum_of_categories")

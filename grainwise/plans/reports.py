@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import BUCKET_LABELS, is_late, mean, rounded, whole_days_late
-from ..operators.populations import delivered, is_cancelled, sales
+from ..operators.populations import delivered_rows, is_cancelled, sales_rows
 from ..sources.readers import RawTables
 from .marts import DELIVERED_AT, reviews_by_order
 
@@ -28,7 +28,7 @@ def _star_share(score: int) -> Column:
 def monthly_sales(fct_order: DataFrame) -> DataFrame:
     """``aov`` here averages orders that have a value; see the metric ``aov`` for the ratio."""
     return (
-        fct_order.where(sales())
+        sales_rows(fct_order)
         .groupBy("order_month")
         .agg(
             F.count("*").alias("orders"),
@@ -41,7 +41,7 @@ def monthly_sales(fct_order: DataFrame) -> DataFrame:
 
 def category_performance(fct_order_item: DataFrame) -> DataFrame:
     return (
-        fct_order_item.where(sales())
+        sales_rows(fct_order_item)
         .groupBy("product_category")
         .agg(
             F.count("*").alias("items"),
@@ -66,7 +66,7 @@ def bucket_spine(df: DataFrame) -> DataFrame:
 def delivery_vs_review(fct_order: DataFrame, keep_empty: bool = True) -> DataFrame:
     """Orders, score and revenue per bucket; empty buckets show zero orders."""
     found = (
-        fct_order.where(delivered())
+        delivered_rows(fct_order)
         .groupBy("delivery_bucket")
         .agg(
             F.count("*").alias("orders"),
@@ -83,7 +83,7 @@ def delivery_vs_review(fct_order: DataFrame, keep_empty: bool = True) -> DataFra
 
 def state_performance(fct_order: DataFrame) -> DataFrame:
     return (
-        fct_order.where(delivered())
+        delivered_rows(fct_order)
         .groupBy("customer_state")
         .agg(
             F.count("*").alias("orders"),
@@ -105,7 +105,7 @@ def _lateness_table(rows: DataFrame) -> DataFrame:
 
 
 def review_by_lateness(fct_order: DataFrame) -> DataFrame:
-    return _lateness_table(fct_order.where(delivered()))
+    return _lateness_table(delivered_rows(fct_order))
 
 
 def headline_from_raw(raw: RawTables) -> DataFrame:

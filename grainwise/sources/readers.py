@@ -14,6 +14,7 @@ from ..operators.populations import CANCELLED_STATUSES
 from ..schemas import MULTILINE_TABLES, SCHEMAS, TRIMMED_COLUMNS
 
 CORRUPT = "_corrupt_record"
+REJECTED = "rejected"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -93,25 +94,34 @@ def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def land_parquet(spark: SparkSession, csv_root: str, out_root: str, files: Mapping[str, str] | None = None) -> None:
     """Ingest every CSV table once; later jobs read splittable, prunable Parquet.
 
-    Rejected records go to ``<out_root>/_quarantine/<table>``.
+    One pass per table: rejected records land beside the good ones, in a
+    partition of their own that :func:`load_parquet` never opens.
     """
     for table in SCHEMAS:
-        good, bad = split_quarantine(read_csv(spark, csv_root, table, files))
-        good.write.mode("overwrite").parquet(f"{out_root}/{table}")
-        bad.write.mode("overwrite").parquet(f"{out_root}/_quarantine/{table}")
+        df = read_csv(spark, csv_root, table, files)
+        marked = df.withColumn(REJECTED, F.col(CORRUPT).isNotNull())
+        marked.write.mode("overwrite").partitionBy(REJECTED).parquet(f"{out_root}/{table}")
+
+
+def _landed(spark: SparkSession, root: str, table: str) -> DataFrame:
+    trimmed = TRIMMED_COLUMNS.get(table, ())
+    fields = [f for f in SCHEMAS[table].fields if f.name not in trimmed]
+    extra = [T.StructField(CORRUPT, T.StringType()), T.StructField(REJECTED, T.BooleanType())]
+    return spark.read.schema(T.StructType([*fields, *extra])).parquet(f"{root}/{table}")
 
 
 def load_parquet(spark: SparkSession, root: str) -> RawTables:
     """The landed tables, ready for the mart builders."""
-    tables = {
-        name: spark.read.schema(T.StructType([f for f in s.fields if f.name not in TRIMMED_COLUMNS.get(name, ())]))
-        .parquet(f"{root}/{name}")
-        for name, s in SCHEMAS.items()
-    }
+    tables = {name: _landed(spark, root, name).where(~F.col(REJECTED)).drop(CORRUPT, REJECTED) for name in SCHEMAS}
     tables["category_translation"] = tables.pop("product_category_translation")
     return RawTables(**tables)
 
 
+def quarantined(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rejected records of a landed table with their raw text."""
+    return _landed(spark, root, table).where(F.col(REJECTED)).drop(REJECTED)
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,

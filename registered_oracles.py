@@ -759,6 +759,16 @@ def _oracles() -> dict[str, str]:
         from orders join (select l_orderkey, max(l_shipdate) as delivered_at from lineitem
                           where l_linestatus = 'F' group by l_orderkey) on l_orderkey = o_orderkey
         where o_orderstatus not in ('P')"""
+    for name, where in (
+        ("sales_base", SALE),
+        ("delivered_base", DONE),
+        ("reviewed_base", f"{SALE} and review_score is not null"),
+    ):
+        q[name] = with_ctes(
+            ("fct",),
+            f"""select order_id, is_cancelled, is_delivered, {dbl('order_value')} as order_value, review_score
+                from fct where {where}""",
+        )
     q["population_sizes"] = with_ctes(
         ("fct",),
         f"""select count(*) as all_orders, {cnt(SALE)} as sales_orders, {cnt(DONE)} as delivered_orders,

@@ -17,7 +17,15 @@ from grainwise.operators import constraints, fanout, grain, totals
 from grainwise.operators.calendar import date_dimension, fill_months
 from grainwise.operators.constraints import ForeignKey, TableRules
 from grainwise.operators.joins import with_dims
-from grainwise.operators.populations import delivered, sales, slice_rows
+from grainwise.operators.populations import (
+    delivered,
+    delivered_rows,
+    reviewed,
+    reviewed_rows,
+    sales,
+    sales_rows,
+    slice_rows,
+)
 from grainwise.plans import marts, metrics, pages, reports
 from grainwise.plans import reconciliation as recon
 from grainwise.sources.readers import RawTables
@@ -334,7 +342,7 @@ def months_filled(raw):
     """Monthly revenue per state and bucket with the missing calendar months added."""
     fact = _order(raw, "order_month", "is_cancelled", "order_value", "customer_state", "delivery_bucket")
     dims = ["customer_state", "delivery_bucket"]
-    monthly = metrics.evaluate(fact.where(sales()), ["total_revenue"], [*dims, "order_month"])
+    monthly = metrics.evaluate(sales_rows(fact), ["total_revenue"], [*dims, "order_month"])
     return fill_months(monthly, "order_month", dims)
 
 
@@ -571,6 +579,24 @@ def delivered_from_raw(raw):
     )
 
 
+BASE_COLUMNS = ("order_id", "is_cancelled", "is_delivered", "order_value", "review_score")
+
+
+@query
+def sales_base(raw):
+    return sales_rows(_order(raw, *BASE_COLUMNS))
+
+
+@query
+def delivered_base(raw):
+    return delivered_rows(_order(raw, *BASE_COLUMNS))
+
+
+@query
+def reviewed_base(raw):
+    return reviewed_rows(_order(raw, *BASE_COLUMNS))
+
+
 @query
 def population_sizes(raw):
     fact = _order(raw, "is_cancelled", "is_delivered", "review_score")
@@ -578,5 +604,5 @@ def population_sizes(raw):
         F.count("*").alias("all_orders"),
         F.count_if(sales()).alias("sales_orders"),
         F.count_if(delivered()).alias("delivered_orders"),
-        F.count_if(sales() & F.col("review_score").isNotNull()).alias("reviewed_orders"),
+        F.count_if(reviewed()).alias("reviewed_orders"),
     )

@@ -15,6 +15,7 @@ from grainwise.schemas import SCHEMAS
 from grainwise.sources import (
     land_parquet,
     load_parquet,
+    quarantined,
     read_csv,
     read_jdbc,
     read_report,
@@ -89,7 +90,20 @@ def test_landing_keeps_every_row(spark, raw, tmp_path):
     assert landed.orders.count() == 4
     assert landed.order_items.agg({"price": "sum"}).first()[0] == Decimal(540)
     assert sorted(map(repr, landed.order_payments.collect())) == sorted(map(repr, raw.order_payments.collect()))
-    assert spark.read.parquet(f"{out}/_quarantine/orders").count() == 0
+    assert quarantined(spark, out, "orders").count() == 0
+
+
+def test_rejected_records_are_kept_apart(spark, raw, tmp_path):
+    write_csvs(raw, tmp_path)
+    with (tmp_path / "order_items.csv").open("a", encoding="utf-8") as f:
+        f.write("o1,4,p1,s1,2017-01-05 00:00:00,not money,1\n")
+    out = str(tmp_path / "landed")
+    land_parquet(spark, str(tmp_path), out)
+    assert load_parquet(spark, out).order_items.count() == 6
+    bad = quarantined(spark, out, "order_items").collect()
+    assert [r["_corrupt_record"] for r in bad] == ["o1,4,p1,s1,2017-01-05 00:00:00,not money,1"]
+    plan = load_parquet(spark, out).order_items._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(rejected" in plan
 
 
 def test_the_whole_job(spark, raw, tmp_path):
