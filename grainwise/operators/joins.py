@@ -14,22 +14,39 @@ HOT_SHARE = 1 / 1000
 HOT_LIMIT = 1000
 # A key with fewer rows than this is no burden for one task.
 HOT_ROWS = 2_000_000
-SKETCH_ITEMS = 100_000
+# This many tracked items find every key above HOT_SHARE; more would only make
+# the sketches heavier, of which every scan task produces one.
+SKETCH_ITEMS = 4096
+SKETCH_GROUPS = 512
 
 
 def hot_keys(df: DataFrame, column: str, min_share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
     """Keys that hold at least ``min_share`` of all rows and ``min_rows`` rows.
 
-    One scan of one column into a frequent-items sketch of fixed size; no
-    shuffle of the keys. The answer only steers how a join is executed, never
-    what it returns, so the sketch error is harmless. At most ``HOT_LIMIT``
-    keys come back to the driver; None stands for NULL.
+    One scan of one column into frequent-items sketches of fixed size, merged
+    in two levels so that no task receives one from every scan task; the keys
+    themselves are not shuffled. The answer only steers how a join is
+    executed, never what it returns, so the sketch error is harmless. At most
+    ``HOT_LIMIT`` keys come back to the driver; None stands for NULL.
     """
-    row = df.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col(column).isNull()).alias("nulls"),
-        F.expr(f"approx_top_k({column}, {HOT_LIMIT}, {SKETCH_ITEMS})").alias("top"),
+    parts = (
+        df.select(F.col(column).alias("key"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part"))
+        .groupBy("part")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("key").isNull()).alias("nulls"),
+            F.expr(f"approx_top_k_accumulate(key, {SKETCH_ITEMS})").alias("sketch"),
+        )
+    )
+    # Grouped by a constant: an empty table yields no row, where a key-less
+    # aggregate would have to combine no sketches at all, which fails.
+    row = parts.groupBy(F.lit(0).alias("_all")).agg(
+        F.sum("n").alias("n"),
+        F.sum("nulls").alias("nulls"),
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {SKETCH_ITEMS}), {HOT_LIMIT})").alias("top"),
     ).first()
+    if row is None:
+        return []
     floor = max(row["n"] * min_share, min_rows)
     heavy = [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= floor]
     return [*heavy, None] if row["nulls"] >= floor else heavy

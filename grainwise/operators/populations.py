@@ -54,12 +54,20 @@ def slice_rows(
     """Report slicers: a closed date range and two multi-selects.
 
     The range is written against the timestamp itself, not ``to_date`` of it,
-    so it reaches the Parquet scan.
+    so it reaches the Parquet scan, and again against the month by which a
+    stored fact is partitioned, so whole months are never opened.
     """
+    by_month = date_col == "order_purchase_timestamp" and "order_month" in df.columns
     if date_from is not None:
-        df = df.where(F.col(date_col) >= F.lit(date_from).cast("timestamp_ntz"))
+        first = F.lit(date_from).cast("date")
+        df = df.where(F.col(date_col) >= first.cast("timestamp_ntz"))
+        if by_month:
+            df = df.where(F.col("order_month") >= F.trunc(first, "MM"))
     if date_to is not None:
-        df = df.where(F.col(date_col) < F.date_add(F.lit(date_to).cast("date"), 1).cast("timestamp_ntz"))
+        last = F.lit(date_to).cast("date")
+        df = df.where(F.col(date_col) < F.date_add(last, 1).cast("timestamp_ntz"))
+        if by_month:
+            df = df.where(F.col("order_month") <= last)
     if states is not None:
         df = df.where(F.col("customer_state").isin(*states))
     if categories is not None:

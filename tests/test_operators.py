@@ -142,6 +142,10 @@ def test_hot_keys_finds_the_heavy_one(spark):
     assert hot_keys(skewed(spark), "k", min_share=0.01, min_rows=1)[-1] is None
 
 
+def test_hot_keys_of_nothing(spark):
+    assert hot_keys(skewed(spark).limit(0), "k", min_rows=0) == []
+
+
 def test_missing_keys_are_held_back_too(spark):
     many = skewed(spark).withColumn("k", F.when(F.col("line") % 2 == 0, F.col("k")))
     one = spark.createDataFrame([(k, f"name{k}") for k in range(35)], "k int, name string")

@@ -10,6 +10,7 @@ from fixture_tables import raw_tables
 from pyspark.sql import types as T
 
 from grainwise.operators.checks import ChecksFailed
+from grainwise.operators.populations import slice_rows
 from grainwise.plans import pipeline
 from grainwise.schemas import SCHEMAS
 from grainwise.sources import (
@@ -156,6 +157,10 @@ def test_fact_files_are_pruned_by_month(spark, raw, tmp_path):
     assert len(one.inputFiles()) >= 1 and one.first()["order_id"] == "o2"
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_month" in plan
+    sliced = slice_rows(back, "2017-02-10", "2017-03-31")
+    assert [r["order_id"] for r in sliced.collect()] == ["o3"]
+    plan = sliced._jdf.queryExecution().executedPlan().toString()
+    assert "(order_month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_writers_and_views(spark, tmp_path):
