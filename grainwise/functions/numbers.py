@@ -26,3 +26,8 @@ def rounded(value: Column, places: int) -> Column:
     happens to be stored.
     """
     return F.round(value.cast("decimal(28,9)"), places).cast("double")
+
+
+def rounded_sql(name: str, places: int) -> str:
+    """The same rule as SQL text, for wide results."""
+    return f"cast(round(cast(`{name}` as decimal(28,9)), {places}) as double)"

@@ -91,5 +91,7 @@ def exact_median(
             same = same & F.col(f"_b_{d}").eqNullSafe(F.col(d))
         within = Window.partitionBy(*dims, "_which").orderBy("_bin")
         running = F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        found = pick(fine.join(found, same).withColumn("_upto", running))
+        # Two rows per group: without groups that is a bound, so broadcast.
+        wanted = found if dims else F.broadcast(found)
+        found = pick(fine.join(wanted, same).withColumn("_upto", running))
     return found.groupBy(*dims).agg(ratio(F.sum("_base"), F.count("*")).alias(name))

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import mean, ratio, rounded
+from ..functions import mean, ratio
+from ..functions.numbers import rounded_sql
 from ..operators.calendar import month_over_month, year_to_date
 from ..operators.populations import delivered, reviewed, sales, sales_rows
 from ..operators.totals import merge_totals
@@ -181,15 +182,17 @@ def evaluate(
         aggregates.append(F.grouping_id().alias("grouping_id"))
         levels = ["grouping_id"]
     out = getattr(fact, grouping)(*dims).agg(*aggregates)
-    for name in derived:
-        out = out.withColumn(name, METRICS[name].build())
+    if derived:
+        # One projection: a derived metric may refer to one listed before it.
+        out = out.select("*", *[METRICS[n].build().alias(n) for n in derived])
     return out.select(*dims, *levels, *metrics)
 
 
 def revenue_by_month(fct_order: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """Monthly revenue with its change on the prior calendar month and year to date."""
     monthly = evaluate(sales_rows(fct_order), ["total_revenue"], [*dims, "order_month"])
-    return year_to_date(month_over_month(monthly, "order_month", "total_revenue", dims), "order_month", "total_revenue", dims)
+    compared = month_over_month(monthly, "order_month", "total_revenue", dims)
+    return year_to_date(compared, "order_month", "total_revenue", dims)
 
 
 def grain_check(fct_order: DataFrame) -> DataFrame:
@@ -222,6 +225,6 @@ PLACES = {"aov": 2, "avg_valued_order": 2}
 
 def at_edge(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double of a result for display or comparison."""
-    return df.select(
-        *[rounded(F.col(n), PLACES.get(n, places)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes]
+    return df.selectExpr(
+        *[f"{rounded_sql(n, PLACES.get(n, places))} as `{n}`" if t == "double" else f"`{n}`" for n, t in df.dtypes]
     )

@@ -39,7 +39,7 @@ class RawTables:
     line_delivered: str | None = None
     hot_share: float = HOT_SHARE
     hot_rows: int = HOT_ROWS
-    _hot: dict = field(default_factory=dict, repr=False)
+    known_hot: dict = field(default_factory=dict, repr=False)
 
     def by_name(self) -> dict[str, DataFrame]:
         """The tables under their declared names."""
@@ -48,9 +48,9 @@ class RawTables:
 
     def hot(self, table: str, column: str) -> list:
         """Keys too heavy for one task, found once per table and column."""
-        if (table, column) not in self._hot:
-            self._hot[table, column] = hot_keys(getattr(self, table), column, self.hot_share, self.hot_rows)
-        return self._hot[table, column]
+        if (table, column) not in self.known_hot:
+            self.known_hot[table, column] = hot_keys(getattr(self, table), column, self.hot_share, self.hot_rows)
+        return self.known_hot[table, column]
 
 
 def read_csv(

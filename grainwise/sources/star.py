@@ -12,13 +12,31 @@ from pyspark.sql import functions as F
 
 from .readers import RawTables
 
-STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    ),
+}
 STAR_CANCELLED = ("P",)
 PROMISE_DAYS = 60
 
 
 def star_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/{name}.parquet") for name in STAR_TABLES}
+    return {name: spark.read.schema(s).parquet(f"{root}/{name}.parquet") for name, s in STAR_SCHEMAS.items()}
 
 
 def _money(c: Column) -> Column:

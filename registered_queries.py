@@ -78,28 +78,21 @@ DATE_FROM, DATE_TO = "1996-07-01", "1998-06-30"
 
 def to_edge(df: DataFrame) -> DataFrame:
     """Decimals as doubles and whole numbers as bigints, for the comparison."""
-    cols = []
-    for name, dtype in df.dtypes:
-        if dtype.startswith("decimal"):
-            cols.append(F.col(name).cast("double").alias(name))
-        elif dtype in ("int", "smallint", "tinyint"):
-            cols.append(F.col(name).cast("bigint").alias(name))
-        else:
-            cols.append(F.col(name))
-    return df.select(*cols)
+    edge = {"int": "bigint", "smallint": "bigint"}
+    types = {n: "double" if t.startswith("decimal") else edge.get(t) for n, t in df.dtypes}
+    return df.selectExpr(*[f"cast(`{n}` as {t}) as `{n}`" if t else f"`{n}`" for n, t in types.items()])
 
 
 REGISTRY: dict[str, Query] = {}
-# Raw tables per session and folder, so that a key found to be heavy is not
-# looked for again by the next query. Only execution depends on it.
-_LOADED: dict[tuple[str, str], RawTables] = {}
+# Hot keys per application and folder, so that the next query need not look
+# for them again. Only execution depends on them, never a result.
+_HOT: dict[tuple[str, str], dict] = {}
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> RawTables:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LOADED:
-        _LOADED[key] = load_star(spark, sf_dir)
-    return _LOADED[key]
+    raw = load_star(spark, sf_dir)
+    raw.known_hot = _HOT.setdefault((spark.sparkContext.applicationId, sf_dir), raw.known_hot)
+    return raw
 
 
 def query(build: Callable[[RawTables], DataFrame]) -> Callable[[RawTables], DataFrame]:
