@@ -33,6 +33,9 @@ ORDER_COLUMNS = (
     "review_score",
 )
 
+# Filled from the collapsed item lines.
+ITEM_TOTALS = ("item_count", "seller_count", "product_revenue", "freight_value", "order_value")
+
 # What an item line takes over from its order.
 ORDER_ATTRIBUTES = (
     "customer_state", "order_status", "is_cancelled", "is_delivered",
@@ -64,6 +67,15 @@ def items_by_order(raw: RawTables) -> DataFrame:
     )
 
 
+def delivered_by_order(raw: RawTables) -> DataFrame:
+    """When each order was delivered, for sources that record it per line.
+
+    Lines that were not delivered are filtered before the shuffle.
+    """
+    lines = raw.order_items.where(F.col(raw.line_delivered).isNotNull())
+    return collapse(lines, "order_id", {DELIVERED_AT: F.max(raw.line_delivered)})
+
+
 def payments_by_order(payments: DataFrame, key: str = "order_id") -> DataFrame:
     """Totals and the type that carried the most money, earliest split on a tie."""
     return collapse(
@@ -99,8 +111,13 @@ def build_fct_order(raw: RawTables, columns: Sequence[str] = ORDER_COLUMNS) -> D
     if set(columns) & set(CUSTOMER_COLUMNS):
         people = raw.customers.select("customer_id", *CUSTOMER_COLUMNS)
         fact = join_many_to_one(fact, people, "customer_id", "left", raw.hot("orders", "customer_id"))
+    totals_wanted = bool(set(columns) & set(ITEM_TOTALS))
+    if raw.line_delivered is not None and not totals_wanted:
+        lines = delivered_by_order(raw)
+    else:
+        lines = items_by_order(raw)
     fact = (
-        fact.join(items_by_order(raw), "order_id", "left")
+        fact.join(lines, "order_id", "left")
         .join(payments_by_order(raw.order_payments), "order_id", "left")
         .join(reviews_by_order(raw.order_reviews, ["review_score"]), "order_id", "left")
     )

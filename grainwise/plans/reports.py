@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import BUCKET_LABELS, is_late, mean, rounded, whole_days_late
 from ..operators.populations import delivered_rows, is_cancelled, sales_rows
 from ..sources.readers import RawTables
-from .marts import DELIVERED_AT, reviews_by_order
+from .marts import DELIVERED_AT, delivered_by_order, reviews_by_order
 
 
 def _money(value: str) -> Column:
@@ -112,8 +112,7 @@ def headline_from_raw(raw: RawTables) -> DataFrame:
     """The same table from the raw inputs, without the marts, to check them."""
     orders = raw.orders.where(~is_cancelled(F.col("order_status"), raw.cancelled_statuses))
     if raw.line_delivered is not None:
-        by_line = raw.order_items.groupBy("order_id").agg(F.max(raw.line_delivered).alias(DELIVERED_AT))
-        orders = orders.join(by_line, "order_id", "left")
+        orders = orders.join(delivered_by_order(raw), "order_id", "left")
     rows = orders.where(F.col(DELIVERED_AT).isNotNull()).join(
         reviews_by_order(raw.order_reviews, ["review_score"]), "order_id", "left"
     )

@@ -128,6 +128,12 @@ def _order(raw: RawTables, *columns: str) -> DataFrame:
     return marts.build_fct_order(raw)
 
 
+# Enough for lateness and scores: no item totals, so undelivered lines stay unread.
+LATENESS = ("is_cancelled", "is_delivered", "is_late", "review_score")
+DURATIONS = (
+    "is_cancelled", "is_delivered", "order_purchase_timestamp", marts.DELIVERED_AT,
+    "delivery_days", "estimated_days",
+)
 ORDER_ONLY = tuple(c for c in marts.ORDER_COLUMNS if c not in marts.CUSTOMER_COLUMNS)
 ITEM_ONLY = tuple(c for c in marts.ITEM_COLUMNS if c != "customer_state")
 
@@ -229,7 +235,7 @@ def state_performance(raw):
 
 @query
 def review_by_lateness(raw):
-    return reports.in_report_order("review_by_lateness", reports.review_by_lateness(_order(raw, *ORDER_ONLY)))
+    return reports.in_report_order("review_by_lateness", reports.review_by_lateness(_order(raw, *LATENESS)))
 
 
 @query
@@ -412,22 +418,22 @@ def repeat_rate(raw):
 
 @query
 def late_trend(raw):
-    return pages.late_trend(_order(raw, *ORDER_ONLY))
+    return pages.late_trend(_order(raw, "order_month", *LATENESS))
 
 
 @query
 def delivery_hist(raw):
-    return pages.delivery_distribution(_order(raw, *ORDER_ONLY), 30)
+    return pages.delivery_distribution(_order(raw, *DURATIONS), 30)
 
 
 @query
 def median_delivery(raw):
-    return pages.median_delivery(_order(raw, *ORDER_ONLY))
+    return pages.median_delivery(_order(raw, *DURATIONS))
 
 
 @query
 def median_delivery_by_state(raw):
-    return pages.median_delivery(_order(raw), ["customer_state"])
+    return pages.median_delivery(_order(raw, "customer_state", *DURATIONS), ["customer_state"])
 
 
 @query
@@ -442,7 +448,7 @@ def state_table(raw):
 
 @query
 def state_contrast(raw):
-    return pages.state_contrast(_order(raw), STATES)
+    return pages.state_contrast(_order(raw, "customer_state", *DURATIONS, "is_late", "review_score"), STATES)
 
 
 @query
@@ -452,12 +458,12 @@ def state_drivers(raw):
 
 @query
 def late_one_star_share(raw):
-    return pages.late_one_star_share(_order(raw, *ORDER_ONLY))
+    return pages.late_one_star_share(_order(raw, *LATENESS))
 
 
 @query
 def counterfactual_gap(raw):
-    return pages.counterfactual_gap(_order(raw, *ORDER_ONLY))
+    return pages.counterfactual_gap(_order(raw, *LATENESS))
 
 
 @query
@@ -507,7 +513,7 @@ def reconciliation(raw):
 
 @query
 def compare_headline(raw):
-    return recon.compare_headline(raw, _order(raw, *ORDER_ONLY))
+    return recon.compare_headline(raw, _order(raw, *LATENESS))
 
 
 @query
@@ -565,11 +571,9 @@ def load_audit(t):
 @query
 def delivered_from_raw(raw):
     """The delivered population picked straight from raw columns."""
-    by_line = raw.order_items.groupBy("order_id").agg(F.max(raw.line_delivered).alias("delivered_at"))
     kept = raw.orders.where(~F.col("order_status").isin(*raw.cancelled_statuses))
-    return kept.join(by_line, "order_id").where(F.col("delivered_at").isNotNull()).select(
-        "order_id", "customer_id", "order_status", "delivered_at"
-    )
+    arrived = marts.delivered_by_order(raw).withColumnRenamed(marts.DELIVERED_AT, "delivered_at")
+    return kept.join(arrived, "order_id").select("order_id", "customer_id", "order_status", "delivered_at")
 
 
 BASE_COLUMNS = ("order_id", "is_cancelled", "is_delivered", "order_value", "review_score")

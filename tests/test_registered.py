@@ -83,3 +83,12 @@ def test_orders_are_shuffled_once_by_order(spark, no_broadcast):
 def test_no_payment_work_unless_asked_for(spark, no_broadcast):
     assert "events.parquet" not in plan_of(QUERIES["state_performance"](spark, SF_DIR))
     assert "events.parquet" in plan_of(QUERIES["fct_order"](spark, SF_DIR))
+
+
+def test_undelivered_lines_are_filtered_before_the_shuffle(spark, no_broadcast):
+    for name in ("review_by_lateness", "category_performance", "headline_from_raw"):
+        lines = plan_of(QUERIES[name](spark, SF_DIR)).split("\n")
+        kept = [i for i, x in enumerate(lines) if "Filter" in x and "l_linestatus" in x and "FileScan" not in x]
+        assert len(kept) == 1, name
+        above = "\n".join(lines[: kept[0]])
+        assert "partial_max(line_delivered_at" in above and "Exchange hashpartitioning(order_id" in above
