@@ -83,7 +83,8 @@ def join_many_to_one(
 def with_dims(fact: DataFrame, dims: dict[str, DataFrame], hot: dict[str, Sequence] | None = None) -> DataFrame:
     """Attach dimensions to a fact, each by its unique key, filters one way.
 
-    Columns that the fact already has are kept from the fact.
+    Columns that the fact already has are kept from the fact. That the keys
+    are unique is for ``constraint_report`` to verify, once per load.
     """
     hot = hot or {}
 

@@ -63,8 +63,9 @@ def read_csv(
     """Read one raw CSV table with its declared types.
 
     A record that does not fit keeps its raw text in ``_corrupt_record`` and
-    NULL in the cells that failed; see :func:`split_quarantine`. ``files``
-    maps a table to its file name where that is not ``<table>.csv``.
+    NULL in the cells that failed; see :func:`split_quarantine`. A header that
+    names other columns is an error. ``files`` maps a table to its file name
+    where that is not ``<table>.csv``.
     """
     declared = SCHEMAS[table]
     schema = T.StructType([*declared.fields, T.StructField(CORRUPT, T.StringType(), True)])
@@ -72,6 +73,7 @@ def read_csv(
     df = (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')

@@ -68,6 +68,20 @@ def test_declared_types_and_leading_zeros(spark, tmp_path):
     assert (row["customer_zip_code_prefix"], row["customer_city"]) == ("01409", "são paulo")
 
 
+def test_byte_order_mark_and_header_check(spark, tmp_path):
+    text = "product_category_name,product_category_name_english\nbeleza_saude,health_beauty\n"
+    (tmp_path / "product_category_translation.csv").write_text(text, encoding="utf-8-sig")
+    row = read_csv(spark, str(tmp_path), "product_category_translation").first()
+    assert tuple(row) == ("beleza_saude", "health_beauty", None)
+    (tmp_path / "order_reviews.csv").write_text(REVIEWS, encoding="utf-8-sig")
+    assert read_csv(spark, str(tmp_path), "order_reviews").first()["review_id"] == "r1"
+    swapped = "product_category_name_english,product_category_name\nhealth_beauty,beleza_saude\n"
+    (tmp_path / "swapped.csv").write_text(swapped, encoding="utf-8")
+    df = read_csv(spark, str(tmp_path), "product_category_translation", {"product_category_translation": "swapped.csv"})
+    with pytest.raises(Exception, match="header"):
+        df.collect()
+
+
 def test_schemas_hold_money_as_decimals():
     assert SCHEMAS["order_items"]["price"].dataType == T.DecimalType(12, 2)
     assert SCHEMAS["orders"]["order_purchase_timestamp"].dataType == T.TimestampNTZType()
