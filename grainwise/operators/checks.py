@@ -81,37 +81,45 @@ def compare_tables(
 ) -> DataFrame:
     """Align two tables on their keys and measure every value column.
 
-    One row per value column. A key present on one side only and a value that
-    is NULL on one side only both count against ``ok``.
+    One row per value column. A key present on one side only, a key that
+    occurs twice and a value that is NULL on one side only all count against
+    ``ok``. Each side is collapsed to its keys first, so repeated keys are
+    reported and never multiply each other.
     """
     keys = as_list(keys)
-    lhs = left.select(*[F.col(k).alias(f"_lk_{k}") for k in keys], *[F.col(v).alias(f"_l_{v}") for v in values])
-    rhs = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[F.col(v).alias(f"_r_{v}") for v in values])
-    lhs, rhs = lhs.withColumn("_in_l", F.lit(1)), rhs.withColumn("_in_r", F.lit(1))
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.groupBy(*[F.col(k).alias(f"_{tag}k_{k}") for k in keys]).agg(
+            F.count("*").alias(f"_{tag}_rows"), *[F.max(v).alias(f"_{tag}_{v}") for v in values]
+        )
+
     same_key = F.lit(True)
     for k in keys:
         same_key = same_key & F.col(f"_lk_{k}").eqNullSafe(F.col(f"_rk_{k}"))
-    both = lhs.join(rhs, same_key, "full")
-    matched = F.col("_in_l").isNotNull() & F.col("_in_r").isNotNull()
+    both = side(left, "l").join(side(right, "r"), same_key, "full")
+    n_left, n_right = F.col("_l_rows"), F.col("_r_rows")
+    matched = n_left.isNotNull() & n_right.isNotNull()
+
+    def rows_where(n: Column, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
     aggregates = [
-        F.count("_in_l").alias("rows_left"),
-        F.count("_in_r").alias("rows_right"),
-        F.count_if(F.col("_in_r").isNull()).alias("only_left"),
-        F.count_if(F.col("_in_l").isNull()).alias("only_right"),
+        rows_where(n_left, F.lit(True)).alias("rows_left"),
+        rows_where(n_right, F.lit(True)).alias("rows_right"),
+        rows_where(n_left, n_right.isNull()).alias("only_left"),
+        rows_where(n_right, n_left.isNull()).alias("only_right"),
+        F.count_if((n_left > 1) | (n_right > 1)).alias("repeated_keys"),
     ]
     for v in values:
         lv, rv = F.col(f"_l_{v}"), F.col(f"_r_{v}")
         aggregates.append(F.count_if(matched & (lv.isNull() != rv.isNull())).alias(f"_n_{v}"))
         aggregates.append(F.max(F.abs(lv.cast("double") - rv.cast("double"))).alias(f"_d_{v}"))
     measured = both.agg(*aggregates)
-    aligned = (F.col("only_left") == 0) & (F.col("only_right") == 0)
+    aligned = (F.col("only_left") == 0) & (F.col("only_right") == 0) & (F.col("repeated_keys") == 0)
     rows = [
         F.struct(
             F.lit(v).alias("column_name"),
-            F.col("rows_left"),
-            F.col("rows_right"),
-            F.col("only_left"),
-            F.col("only_right"),
+            *[F.col(c) for c in ("rows_left", "rows_right", "only_left", "only_right", "repeated_keys")],
             F.col(f"_n_{v}").alias("null_mismatches"),
             F.col(f"_d_{v}").alias("max_abs_delta"),
             (aligned & (F.col(f"_n_{v}") == 0) & (F.coalesce(F.col(f"_d_{v}"), F.lit(0.0)) <= tolerance)).alias("ok"),

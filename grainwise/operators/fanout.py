@@ -30,7 +30,7 @@ def fanout_report(parent: DataFrame, parent_key: str, children: Mapping[str, Chi
     never built: the work is linear in the input whatever the fan-out.
     """
     names = list(children)
-    joined = parent.groupBy(F.col(parent_key).alias("_key")).agg(F.count("*").alias("_n_parent"))
+    joined = parent.groupBy(F.col(parent_key).alias("_key")).agg(F.count("*").alias("_parents"))
     true_sums = []
     for name, child in children.items():
         per_key = child.rows.groupBy(F.col(child.key).alias("_key")).agg(
@@ -40,7 +40,7 @@ def fanout_report(parent: DataFrame, parent_key: str, children: Mapping[str, Chi
         true_sums.append(child.rows.agg(F.sum(child.measure).alias(f"true_{name}")))
 
     def repeats(skip: str | None = None) -> Column:
-        factor = F.col("_n_parent")
+        factor = F.col("_parents")
         for other in names:
             if other != skip:
                 factor = factor * F.col(f"_n_{other}")

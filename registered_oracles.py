@@ -353,6 +353,7 @@ def _compare_headline() -> str:
         rows.append(
             f"""select '{col}' as column_name, count(a.n) as rows_left, count(b.n) as rows_right,
                 count(*) filter (where b.n is null) as only_left, count(*) filter (where a.n is null) as only_right,
+                count(*) filter (where a.n > 1 or b.n > 1) as repeated_keys,
                 count(*) filter (where a.n is not null and b.n is not null
                                  and (a.{col} is null) <> (b.{col} is null)) as null_mismatches,
                 max(abs(cast(a.{col} as double) - cast(b.{col} as double))) as max_abs_delta
@@ -362,9 +363,9 @@ def _compare_headline() -> str:
     return with_ctes(
         ("d",),
         f"""
-        , a as (select *, 1 as n from ({LATENESS} from d group by is_late)),
-        b as (select *, 1 as n from ({HEADLINE}))
-        select *, only_left = 0 and only_right = 0 and null_mismatches = 0
+        , a as (select *, count(*) over (partition by is_late) as n from ({LATENESS} from d group by is_late)),
+        b as (select *, count(*) over (partition by is_late) as n from ({HEADLINE}))
+        select *, only_left = 0 and only_right = 0 and repeated_keys = 0 and null_mismatches = 0
                   and coalesce(max_abs_delta, 0) <= 0.011 as ok
         from ({union})""",
     )

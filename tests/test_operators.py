@@ -293,6 +293,8 @@ def test_compare_tables_sees_keys_and_nulls(spark):
     right = spark.createDataFrame([("a", 1.0), ("c", 2.0)], "k string, v double")
     got = compare_tables(left, right, "k", ["v"]).first()
     assert (got["rows_left"], got["rows_right"], got["only_left"], got["only_right"], got["ok"]) == (2, 2, 1, 1, False)
+    twice = compare_tables(left.unionByName(left), left, "k", ["v"]).first()
+    assert (twice["rows_left"], twice["rows_right"], twice["repeated_keys"], twice["ok"]) == (4, 2, 2, False)
     nulled = left.withColumn("v", F.when(F.col("k") == "a", F.col("v")))
     got = compare_tables(left, nulled, "k", ["v"]).first()
     assert (got["null_mismatches"], got["ok"]) == (1, False)
