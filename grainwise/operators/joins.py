@@ -23,12 +23,15 @@ SKETCH_GROUPS = 512
 def hot_keys(df: DataFrame, column: str, min_share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
     """Keys that hold at least ``min_share`` of all rows and ``min_rows`` rows.
 
-    One scan of one column into frequent-items sketches of fixed size, merged
+    A table too short to hold such a key is only counted. Otherwise it takes
+    one scan of one column into frequent-items sketches of fixed size, merged
     in two levels so that no task receives one from every scan task; the keys
     themselves are not shuffled. The answer only steers how a join is
     executed, never what it returns, so the sketch error is harmless. At most
     ``HOT_LIMIT`` keys come back to the driver; None stands for NULL.
     """
+    if df.count() < min_rows:
+        return []
     parts = (
         df.select(F.col(column).alias("key"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part"))
         .groupBy("part")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import category_label, delivery_columns, first_of_month
 from ..functions.labels import UNKNOWN_CATEGORY
-from ..operators.grain import collapse, keep_latest, top_by
+from ..operators.grain import collapse, collapse_together, keep_latest, top_by
 from ..operators.joins import join_many_to_one
 from ..operators.populations import is_cancelled
 from ..sources.readers import RawTables
@@ -51,20 +51,23 @@ ITEM_COLUMNS = (
 )
 
 
-def items_by_order(raw: RawTables) -> DataFrame:
-    extra = {} if raw.line_delivered is None else {DELIVERED_AT: F.max(raw.line_delivered)}
-    return collapse(
-        raw.order_items,
-        "order_id",
-        {
-            "item_count": F.count("*"),
-            "seller_count": F.countDistinct("seller_id"),
-            "product_revenue": F.sum("price"),
-            "freight_value": F.sum("freight_value"),
-            "order_value": F.sum(F.col("price") + F.col("freight_value")),
-            **extra,
-        },
-    )
+def items_by_order(raw: RawTables, columns: Sequence[str] = ITEM_TOTALS) -> DataFrame:
+    """The requested totals of each order's lines, and its delivery where lines hold it."""
+    totals = {
+        "item_count": F.count("*"),
+        "seller_count": F.countDistinct("seller_id"),
+        "product_revenue": F.sum("price"),
+        "freight_value": F.sum("freight_value"),
+        "order_value": F.sum(F.col("price") + F.col("freight_value")),
+    }
+    chosen = {name: totals[name] for name in columns}
+    used = ["order_id", "seller_id", "price", "freight_value"]
+    if raw.line_delivered is not None:
+        chosen[DELIVERED_AT] = F.max(raw.line_delivered)
+        used.append(raw.line_delivered)
+    if "seller_count" not in columns:
+        return collapse(raw.order_items, "order_id", chosen)
+    return collapse_together(raw.order_items.select(*used), "order_id", chosen, raw.hot("order_items", "order_id"))
 
 
 def delivered_by_order(raw: RawTables) -> DataFrame:
@@ -111,14 +114,13 @@ def build_fct_order(raw: RawTables, columns: Sequence[str] = ORDER_COLUMNS) -> D
     if set(columns) & set(CUSTOMER_COLUMNS):
         people = raw.customers.select("customer_id", *CUSTOMER_COLUMNS)
         fact = join_many_to_one(fact, people, "customer_id", "left", raw.hot("orders", "customer_id"))
-    totals_wanted = bool(set(columns) & set(ITEM_TOTALS))
-    if raw.line_delivered is not None and not totals_wanted:
-        lines = delivered_by_order(raw)
-    else:
-        lines = items_by_order(raw)
+    totals = [c for c in ITEM_TOTALS if c in columns]
+    if totals:
+        fact = fact.join(items_by_order(raw, totals), "order_id", "left")
+    elif raw.line_delivered is not None:
+        fact = fact.join(delivered_by_order(raw), "order_id", "left")
     fact = (
-        fact.join(lines, "order_id", "left")
-        .join(payments_by_order(raw.order_payments), "order_id", "left")
+        fact.join(payments_by_order(raw.order_payments), "order_id", "left")
         .join(reviews_by_order(raw.order_reviews, ["review_score"]), "order_id", "left")
     )
     purchased = F.col("order_purchase_timestamp")

@@ -122,10 +122,8 @@ def queries() -> dict[str, Query]:
 
 
 def _order(raw: RawTables, *columns: str) -> DataFrame:
-    """The order fact, without the customer join unless a column asks for it."""
-    if columns:
-        return marts.build_fct_order(raw, columns)
-    return marts.build_fct_order(raw)
+    """The order fact with the columns asked for, or all that any metric uses."""
+    return marts.build_fct_order(raw, columns or METRIC_COLUMNS)
 
 
 # Enough for lateness and scores: no item totals, so undelivered lines stay unread.
@@ -134,7 +132,9 @@ DURATIONS = (
     "is_cancelled", "is_delivered", "order_purchase_timestamp", marts.DELIVERED_AT,
     "delivery_days", "estimated_days",
 )
-ORDER_ONLY = tuple(c for c in marts.ORDER_COLUMNS if c not in marts.CUSTOMER_COLUMNS)
+# No metric uses the exact count of sellers, which has a shuffle of its own.
+METRIC_COLUMNS = tuple(c for c in marts.ORDER_COLUMNS if c != "seller_count")
+ORDER_ONLY = tuple(c for c in METRIC_COLUMNS if c not in marts.CUSTOMER_COLUMNS)
 ITEM_ONLY = tuple(c for c in marts.ITEM_COLUMNS if c != "customer_state")
 
 

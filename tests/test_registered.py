@@ -80,6 +80,14 @@ def test_orders_are_shuffled_once_by_order(spark, no_broadcast):
     assert plan.count("Exchange") <= 5
 
 
+def test_distinct_sellers_cost_one_shuffle_of_the_lines(spark, no_broadcast):
+    assert plan_of(QUERIES["items_by_order"](spark, SF_DIR)).count("Exchange") == 1
+    plan = plan_of(QUERIES["fct_order"](spark, SF_DIR))
+    assert "hashpartitioning(order_id#" in plan and "REPARTITION_BY_COL" in plan
+    assert "seller_id" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+    assert "REPARTITION_BY_COL" not in plan_of(QUERIES["metrics_total"](spark, SF_DIR))
+
+
 def test_no_payment_work_unless_asked_for(spark, no_broadcast):
     assert "events.parquet" not in plan_of(QUERIES["state_performance"](spark, SF_DIR))
     assert "events.parquet" in plan_of(QUERIES["fct_order"](spark, SF_DIR))
