@@ -1,24 +1,32 @@
-"""Combine one-row totals of several tables without a cross join."""
+"""Combine totals of several tables without a join."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge_totals(*one_row: DataFrame) -> DataFrame:
-    """One row holding the columns of all the given one-row tables.
+def merge_groups(dims: Sequence[str], *grouped: DataFrame) -> DataFrame:
+    """One table with the measures of several tables grouped by the same ``dims``.
 
-    The rows are stacked with NULL in the columns they lack and folded with
-    ``max``, which ignores NULL; each column has a value in one row only.
+    The rows are stacked with NULL in the measures they lack and folded with
+    ``max``, which ignores NULL; each measure has a value in one row of a
+    group only. Unlike a join this matches NULL dimensions, keeps groups that
+    one table lacks, and needs no key at all when there are no dimensions.
     """
-    names = [c for df in one_row for c in df.columns]
+    names = [c for df in grouped for c in df.columns if c not in dims]
     if len(names) != len(set(names)):
-        raise ValueError("totals must not share column names")
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row)
-    return stacked.agg(*[F.max(c).alias(c) for c in names])
+        raise ValueError("merged tables must not share measure names")
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), grouped)
+    return stacked.groupBy(*dims).agg(*[F.max(c).alias(c) for c in names])
+
+
+def merge_totals(*one_row: DataFrame) -> DataFrame:
+    """One row holding the columns of all the given one-row tables."""
+    return merge_groups((), *one_row)
 
 
 def grand_totals(df: DataFrame, **aggregates) -> DataFrame:

@@ -18,18 +18,22 @@ from ..functions import mean, ratio
 from ..functions.numbers import rounded_sql
 from ..operators.calendar import month_over_month, year_to_date
 from ..operators.populations import delivered, reviewed, sales, sales_rows
-from ..operators.totals import merge_totals
+from ..operators.totals import merge_groups, merge_totals
 
 ORDER, ITEM = "order", "item"
 
 
 @dataclass(frozen=True)
 class Metric:
-    """``build`` gives an aggregate; with ``needs`` it is built from other metrics instead."""
+    """``build`` gives an aggregate; with ``needs`` it is built from other metrics instead.
+
+    ``distinct`` marks an exact distinct count.
+    """
 
     fact: str
     build: Callable[[], Column]
     needs: tuple[str, ...] = ()
+    distinct: bool = False
 
 
 def _in(population: Callable[[], Column], value: str) -> Column:
@@ -57,7 +61,7 @@ METRICS: dict[str, Metric] = {
     "product_revenue": Metric(ORDER, lambda: F.sum(_in(sales, "product_revenue"))),
     "freight_revenue": Metric(ORDER, lambda: F.sum(_in(sales, "freight_value"))),
     "total_orders": Metric(ORDER, lambda: F.count_if(sales())),
-    "total_customers": Metric(ORDER, lambda: F.countDistinct(_in(sales, "customer_unique_id"))),
+    "total_customers": Metric(ORDER, lambda: F.countDistinct(_in(sales, "customer_unique_id")), distinct=True),
     "items_ordered": Metric(ORDER, lambda: F.sum(_in(sales, "item_count"))),
     "aov": Metric(ORDER, _over("total_revenue", "total_orders"), ("total_revenue", "total_orders")),
     "avg_valued_order": Metric(ORDER, lambda: mean(_in(sales, "order_value"))),
@@ -168,6 +172,10 @@ def evaluate(
     metric's own population then intersects it. Subtotal rows of a rollup or
     cube carry NULL in the dimension and their level in ``grouping_id``.
     ``approximate`` swaps the exact distinct count for a sketch within 1%.
+
+    An exact distinct count is aggregated on its own and merged in: beside it,
+    every other aggregate would be shuffled once per counted value instead of
+    once per group, and the joins only the others need would not drop out.
     """
     facts = {METRICS[n].fact for n in metrics}
     if len(facts) != 1:
@@ -176,12 +184,17 @@ def evaluate(
         raise ValueError(f"unknown grouping: {grouping}")
     base, derived = _resolve(metrics)
     sketches = APPROXIMATE if approximate else {}
-    aggregates = [sketches.get(n, METRICS[n].build)().alias(n) for n in base]
-    levels = []
-    if grouping != "groupBy":
-        aggregates.append(F.grouping_id().alias("grouping_id"))
-        levels = ["grouping_id"]
-    out = getattr(fact, grouping)(*dims).agg(*aggregates)
+    levels = [] if grouping == "groupBy" else ["grouping_id"]
+
+    def grouped(names: list[str]) -> DataFrame:
+        level = [F.grouping_id().alias("grouping_id")] if levels else []
+        aggregates = [sketches.get(n, METRICS[n].build)().alias(n) for n in names]
+        return getattr(fact, grouping)(*dims).agg(*level, *aggregates)
+
+    exact = [n for n in base if METRICS[n].distinct and n not in sketches]
+    plain = [n for n in base if n not in exact]
+    parts = [grouped(names) for names in (plain, *[[n] for n in exact]) if names]
+    out = parts[0] if len(parts) == 1 else merge_groups([*dims, *levels], *parts)
     if derived:
         # One projection: a derived metric may refer to one listed before it.
         out = out.select("*", *[METRICS[n].build().alias(n) for n in derived])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import BUCKET_LABELS, is_late, mean, rounded, whole_days_late
 from ..operators.populations import delivered_rows, is_cancelled, sales_rows
+from ..operators.totals import merge_groups
 from ..sources.readers import RawTables
 from .marts import DELIVERED_AT, delivered_by_order, reviews_by_order
 
@@ -27,15 +28,15 @@ def _star_share(score: int) -> Column:
 
 def monthly_sales(fct_order: DataFrame) -> DataFrame:
     """``aov`` here averages orders that have a value; see the metric ``aov`` for the ratio."""
-    return (
-        sales_rows(fct_order)
-        .groupBy("order_month")
-        .agg(
+    months = sales_rows(fct_order).groupBy("order_month")
+    return merge_groups(
+        ["order_month"],
+        months.agg(
             F.count("*").alias("orders"),
             _money("order_value"),
             rounded(mean(F.col("order_value")), 2).alias("aov"),
-            F.countDistinct("customer_unique_id").alias("customers"),
-        )
+        ),
+        months.agg(F.countDistinct("customer_unique_id").alias("customers")),
     )
 
 

@@ -23,7 +23,7 @@ from grainwise.operators.joins import HOT_LIMIT, hot_keys, join_many_to_one, wit
 from grainwise.operators.populations import enough_volume, slice_rows, too_little_volume
 from grainwise.operators.shares import cumulative_share, scaled_to_max, share_of_total, step_change, top_n
 from grainwise.operators.stats import correlation, exact_median, histogram, paired_histogram
-from grainwise.operators.totals import load_audit, merge_totals
+from grainwise.operators.totals import load_audit, merge_groups, merge_totals
 
 
 def rows(df):
@@ -313,6 +313,9 @@ def test_merge_totals_and_audit(spark):
     assert merge_totals(one, two).first().asDict() == {"a": 1, "b": "x", "c": None}
     with pytest.raises(ValueError):
         merge_totals(one, one)
+    left = spark.createDataFrame([("x", 1), (None, 2)], "d string, a int")
+    right = spark.createDataFrame([(None, 5), ("y", 6)], "d string, b int")
+    assert rows(merge_groups(["d"], left, right)) == [("x", 1, None), ("y", None, 6), (None, 2, 5)]
     audit = load_audit({"one": one, "two": two, "three": one}, {"one": 1, "two": 5}).collect()
     assert {r["table_name"]: r["status"] for r in audit} == {"one": "PASS", "two": "FAIL", "three": None}
 
