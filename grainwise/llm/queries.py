@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, token_counts, warc
-from .shared import new_folder, ship_package
+from . import bpe, language, minhash, packing, quality, secrets, token_counts, warc
+from .shared import held_out, new_folder, ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    machine = quality.learn(docs, _table(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = quality.score_quality(docs, machine)
+    return scored.select("doc_id", held_out(1, 3).alias("held_out"), "score", "predicted")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -38,6 +45,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    judged = language.identify(docs.select("doc_id", "text"), language.learn(docs))
+    return judged.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
@@ -46,7 +64,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op4_byte_bpe, op5_packing, op10_warc)
+    f.__name__: f for f in (
+        op1_minhash_near_dedup,
+        op2_token_counts,
+        op3_quality_classifier,
+        op4_byte_bpe,
+        op5_packing,
+        op6_secret_scan,
+        op7_language_id,
+        op10_warc,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 512
 
 
 def crc32_of_id(column: str = "doc_id") -> Column:
@@ -55,12 +56,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows that hold about ``limit`` bytes of text, one row at least."""
+    """Cut batches into runs of at most SLICE_ROWS rows that hold about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
         start = size = 0
         for row, length in enumerate(lengths):
-            if row > start and size + length > limit:
+            if row > start and (size + length > limit or row - start == SLICE_ROWS):
                 yield batch.slice(start, row - start)
                 start, size = row, 0
             size += length
