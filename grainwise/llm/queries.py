@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, minhash, packing, quality, secrets, token_counts, warc
+from . import bpe, embedding_dedup, language, minhash, packing, quality, secrets, token_counts, topk, warc
 from .shared import held_out, new_folder, ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -56,6 +57,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_packing,
         op6_secret_scan,
         op7_language_id,
+        op8_exact_topk,
+        op9_embedding_near_dedup,
         op10_warc,
     )
 }
@@ -107,6 +119,47 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept
         from sets join smallest on smallest.id = doc_id
     """,
+    "op8_exact_topk": """
+        with usable as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, c.vec_id,
+                cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+            from usable q join usable c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+            where q.vec_id % 100 = 0
+        ),
+        ranked as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank
+            from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 10
+    """,
+    "op9_embedding_near_dedup": """
+        with recursive usable as (
+            select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v
+            from embeddings
+            where embedding is not null and label is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links as (
+            select x.vec_id as a, y.vec_id as b
+            from usable x join usable y on x.label = y.label and x.vec_id <> y.vec_id and len(x.v) = len(y.v)
+            where list_cosine_similarity(x.v, y.v) >= 0.93
+        ),
+        reach as (
+            select vec_id as id, vec_id as seen from embeddings
+            union
+            select reach.id, links.b from reach join links on links.a = reach.seen
+        ),
+        smallest as (select id, min(seen) as component_id from reach group by id),
+        degree as (select a, count(*) as n from links group by a)
+        select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+        from embeddings join smallest on smallest.id = vec_id left join degree on degree.a = vec_id
+    """,
     "op10_warc": """
         with payloads as (
             select page_id, encode(coalesce(html, '')) as payload from pages
