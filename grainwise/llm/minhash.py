@@ -24,6 +24,8 @@ are in one component already.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,7 @@ LIKELY = 0.63  # estimates from here on are confirmed; 0.75 less 4.25 standard d
 SHARP_HASHES = 2048  # of one bit each, for the rows of buckets that hold several components
 SHARP_LIKELY = 0.687  # 0.75 less 4.3 standard deviations of 0.0146
 MATCH_PERCENT = 75
+SET_BLOCK = 512
 CHUNK = 4096
 
 
@@ -60,18 +63,15 @@ def minima(values: np.ndarray, sizes: np.ndarray, functions: tuple[np.ndarray, n
     number = len(multiply)
     out = np.full((len(sizes), number), np.iinfo(np.uint32).max, dtype=np.uint32)
     ends = np.cumsum(sizes)
-    # High halves decide the order; each function multiplies another mix of both halves.
-    high, low = (values >> np.uint64(32)).astype(np.uint32), values.astype(np.uint32)
+    high = (values >> np.uint64(32)).astype(np.uint32)
     for start in range(0, len(values), CHUNK):
         stop = min(start + CHUNK, len(values))
         rows = np.searchsorted(ends, np.arange(start, stop), side="right")
         first, at = np.unique(rows, return_index=True)
-        a, b = high[start:stop], low[start:stop]
+        a = high[start:stop]
         for k in range(number):
-            x = a * multiply[k] + add[k]
-            x ^= x >> np.uint32(15)
-            x += b
-            x *= multiply[number - 1 - k]
+            x = a * multiply[k]
+            x += add[k]
             x ^= x >> np.uint32(16)
             x *= np.uint32(0x85EBCA6B)
             out[first, k] = np.minimum(out[first, k], np.minimum.reduceat(x, at))
@@ -172,16 +172,31 @@ def estimated(left: Column, right: Column, hashes: int = HASHES, bits: int = BIT
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets have 100 * intersection >= 75 * union."""
+    """Those pairs (a, b) of classes whose full sets have 100 * intersection >= 75 * union.
+
+    Classes are dealt to blocks of about SET_BLOCK, and pairs to pairs of blocks, so
+    that a set moves once for all of its pairs there.
+    """
     pairs = checkpointed(pairs)
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ends, "class", "left_semi").select("class", "set_a", "set_b")
-    sets = full_sets(docs, wanted)
-    a = sets.select(F.col("class").alias("a"), F.size("shingles").alias("n_a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("class").alias("b"), F.size("shingles").alias("n_b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    sized = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("sum"))
-    return sized.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * MATCH_PERCENT).select("a", "b")
+    ends = checkpointed(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+    sets = full_sets(docs, classes.join(ends, "class", "left_semi").select("class", "set_a", "set_b"))
+    blocks = F.lit(math.ceil(ends.count() / SET_BLOCK) or 1)
+    block = lambda end: F.pmod(F.xxhash64(end), blocks)
+    placed = pairs.select("a", "b", block("a").alias("p"), block("b").alias("q"))
+    needed = placed.select("p", "q", F.col("a").alias("class")).union(placed.select("p", "q", "b"))
+    needed = needed.distinct().toDF("of_p", "of_q", "class")
+
+    def compare(pairs_here: pa.Table, sets_here: pa.Table) -> pa.Table:
+        numbers = sets_here["class"].to_pylist()
+        of = dict(zip(numbers, sets_here["shingles"].combine_chunks().to_numpy(zero_copy_only=False))) if numbers else {}
+        keep = []
+        for a, b in zip(pairs_here["a"].to_pylist(), pairs_here["b"].to_pylist()):
+            shared = len(np.intersect1d(of[a], of[b], assume_unique=True))
+            keep.append(100 * shared >= MATCH_PERCENT * (len(of[a]) + len(of[b]) - shared))
+        return pairs_here.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    both = placed.groupBy("p", "q").cogroup(needed.join(sets, "class").groupBy("of_p", "of_q"))
+    return both.applyInArrow(compare, "a bigint, b bigint")
 
 
 def _open_rows(buckets: DataFrame, joined: DataFrame) -> DataFrame:
