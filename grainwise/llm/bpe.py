@@ -19,10 +19,9 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from .pretokens import pretoken_blocks
+from .pretokens import Splitter
 from .shared import map_slices
 
 MEMORY_ENTRIES = 500_000
@@ -166,10 +165,10 @@ def coder(path: str) -> BytePairCoder:
     return BytePairCoder(read_ranks(path))
 
 
-def text_ids(bpe: BytePairCoder, pattern: regex.Pattern, text: str) -> Iterator[list[int]]:
+def text_ids(bpe: BytePairCoder, splitter: Splitter, text: str) -> Iterator[list[int]]:
     """Ids of a whole text, block by block."""
     known, encode = bpe.known, bpe.encode
-    for block in pretoken_blocks(pattern, text):
+    for block in splitter.blocks(text):
         ids: list[int] = []
         add = ids.extend
         for pretoken in block:
@@ -187,7 +186,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("__id"), docs[text].alias("__text"))
-    return map_slices(rows, run, f"`{id_column}` {kind}, ids array<int>", "__text", lambda: (coder(path), regex.compile(pattern)))
+    return map_slices(rows, run, f"`{id_column}` {kind}, ids array<int>", "__text", lambda: (coder(path), Splitter(pattern)))
 
 
 def decode_documents(encoded: DataFrame, path: str, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -237,7 +236,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def setup():
         bpe = coder(path)
-        return bpe, regex.compile(pattern), [str(i) for i in range(len(bpe.tokens))]
+        return bpe, Splitter(pattern), [str(i) for i in range(len(bpe.tokens))]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"].alias("__id"), docs["text"].alias("__text"))

@@ -24,11 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .pretokens import pretoken_blocks
+from .pretokens import Splitter
 from .shared import text_slices
 
 SEQUENCE_TOKENS = 2048
@@ -66,7 +65,7 @@ class IdsOfPretokens:
 
         self.model = Tokenizer.from_file(path).model
         self.alphabet = _byte_alphabet()
-        self.pattern = regex.compile(pattern)
+        self.splitter = Splitter(pattern)
         self.known: dict[str, bytes] = {}
 
     def _learn(self, block: list[str]) -> dict[str, bytes]:
@@ -84,7 +83,7 @@ class IdsOfPretokens:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the token offsets at which its sentences end."""
         parts, ends, at = [], [], 0
-        for block in pretoken_blocks(self.pattern, text):
+        for block in self.splitter.blocks(text):
             known = self._learn(block)
             ids = [known[p] for p in block]
             last = np.fromiter((p[-1] in _SENTENCE_LAST for p in block), dtype=bool, count=len(block))

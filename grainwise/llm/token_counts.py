@@ -18,11 +18,10 @@ from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .bpe import read_ranks
-from .pretokens import pretoken_blocks
+from .pretokens import Splitter
 from .shared import map_slices
 
 TRIE_NODES = 400_000
@@ -113,7 +112,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         tokens, pretokens = [], []
         for text in part.column("__text").to_pylist():
             n = words = 0
-            for block in pretoken_blocks(split, text or ""):
+            for block in split.blocks(text or ""):
                 n += sum(map(counts.pieces, block))
                 words += len(block)
             tokens.append(n)
@@ -124,4 +123,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"].alias("__id"), docs["text"].alias("__text"))
     schema = f"doc_id {kind}, n_tokens bigint, n_pretokens bigint"
-    return map_slices(rows, run, schema, "__text", lambda: (counter(path), regex.compile(pattern)))
+    return map_slices(rows, run, schema, "__text", lambda: (counter(path), Splitter(pattern)))
