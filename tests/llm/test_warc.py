@@ -1,0 +1,99 @@
+"""ARC parsing, WARC synthesis and the whole way through files."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+
+import pytest
+
+from grainwise.llm import warc
+
+
+def digest(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_arc_records_by_declared_length(version):
+    tricky = "\n\nhttp://x 0.0.0.0 20000101000000 text/html 5\r\n\r\nWARC/1.1\r\n é".encode()
+    data = warc.arc_version_block(version, "a.arc") + warc.page_arc(version, 3, "http://h/é p", tricky) + warc.page_arc(version, 4, None, b"")
+    opening, one, two = warc.parse_arc(data)
+    assert opening.fields["URL"] == "filedesc://a.arc" and opening.version == version
+    assert set(one.fields) == set(warc.ARC_FIELDS[version])
+    assert warc.split_http(one.block)[1] == tricky and warc.split_http(two.block)[1] == b""
+    assert one.fields["URL"] == "http://h/%C3%A9%20p#3" and warc.page_of(two.fields["URL"]) == 4
+
+
+@pytest.mark.parametrize(
+    ("damage", "message"),
+    [
+        (lambda d: d[:-20], "shorter than declared"),
+        (lambda d: d.replace(b"1 0 grainwise", b"9 0 grainwise"), "no ARC version"),
+        (lambda d: d + b"http://x 0.0.0.0 2000 text/html no\n", "no length"),
+        (lambda d: d + b"http://x 0.0.0.0 3\nabc\n", "fields"),
+        (lambda d: d + b"http://x 0.0", "unfinished"),
+    ],
+)
+def test_damaged_arc_is_refused(damage, message):
+    data = warc.arc_version_block("1", "a.arc") + warc.page_arc("1", 3, "http://h", b"some payload here")
+    with pytest.raises(ValueError, match=message):
+        list(warc.parse_arc(damage(data)))
+
+
+def test_warc_records_and_dates():
+    data = warc.arc_version_block("1", "a.arc") + warc.page_arc("1", 3, "https://h/x", b"pay\r\n\r\nload")
+    opening, page = warc.parse_arc(data)
+    first, other = warc.to_warc(page), warc.to_warc(page, "https://h/y#1")
+    info = warc.to_warc(opening)
+    assert info.headers["WARC-Type"] == "warcinfo" and first.headers["WARC-Type"] == "response" and other.headers["WARC-Type"] == "revisit"
+    assert first.headers["WARC-Payload-Digest"] == other.headers["WARC-Payload-Digest"] == "sha1:" + digest(b"pay\r\n\r\nload")
+    assert first.headers["WARC-Date"] == "2000-01-01T00:00:00Z" and warc.warc_date("199912") == "1999-12-01T00:00:00Z"
+    assert other.headers["WARC-Refers-To"] == warc.record_id("https://h/y#1", "2000-01-01T00:00:00Z", digest(b"pay\r\n\r\nload"))
+    assert other.block.endswith(b"\r\n\r\n") and b"load" not in other.block
+    text = b"".join(r.to_bytes() + b"\r\n\r\n" for r in (info, first, other))
+    back = list(warc.parse_warc(text))
+    assert [r.block for r in back] == [info.block, first.block, other.block]
+    with pytest.raises(ValueError, match="shorter"):
+        list(warc.parse_warc(text[:-30]))
+
+
+def test_pages_through_files(spark, tmp_path):
+    shared = "<p>same\r\n\r\nWARC/1.1 é</p>"
+    rows = [(5, "http://a/5", shared), (2, "http://a/2", shared), (9, None, None), (7, "no scheme", ""), (None, "http://n", shared),
+            (11, "http://a b/\n", "<i>one</i>"), (11, "http://a b/\n", "<i>one</i>"), (12, "http://l", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' as digest", "1 as first", "2 as bytes")
+    for version in ("1", "2"):
+        folder = str(tmp_path / version)
+        warc.write_warc(pages, folder, arc_version=version, archive_bytes=2000)
+        assert len(list((tmp_path / version).glob("*.gz"))) > 1
+        found = warc.read_warc(spark, folder).collect()
+        got = {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found}
+        size, one = len(shared.encode()), digest(shared.encode())
+        assert len(found) == len(rows)
+        assert got == {
+            (2, size, one, "response", None), (5, size, one, "revisit", 2), (None, size, one, "revisit", 2),
+            (7, 0, digest(b""), "response", None), (9, 0, digest(b""), "revisit", 7),
+            (11, 10, digest(b"<i>one</i>"), "response", None), (12, 300_000, digest(b"x" * 300_000), "response", None),
+        }
+        assert next(r for r in found if r["page_id"] == 2)["html"] == shared
+
+
+def test_small_payloads_are_no_revisits(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a", "ab"), (2, "http://b", "ab"), (3, "http://c", "abc"), (4, "http://d", "abc")], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"), revisit_from=3)
+    assert sorted((r["page_id"], r["record_type"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == [
+        (1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
+
+
+def test_no_pages(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    assert warc.read_warc(spark, str(tmp_path / "w")).collect() == []
+
+
+def test_native_base32(spark):
+    from pyspark.sql import functions as F
+
+    one = spark.createDataFrame([("abc",), ("",)], "t string").select("t", warc.base32_of_hex(F.sha1(F.col("t").cast("binary"))).alias("d"))
+    assert all(r["d"] == digest(r["t"].encode()) for r in one.collect())
