@@ -28,8 +28,10 @@ def paired_histogram(df: DataFrame, values: dict[str, Column], width: int, name:
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson correlation as an aggregate; rows with a NULL are skipped."""
-    return F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
+    """Pearson correlation as an aggregate; rows with a NULL are skipped, and without spread there is none."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
 
 
 # Bin widths of the exact median over microseconds: a day, a second, one.

@@ -43,14 +43,32 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def load_audit(tables: dict[str, DataFrame], expected: dict[str, int] | None = None) -> DataFrame:
-    """Row counts beside the expected ones; status is NULL where none is given."""
-    expected = expected or {}
+def load_audit(
+    tables: dict[str, DataFrame],
+    expected: dict[str, int] | None = None,
+    rejected: dict[str, DataFrame] | None = None,
+    allowance: int = 0,
+) -> DataFrame:
+    """Row counts beside the expected ones, and how many records of each table were rejected.
+
+    A table fails when its count differs from the expected one, or when more
+    than ``allowance`` of its records were rejected. Status is NULL where
+    nothing is expected and nothing known of rejects. ``records`` counts what
+    was read: rows and rejects.
+    """
+    expected, rejected = expected or {}, rejected or {}
     want = F.lit(None).cast("long")
     for name, n in expected.items():
         want = F.when(F.col("table_name") == name, F.lit(n).cast("long")).otherwise(want)
-    counted = row_counts(tables).withColumn("expected", want)
-    status = F.when(F.col("expected").isNull(), F.lit(None).cast("string")).when(
-        F.col("row_count") == F.col("expected"), "PASS"
-    )
-    return counted.withColumn("status", status.otherwise("FAIL"))
+    counted = row_counts(tables)
+    if rejected:
+        lost = row_counts(rejected).withColumnRenamed("row_count", "rejected")
+        counted = merge_groups(["table_name"], counted, lost)
+    else:
+        counted = counted.withColumn("rejected", F.lit(None).cast("long"))
+    counted = counted.withColumn("records", F.col("row_count") + F.coalesce("rejected", F.lit(0)))
+    counted = counted.withColumn("expected", want)
+    off = F.coalesce(F.col("row_count") != F.col("expected"), F.lit(False))
+    spoilt = F.coalesce(F.col("rejected") > allowance, F.lit(False))
+    known = F.col("expected").isNotNull() | F.col("rejected").isNotNull()
+    return counted.withColumn("status", F.when(off | spoilt, "FAIL").when(known, "PASS"))

@@ -20,6 +20,7 @@ from ..sources.readers import RawTables
 
 DELIVERED_AT = "order_delivered_customer_date"
 
+# The columns of the published marts, in their order.
 CUSTOMER_COLUMNS = ("customer_unique_id", "customer_state", "customer_city")
 
 ORDER_COLUMNS = (

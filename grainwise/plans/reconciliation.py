@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from ..operators.totals import merge_totals
 from ..schemas import RULES
 from ..sources.readers import RawTables
 from .metrics import evaluate
-from .reports import headline_from_raw, review_by_lateness
+from .raw_sql import REPORTS, report_from_raw
+from .reports import review_by_lateness
 
 
 def reconciliation_totals(raw: RawTables, fct_order: DataFrame, fct_order_item: DataFrame) -> DataFrame:
@@ -47,6 +51,7 @@ def reconciliation_checks(payment_gap: float | None = None, unpaid_orders: int |
     def same(a: str, b: str) -> Column:
         return F.col(a).eqNullSafe(F.col(b))
 
+    # The published names of the checks.
     return [
         Check(
             "fct_order is one row per order",
@@ -136,10 +141,22 @@ def additivity(fct_order: DataFrame, fct_order_item: DataFrame) -> DataFrame:
     return totals.withColumn("additive", F.col("sum_of_categories").eqNullSafe(F.col("total_revenue")))
 
 
+def compare_report(raw: RawTables, name: str, report: DataFrame) -> DataFrame:
+    """A report from the marts against the same from SQL over the raw tables, which shares no code with it."""
+    key, _ = REPORTS[name]
+    other = report_from_raw(raw, name)
+    return compare_tables(report, other, key, [c for c in other.columns if c != key])
+
+
 def compare_headline(raw: RawTables, fct_order: DataFrame) -> DataFrame:
-    """The lateness report from the marts against the same from the raw tables."""
-    values = ["orders", "avg_review", "pct_1_star", "pct_5_star"]
-    return compare_tables(review_by_lateness(fct_order), headline_from_raw(raw), "is_late", values)
+    """The lateness report from the marts against the raw tables."""
+    return compare_report(raw, "review_by_lateness", review_by_lateness(fct_order))
+
+
+def comparisons(raw: RawTables, reports: Mapping[str, DataFrame]) -> DataFrame:
+    """All reports compared, one row per report and column."""
+    parts = [compare_report(raw, name, df).select(F.lit(name).alias("report"), "*") for name, df in reports.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def orders_without_review(raw: RawTables) -> DataFrame:

@@ -14,6 +14,7 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in columns.items()])
 
 
+# Names and types of the published raw tables.
 SCHEMAS: dict[str, T.StructType] = {
     "customers": _table(
         customer_id=_S,

@@ -16,6 +16,7 @@ from ..schemas import MULTILINE_TABLES, SCHEMAS, TRIMMED_COLUMNS
 CORRUPT = "_corrupt_record"
 REJECTED = "rejected"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+WHOLE = (T.ShortType, T.IntegerType, T.LongType)
 
 
 @dataclass
@@ -40,6 +41,8 @@ class RawTables:
     hot_share: float = HOT_SHARE
     hot_rows: int = HOT_ROWS
     known_hot: dict = field(default_factory=dict, repr=False)
+    # Rejected records by table, of tables that were landed from files.
+    rejected: dict = field(default_factory=dict, repr=False)
 
     def by_name(self) -> dict[str, DataFrame]:
         """The tables under their declared names."""
@@ -65,10 +68,15 @@ def read_csv(
     A record that does not fit keeps its raw text in ``_corrupt_record`` and
     NULL in the cells that failed; see :func:`split_quarantine`. A header that
     names other columns is an error. ``files`` maps a table to its file name
-    where that is not ``<table>.csv``.
+    where that is not ``<table>.csv``. Whole numbers may be written with a
+    fraction of zeros (``40.0``), as spreadsheets do; any other fraction is
+    rejected with its record.
     """
     declared = SCHEMAS[table]
-    schema = T.StructType([*declared.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    whole = [f for f in declared.fields if isinstance(f.dataType, WHOLE)]
+    # Whole numbers are read as decimals first, which hold any of them exactly.
+    fields = [T.StructField(f.name, T.DecimalType(20, 4)) if f in whole else f for f in declared.fields]
+    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType(), True)])
     name = (files or {}).get(table, f"{table}.csv")
     df = (
         spark.read.schema(schema)
@@ -83,6 +91,15 @@ def read_csv(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(f"{root}/{name}")
     )
+    fits = F.lit(True)
+    for f in whole:
+        fits = fits & F.coalesce(F.col(f.name) == F.col(f.name).try_cast(f.dataType), F.col(f.name).isNull())
+    # All cells of a rejected record are kept as text; the reader has it only for what it rejected itself.
+    as_text = F.concat_ws(",", *(F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in declared.fields))
+    df = df.withColumns(
+        {CORRUPT: F.when(fits, F.col(CORRUPT)).otherwise(F.coalesce(CORRUPT, as_text))}
+        | {f.name: F.col(f.name).try_cast(f.dataType) for f in whole}
+    )
     trimmed = () if keep_text else TRIMMED_COLUMNS.get(table, ())
     return df.drop(*trimmed)
 
@@ -116,7 +133,7 @@ def load_parquet(spark: SparkSession, root: str) -> RawTables:
     """The landed tables, ready for the mart builders."""
     tables = {name: _landed(spark, root, name).where(~F.col(REJECTED)).drop(CORRUPT, REJECTED) for name in SCHEMAS}
     tables["category_translation"] = tables.pop("product_category_translation")
-    return RawTables(**tables)
+    return RawTables(**tables, rejected={name: quarantined(spark, root, name) for name in SCHEMAS})
 
 
 def quarantined(spark: SparkSession, root: str, table: str) -> DataFrame:

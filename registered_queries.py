@@ -516,6 +516,36 @@ def compare_headline(raw):
     return recon.compare_headline(raw, _order(raw, *LATENESS))
 
 
+@query
+def compare_monthly(raw):
+    fact = _order(raw, "order_month", "is_cancelled", "order_value", "customer_unique_id")
+    return recon.compare_report(raw, "monthly_sales", reports.monthly_sales(fact))
+
+
+@query
+def compare_category(raw):
+    return recon.compare_report(raw, "category_performance", reports.category_performance(_item(raw)))
+
+
+@query
+def compare_state(raw):
+    return recon.compare_report(raw, "state_performance", reports.state_performance(_order(raw)))
+
+
+@query
+def compare_delivery(raw):
+    report = reports.delivery_vs_review(_order(raw, *ORDER_ONLY))
+    return recon.compare_report(raw, "delivery_vs_review", report)
+
+
+@query
+def reconciliation_grown_gap(raw):
+    """The checks with bounds that the benchmark's payments exceed."""
+    order = _order(raw, "order_id", "product_revenue", "order_value", "payment_value")
+    items = _item(raw, "order_id", "item_value", "order_status")
+    return recon.reconcile(raw, order, items, payment_gap=0.02, unpaid_orders=1).drop("note")
+
+
 @query
 def additivity(raw):
     order = _order(raw, "order_value", "is_cancelled")

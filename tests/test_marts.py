@@ -24,8 +24,8 @@ from grainwise.plans.marts import (
 
 
 def test_grain(orders, lines):
-    assert len(orders) == 4
-    assert len(lines) == 6
+    assert len(orders) == 6
+    assert len(lines) == 10
 
 
 def test_columns(raw):
@@ -34,51 +34,52 @@ def test_columns(raw):
 
 
 def test_nothing_is_counted_twice(orders, lines):
-    assert sum(r["order_value"] or 0 for r in orders.values()) == Decimal(600)
-    assert sum(r["item_value"] for r in lines) == Decimal(600)
-    assert (orders["o1"]["item_count"], orders["o1"]["order_value"], orders["o1"]["seller_count"]) == (3, 200, 2)
+    assert sum(r["order_value"] or 0 for r in orders.values()) == Decimal(862)
+    assert sum(r["item_value"] for r in lines) == Decimal(862)
+    assert (orders["k14"]["item_count"], orders["k14"]["order_value"], orders["k14"]["seller_count"]) == (3, 90, 3)
 
 
 def test_payments_are_collapsed(orders):
-    o2 = orders["o2"]
-    assert (o2["payment_value"], o2["payment_splits"], o2["max_installments"]) == (230, 3, 6)
-    assert o2["primary_payment_type"] == "credit_card"
+    split = orders["k11"]
+    assert (split["payment_value"], split["payment_splits"], split["max_installments"]) == (140, 3, 4)
+    assert split["primary_payment_type"] == "credit_card"
+    assert orders["k13"]["payment_value"] is None
 
 
 def test_lateness_is_in_whole_days_and_three_valued(spark, raw, orders):
-    assert [orders[o]["delay_days"] for o in ("o1", "o2", "o3", "o4")] == [-2, 0, 1, None]
-    assert [orders[o]["is_late"] for o in ("o1", "o2", "o3", "o4")] == [False, False, True, None]
+    assert [orders[o]["delay_days"] for o in sorted(orders)] == [-12, 0, 1, 6, None, None]
+    assert [orders[o]["is_late"] for o in sorted(orders)] == [False, False, True, True, None, None]
     rate = build_fct_order(raw).agg(ratio(F.sum(F.col("is_late").cast("int")), F.count("is_late")).alias("r"))
-    assert rate.first()["r"] == pytest.approx(1 / 3)
+    assert rate.first()["r"] == pytest.approx(1 / 2)
 
 
 def test_durations_keep_their_fraction(orders):
-    assert orders["o1"]["delivery_days"] == 7.375
-    assert orders["o1"]["estimated_days"] == 9.0
-    assert orders["o4"]["delivery_days"] is None
+    assert orders["k10"]["delivery_days"] == 6.25
+    assert orders["k11"]["estimated_days"] == 8.0
+    assert orders["k15"]["delivery_days"] is None
 
 
 def test_buckets(orders):
-    labels = [orders[o]["delivery_bucket"] for o in ("o1", "o2", "o3", "o4")]
-    assert labels == ["0-3 days early", "0-3 days early", "1-3 days late", None]
+    labels = [orders[o]["delivery_bucket"] for o in sorted(orders)]
+    assert labels == ["10+ days early", "0-3 days early", "1-3 days late", "3-10 days late", None, None]
 
 
 def test_latest_review_wins(orders):
-    assert orders["o2"]["review_score"] == 2
+    assert orders["k11"]["review_score"] == 3
 
 
 def test_missing_category(lines):
-    assert {r["product_category"] for r in lines if r["product_id"] == "p3"} == {"Unknown"}
-    assert {r["product_category"] for r in lines if r["product_id"] == "p1"} == {"Bed Bath Table"}
+    assert {r["product_category"] for r in lines if r["product_id"] == "w3"} == {"Unknown"}
+    assert {r["product_category"] for r in lines if r["product_id"] == "w1"} == {"Office Furniture"}
 
 
 def test_cancelled_orders_are_flagged_and_kept(orders):
-    assert [orders[o]["is_cancelled"] for o in ("o1", "o2", "o3", "o4")] == [False, False, False, True]
+    assert [o for o in sorted(orders) if orders[o]["is_cancelled"]] == ["k15"]
 
 
 def test_months_and_dates(orders):
-    assert orders["o2"]["order_month"] == date(2017, 2, 1)
-    assert orders["o3"]["order_date"] == date(2017, 3, 1)
+    assert orders["k12"]["order_month"] == date(2018, 6, 1)
+    assert orders["k13"]["order_date"] == date(2018, 7, 2)
 
 
 def test_missing_children_stay_null(spark):
@@ -86,7 +87,7 @@ def test_missing_children_stay_null(spark):
     extra = order("o5", "nobody", "delivered", "2017-05-01", "2017-05-03", "2017-05-09")
     raw = raw_tables(spark, orders=[*ORDERS, extra])
     rows = {r["order_id"]: r for r in build_fct_order(raw).collect()}
-    assert len(rows) == 5
+    assert len(rows) == 7
     o5 = rows["o5"]
     for name in ("item_count", "order_value", "payment_value", "payment_splits", "review_score", "customer_state"):
         assert o5[name] is None, name
@@ -150,20 +151,20 @@ def test_category_labels(spark):
     products = frame(
         spark,
         "products",
-        [product("a", "beleza_saude", 1.0), product("b", "pc_gamer 2", 1.0), product("c", None, 1.0), product("d", "o'NEIL_fashion-bags", 1.0)],
+        [product("a", "livros_tecnicos", 1.0), product("b", "pc_gamer 2", 1.0), product("c", None, 1.0), product("d", "o'NEIL_fashion-bags", 1.0)],
     )
     labels = {
         r["product_id"]: r["product_category"]
         for r in build_dim_product(products, raw_tables(spark).category_translation).collect()
     }
-    assert labels == {"a": "Health Beauty", "b": "Pc Gamer 2", "c": "Unknown", "d": "O'neil Fashion-bags"}
+    assert labels == {"a": "Technical Books", "b": "Pc Gamer 2", "c": "Unknown", "d": "O'neil Fashion-bags"}
 
 
 def test_item_of_unknown_product_keeps_its_line(spark):
-    raw = raw_tables(spark, items=[*ITEMS, item("o3", 3, "ghost", "s1", 5, 1), item("o3", 4, None, "s1", 5, 1)])
+    raw = raw_tables(spark, items=[*ITEMS, item("k12", 3, "ghost", "v1", 5, 1), item("k12", 4, None, "v1", 5, 1)])
     rows = build_fct_order_item(raw).collect()
-    assert len(rows) == 8
-    assert sum(r["product_category"] == "Unknown" for r in rows) == 3
+    assert len(rows) == 12
+    assert sum(r["product_category"] == "Unknown" for r in rows) == 4
 
 
 def test_hot_keys_change_nothing(spark, raw):

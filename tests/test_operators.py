@@ -192,10 +192,10 @@ def test_fanout_of_the_fixture(spark, raw):
     from grainwise.plans.reconciliation import order_fanout
 
     got = order_fanout(raw).first()
-    assert (got["parent_rows"], got["naive_rows"]) == (4, 10)
-    assert (got["true_revenue"], got["naive_revenue"]) == (600, 1220)
-    assert (got["true_payments"], got["naive_payments"]) == (610, 1190)
-    assert (got["pct_revenue_overstated"], got["pct_payments_overstated"]) == (103.3, 95.1)
+    assert (got["parent_rows"], got["naive_rows"]) == (6, 13)
+    assert (got["true_revenue"], got["naive_revenue"]) == (862, 975)
+    assert (got["true_payments"], got["naive_payments"]) == (595, 1030)
+    assert (got["pct_revenue_overstated"], got["pct_payments_overstated"]) == (13.1, 73.1)
 
 
 def test_fanout_equals_the_literal_join(spark):

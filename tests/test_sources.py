@@ -6,7 +6,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from fixture_tables import raw_tables
+from fixture_tables import CUSTOMERS, ITEMS, ORDERS, PAYMENTS, item, payment, raw_tables
 from pyspark.sql import types as T
 
 from grainwise.operators.checks import ChecksFailed
@@ -102,8 +102,8 @@ def test_landing_keeps_every_row(spark, raw, tmp_path):
     out = str(tmp_path / "landed")
     land_parquet(spark, str(tmp_path), out)
     landed = load_parquet(spark, out)
-    assert landed.orders.count() == 4
-    assert landed.order_items.agg({"price": "sum"}).first()[0] == Decimal(540)
+    assert landed.orders.count() == 6
+    assert landed.order_items.agg({"price": "sum"}).first()[0] == Decimal(774)
     assert sorted(map(repr, landed.order_payments.collect())) == sorted(map(repr, raw.order_payments.collect()))
     assert quarantined(spark, out, "orders").count() == 0
 
@@ -111,12 +111,12 @@ def test_landing_keeps_every_row(spark, raw, tmp_path):
 def test_rejected_records_are_kept_apart(spark, raw, tmp_path):
     write_csvs(raw, tmp_path)
     with (tmp_path / "order_items.csv").open("a", encoding="utf-8") as f:
-        f.write("o1,4,p1,s1,2017-01-05 00:00:00,not money,1\n")
+        f.write("k10,3,w1,v1,2018-05-06 00:00:00,not money,1\n")
     out = str(tmp_path / "landed")
     land_parquet(spark, str(tmp_path), out)
-    assert load_parquet(spark, out).order_items.count() == 6
+    assert load_parquet(spark, out).order_items.count() == 10
     bad = quarantined(spark, out, "order_items").collect()
-    assert [r["_corrupt_record"] for r in bad] == ["o1,4,p1,s1,2017-01-05 00:00:00,not money,1"]
+    assert [r["_corrupt_record"] for r in bad] == ["k10,3,w1,v1,2018-05-06 00:00:00,not money,1"]
     plan = load_parquet(spark, out).order_items._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(rejected" in plan
 
@@ -125,21 +125,21 @@ def test_the_whole_job(spark, raw, tmp_path):
     write_csvs(raw, tmp_path)
     out = str(tmp_path / "out")
     land_parquet(spark, str(tmp_path), f"{out}/raw")
-    marts = pipeline.run(spark, load_parquet(spark, f"{out}/raw"), out, payment_gap=0.02, unpaid_orders=1)
-    assert marts.fct_order.count() == 4 and marts.fct_order_item.count() == 6
+    marts = pipeline.run(spark, load_parquet(spark, f"{out}/raw"), out, payment_gap=0.31, unpaid_orders=1)
+    assert marts.fct_order.count() == 6 and marts.fct_order_item.count() == 10
     assert marts.dim_product.count() == 3 and marts.dim_date.count() == 365
-    assert spark.table("fct_order").count() == 4
+    assert spark.table("fct_order").count() == 6
     assert spark.table("v_monthly_sales").count() == 3
     naive = spark.sql(
         """select count(*) as n, sum(i.price + i.freight_value) as v from orders o
            join order_items i on i.order_id = o.order_id join order_payments p on p.order_id = o.order_id"""
     ).first()
-    assert tuple(naive) == (10, Decimal(1220))
+    assert tuple(naive) == (13, Decimal(975))
     audit = {r["table_name"]: r["row_count"] for r in spark.read.parquet(f"{out}/reports/load_audit").collect()}
-    assert audit["order_items"] == 6 and len(audit) == 8
+    assert audit["order_items"] == 10 and len(audit) == 8
     assert {r["status"] for r in spark.read.parquet(f"{out}/reports/constraints").collect()} == {"PASS"}
     pipeline.export_csv(marts, f"{out}/csv")
-    assert spark.read.option("header", True).csv(f"{out}/csv/fct_order_item").count() == 6
+    assert spark.read.option("header", True).csv(f"{out}/csv/fct_order_item").count() == 10
     assert spark.read.parquet(f"{out}/reports/reconciliation").count() == 6
     schema = T.StructType(
         [
@@ -151,13 +151,96 @@ def test_the_whole_job(spark, raw, tmp_path):
         ]
     )
     months = read_report(spark, f"{out}/reports/monthly_sales", schema).collect()
-    assert [r["order_month"] for r in months] == [date(2017, 1, 1), date(2017, 2, 1), date(2017, 3, 1)]
+    assert [r["order_month"] for r in months] == [date(2018, 5, 1), date(2018, 6, 1), date(2018, 7, 1)]
 
 
-def test_the_job_stops_on_a_failed_check(spark, raw, tmp_path):
-    with pytest.raises(ChecksFailed, match="every order has a payment row"):
-        pipeline.run(spark, raw_tables(spark), str(tmp_path / "out"), unpaid_orders=0)
+BOUNDS = {"payment_gap": 0.31, "unpaid_orders": 1}
+
+
+def test_the_job_stops_on_grown_gaps(spark, raw, tmp_path):
+    with pytest.raises(ChecksFailed, match="every order has a payment row") as stopped:
+        pipeline.run(spark, raw_tables(spark), str(tmp_path / "out"), payment_gap=0.30, unpaid_orders=0)
+    assert "payments equal order value" in str(stopped.value)
     assert spark.read.parquet(str(tmp_path / "out/reports/reconciliation")).count() == 6
+    assert {r["ok"] for r in spark.read.parquet(str(tmp_path / "out/reports/comparisons")).collect()} == {True}
+    assert spark.read.parquet(str(tmp_path / "out/diagnostics/order_fanout")).first()["naive_rows"] == 13
+    assert spark.read.parquet(str(tmp_path / "out/pages/repeat_rate")).first()["customers"] == 3
+
+
+def test_rejected_records_stop_the_job_unless_allowed(spark, raw, tmp_path):
+    write_csvs(raw, tmp_path)
+    for name, bad in (("order_items", "k10,3,w1,v1,2018-05-06 00:00:00,1 000.00,1"), ("order_payments", "k10,2,voucher,x,5.00")):
+        with (tmp_path / f"{name}.csv").open("a", encoding="utf-8") as f:
+            f.write(bad + "\n")
+    out = str(tmp_path / "out")
+    land_parquet(spark, str(tmp_path), f"{out}/raw")
+    landed = load_parquet(spark, f"{out}/raw")
+    with pytest.raises(ChecksFailed) as stopped:
+        pipeline.run(spark, landed, out, **BOUNDS)
+    assert "load of order_items" in str(stopped.value) and "load of order_payments" in str(stopped.value)
+    assert "10 rows, 1 rejected" in str(stopped.value)
+    pipeline.run(spark, landed, out, **BOUNDS, reject_allowance=1)
+    audit = {r["table_name"]: r for r in spark.read.parquet(f"{out}/reports/load_audit").collect()}
+    assert (audit["order_items"]["row_count"], audit["order_items"]["rejected"], audit["order_items"]["records"]) == (10, 1, 11)
+
+
+def test_whole_numbers_with_a_fraction_of_zeros(spark, raw, tmp_path):
+    write_csvs(raw, tmp_path)
+    header = ",".join(SCHEMAS["products"].names)
+    lines = [header, "w1,moveis_escritorio,40.0,10,1.0,850.0,,,", "w2,livros_tecnicos,40.5,10,1,320.0,,,", "w3,,,,,75.0,,,"]
+    (tmp_path / "products.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    out = str(tmp_path / "landed")
+    land_parquet(spark, str(tmp_path), out)
+    kept = {r["product_id"]: r for r in load_parquet(spark, out).products.collect()}
+    assert set(kept) == {"w1", "w3"}
+    assert (kept["w1"]["product_name_lenght"], kept["w1"]["product_photos_qty"], kept["w3"]["product_name_lenght"]) == (40, 1, None)
+    bad = quarantined(spark, out, "products").collect()
+    assert [r["product_id"] for r in bad] == ["w2"] and "40.5" in bad[0]["_corrupt_record"]
+
+
+@pytest.mark.parametrize(
+    ("changed", "message"),
+    [
+        ({"customers": [*CUSTOMERS, CUSTOMERS[0]]}, "customers primary_key customer_id"),
+        ({"items": [*ITEMS, item("k10", 3, "ghost", "nobody", 1, 0)]}, "order_items foreign_key product_id"),
+        ({"payments": [*PAYMENTS, payment(None, 1, "voucher", 1, 1)]}, "order_payments not_null order_id"),
+    ],
+)
+def test_broken_promises_stop_the_job(spark, tmp_path, changed, message):
+    with pytest.raises(ChecksFailed, match=message):
+        pipeline.run(spark, raw_tables(spark, **changed), str(tmp_path / "out"), **BOUNDS)
+
+
+def test_empty_and_undated_inputs_run_through(spark, tmp_path):
+    undated = [{**o, "order_purchase_timestamp": None} for o in ORDERS]
+    for name, changed in (("no items", {"items": []}), ("undated", {"orders": undated})):
+        out = str(tmp_path / name)
+        with pytest.raises(ChecksFailed):  # the gap grew, or a promised date is missing
+            pipeline.run(spark, raw_tables(spark, **changed), out, **BOUNDS)
+        assert spark.read.parquet(f"{out}/reports/reconciliation").count() == 6
+
+
+def test_a_broken_helper_shows_in_the_comparison(spark, raw, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from grainwise.plans import marts
+    from grainwise.plans.marts import build_fct_order
+    from grainwise.plans.reconciliation import compare_headline
+
+    assert {r["ok"] for r in compare_headline(raw, build_fct_order(raw)).collect()} == {True}
+    monkeypatch.setattr(marts, "reviews_by_order", lambda reviews, columns: reviews.groupBy("order_id").agg(F.max("review_score").alias("review_score")))
+    assert False in {r["ok"] for r in compare_headline(raw, build_fct_order(raw)).collect()}
+
+
+def test_the_command_line(spark, raw, tmp_path):
+    write_csvs(raw, tmp_path)
+    (tmp_path / "orders.csv").rename(tmp_path / "the_orders_dataset.csv")
+    out = str(tmp_path / "out")
+    common = [str(tmp_path), out, "--file", "orders=the_orders_dataset.csv", "--payment-gap", "0.31", "--unpaid-orders", "1"]
+    pipeline.main([*common, "--expected", "orders=6"])
+    assert spark.read.schema("order_id string").parquet(f"{out}/marts/fct_order").count() == 6
+    with pytest.raises(ChecksFailed, match="load of orders: expected 7 rows, got 6 rows"):
+        pipeline.main([*common, "--expected", "orders=7"])
 
 
 def test_fact_files_are_pruned_by_month(spark, raw, tmp_path):
@@ -166,13 +249,13 @@ def test_fact_files_are_pruned_by_month(spark, raw, tmp_path):
     path = str(tmp_path / "fct")
     write_fact(build_fct_order(raw), path)
     back = spark.read.parquet(path)
-    assert back.count() == 4
-    one = back.where("order_month = date'2017-02-01'")
-    assert len(one.inputFiles()) >= 1 and one.first()["order_id"] == "o2"
+    assert back.count() == 6
+    one = back.where("order_month = date'2018-06-01'")
+    assert len(one.inputFiles()) >= 1 and one.first()["order_id"] == "k12"
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_month" in plan
-    sliced = slice_rows(back, "2017-02-10", "2017-03-31")
-    assert [r["order_id"] for r in sliced.collect()] == ["o3"]
+    sliced = slice_rows(back, "2018-06-05", "2018-06-30")
+    assert [r["order_id"] for r in sliced.collect()] == ["k12"]
     plan = sliced._jdf.queryExecution().executedPlan().toString()
     assert "(order_month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
