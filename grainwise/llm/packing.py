@@ -12,7 +12,7 @@ The best predecessor of a place lies in a sliding window of one sequence's
 length. The cost of a transition is a term of its start plus a term of its end,
 so the minimum over the window is the head of a monotone queue, and a block is
 solved in time linear in its places. Sequences whose length is a power of two
-need no padding; these are one further transition for each power.
+need no padding; these are one further transition for each power from LEAST_POWER on.
 """
 
 from __future__ import annotations
@@ -36,10 +36,11 @@ STEP = 256
 SENTENCE_CUT = 12
 INNER_CUT = 96
 SEQUENCE_COST = 8
+LEAST_POWER = 32  # shorter sequences without padding are not looked for
 MEMORY_ENTRIES = 500_000
 
 DOCUMENT_END, SENTENCE_END, INSIDE = 0, 1, 2
-_SENTENCE_LAST = frozenset(".!?\n…。")
+SENTENCE_LAST = b".!?\n"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -63,14 +64,22 @@ class IdsOfPretokens:
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
         self.alphabet = _byte_alphabet()
         self.splitter = Splitter(pattern)
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, block: list[str]) -> dict[str, bytes]:
-        """Encodings that hold all of a block's pre-tokens, the new ones worked out."""
-        new = {p for p in block if p not in self.known}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        last = tuple(self.alphabet[byte] for byte in SENTENCE_LAST)
+        self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_sentence[[i for token, i in vocabulary.items() if token.endswith(last)]] = True
+
+    def _ids(self, block: list[str]) -> bytes:
+        """Ids of a block of pre-tokens, those not remembered yet worked out."""
+        try:
+            return b"".join(map(self.known.__getitem__, block))
+        except KeyError:
+            new = {p for p in block if p not in self.known}
         if len(self.known) + len(new) > MEMORY_ENTRIES:
             self.known.clear()
             new = set(block)
@@ -78,21 +87,12 @@ class IdsOfPretokens:
             spelled = pretoken.encode("utf-8").decode("latin-1").translate(self.alphabet)
             ids = [token.id for token in self.model.tokenize(spelled)]
             self.known[pretoken] = np.array(ids, dtype="<u4").tobytes()
-        return self.known
+        return b"".join(map(self.known.__getitem__, block))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the token offsets at which its sentences end."""
-        parts, ends, at = [], [], 0
-        for block in self.splitter.blocks(text):
-            known = self._learn(block)
-            ids = [known[p] for p in block]
-            last = np.fromiter((p[-1] in _SENTENCE_LAST for p in block), dtype=bool, count=len(block))
-            stops = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) // 4 + at
-            ends.append(stops[last])
-            at = int(stops[-1])
-            parts.append(b"".join(ids))
-        joined = np.frombuffer(b"".join(parts), dtype="<u4")
-        return joined, np.concatenate(ends) if ends else np.empty(0, np.int64)
+        ids = np.frombuffer(b"".join(map(self._ids, self.splitter.blocks(text))), dtype="<u4")
+        return ids, np.flatnonzero(self.ends_sentence[ids]) + 1
 
 
 @lru_cache(maxsize=2)
@@ -118,16 +118,18 @@ def cut_places(lengths: np.ndarray, sentence_ends: list[np.ndarray]) -> tuple[np
     return places, kinds
 
 
-def best_cuts(places: list[int], kinds: list[int], width: int = SEQUENCE_TOKENS) -> list[int]:
+def best_cuts(places: list[int], kinds: list[int], width: int = SEQUENCE_TOKENS, least_power: int = LEAST_POWER) -> list[int]:
     """The cheapest increasing cuts out of ``places`` (the last one included) with no gap over ``width``.
 
     Places must be increasing and lie at most ``width`` apart, the first from 0.
-    Equal costs resolve towards the earliest start of the last sequence.
+    Unpadded sequences have ``least_power`` tokens at least. Equal costs resolve
+    towards the earliest start of the last sequence.
     """
     penalty = (0, SENTENCE_CUT, INNER_CUT)
-    powers = [1 << k for k in range(width.bit_length() - 1) if 1 << k < width]
+    powers = [1 << k for k in range(width.bit_length()) if least_power <= 1 << k < width]
     at = [0, *places]
     index = {place: i for i, place in enumerate(at)}
+    find = index.get
     cost = [0] * len(at)
     back = [0] * len(at)
     window: deque[tuple[int, int]] = deque([(0, 0)])
@@ -138,7 +140,7 @@ def best_cuts(places: list[int], kinds: list[int], width: int = SEQUENCE_TOKENS)
         base, origin = window[0]
         best = base + width - place
         for power in powers:
-            j = index.get(place - power)
+            j = find(place - power)
             if j is not None and cost[j] < best:
                 best, origin = cost[j], j
         best += penalty[kinds[i - 1]] + SEQUENCE_COST

@@ -177,7 +177,7 @@ def test_cuts_are_the_cheapest():
             if places[0] > width or any(b - a > width for a, b in zip(places, places[1:])):
                 continue
             kinds = [rng.randrange(3) for _ in places]
-            cuts = packing.best_cuts(places, kinds, width)
+            cuts = packing.best_cuts(places, kinds, width, 1)
             penalty = (0, packing.SENTENCE_CUT, packing.INNER_CUT)
             total = 0
             for a, b in zip([0, *cuts], cuts):
