@@ -23,25 +23,6 @@ def collapse(df: DataFrame, keys: Keys, aggregates: Mapping[str, Column]) -> Dat
     return df.groupBy(*as_list(keys)).agg(*[c.alias(name) for name, c in aggregates.items()])
 
 
-def collapse_together(
-    df: DataFrame, key: str, aggregates: Mapping[str, Column], hot: Sequence = ()
-) -> DataFrame:
-    """:func:`collapse` for distinct counts, whose partial step saves nothing.
-
-    Spark shuffles such rows twice with all their partial sums: by key and
-    counted value, then by key. Bringing the plain rows together by key first
-    serves both steps, and a join on the key after them, with one narrower
-    shuffle. Rows of ``hot`` keys would pile up in one task that way and take
-    the two-step plan, which spreads them by the counted value.
-    """
-    hot = [k for k in hot if k is not None]
-    if not hot:
-        return collapse(df.repartition(key), key, aggregates)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    spread = collapse(df.where(is_hot), key, aggregates)
-    return collapse(df.where(~is_hot).repartition(key), key, aggregates).unionByName(spread)
-
-
 def top_by(value: Column, *order: Column) -> Column:
     """Aggregate: ``value`` from the row with the highest ``order``.
 

@@ -8,20 +8,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most HOT_LIMIT keys can each hold HOT_SHARE of a table, so the rows a
-# unique-key side contributes for hot keys are bounded by HOT_LIMIT.
-HOT_SHARE = 1 / 1000
-HOT_LIMIT = 1000
 # A key with fewer rows than this is no burden for one task.
 HOT_ROWS = 2_000_000
-# This many tracked items find every key above HOT_SHARE; more would only make
-# the sketches heavier, of which every scan task produces one.
+# So many keys are spread at most; the unique-key side repeats their rows SALTS times.
+HOT_LIMIT = 1000
+SALTS = 128
+# This many tracked items find every key with a 4096th of all rows; more would only
+# make the sketches heavier, of which every scan task produces one.
 SKETCH_ITEMS = 4096
 SKETCH_GROUPS = 512
+_SALT = "_salt"
 
 
-def hot_keys(df: DataFrame, column: str, min_share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
-    """Keys that hold at least ``min_share`` of all rows and ``min_rows`` rows.
+def hot_keys(df: DataFrame, column: str, min_rows: int = HOT_ROWS) -> list:
+    """Keys that hold at least ``min_rows`` rows, whatever their share.
 
     A table too short to hold such a key is only counted. Otherwise it takes
     one scan of one column into frequent-items sketches of fixed size, merged
@@ -50,9 +50,8 @@ def hot_keys(df: DataFrame, column: str, min_share: float = HOT_SHARE, min_rows:
     ).first()
     if row is None:
         return []
-    floor = max(row["n"] * min_share, min_rows)
-    heavy = [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= floor]
-    return [*heavy, None] if row["nulls"] >= floor else heavy
+    heavy = [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= min_rows]
+    return [*heavy, None] if row["nulls"] >= min_rows else heavy
 
 
 def join_many_to_one(
@@ -65,22 +64,23 @@ def join_many_to_one(
     """Join ``many`` to ``one``, whose ``key`` is unique.
 
     Without hot keys this is a plain join and Spark picks the strategy. With
-    hot keys their rows stay where they are: the matching rows of ``one``
-    (one per key, at most ``HOT_LIMIT``) are broadcast to them, and only the
-    remaining rows are shuffled. NULL keys match nothing and take the same
-    way, so they never pile up in one shuffle partition.
+    hot keys it is one join as well: their rows draw one of SALTS numbers by a
+    hash of the row, the matching rows of ``one`` (one per key, at most
+    ``HOT_LIMIT`` keys) are repeated for each number, and key and number are
+    joined on. NULL keys match nothing and are spread alike.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported many-to-one join: {how}")
     if len(hot) == 0:
         return many.join(one, key, how)
     if len(hot) > HOT_LIMIT + 1:
-        raise ValueError(f"{len(hot)} hot keys exceed the broadcast bound of {HOT_LIMIT}")
+        raise ValueError(f"{len(hot)} hot keys exceed the bound of {HOT_LIMIT}")
     is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False))
-    stays = F.col(key).isNull() | is_hot
-    held = many.where(stays).join(F.broadcast(one.where(is_hot)), key, how)
-    moved = many.where(~stays).join(one.where(~is_hot), key, how)
-    return held.unionByName(moved)
+    drawn = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
+    salted = many.withColumn(_SALT, F.when(F.col(key).isNull() | is_hot, drawn).otherwise(0))
+    everywhere = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = one.withColumn(_SALT, F.explode(everywhere))
+    return salted.join(repeated, [key, _SALT], how).drop(_SALT)
 
 
 def with_dims(fact: DataFrame, dims: dict[str, DataFrame], hot: dict[str, Sequence] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import category_label, delivery_columns, first_of_month
 from ..functions.labels import UNKNOWN_CATEGORY
-from ..operators.grain import collapse, collapse_together, keep_latest, top_by
+from ..operators.grain import collapse, keep_latest, top_by
 from ..operators.joins import join_many_to_one
 from ..operators.populations import is_cancelled
 from ..sources.readers import RawTables
@@ -62,13 +62,11 @@ def items_by_order(raw: RawTables, columns: Sequence[str] = ITEM_TOTALS) -> Data
         "order_value": F.sum(F.col("price") + F.col("freight_value")),
     }
     chosen = {name: totals[name] for name in columns}
-    used = ["order_id", "seller_id", "price", "freight_value"]
     if raw.line_delivered is not None:
         chosen[DELIVERED_AT] = F.max(raw.line_delivered)
-        used.append(raw.line_delivered)
-    if "seller_count" not in columns:
-        return collapse(raw.order_items, "order_id", chosen)
-    return collapse_together(raw.order_items.select(*used), "order_id", chosen, raw.hot("order_items", "order_id"))
+    # The distinct count is worked out by order and seller first, and each step combines
+    # on the map side: an order of any size reaches a task as one row per seller and task.
+    return collapse(raw.order_items, "order_id", chosen)
 
 
 def delivered_by_order(raw: RawTables) -> DataFrame:

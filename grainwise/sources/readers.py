@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import HOT_ROWS, HOT_SHARE, hot_keys
+from ..operators.joins import HOT_ROWS, hot_keys
 from ..operators.populations import CANCELLED_STATUSES
 from ..schemas import MULTILINE_TABLES, SCHEMAS, TRIMMED_COLUMNS
 
@@ -38,8 +38,8 @@ class RawTables:
     category_translation: DataFrame
     cancelled_statuses: tuple[str, ...] = CANCELLED_STATUSES
     line_delivered: str | None = None
-    hot_share: float = HOT_SHARE
-    hot_rows: int = HOT_ROWS
+    # Rows from which a key is looked for and spread; None looks for none.
+    hot_rows: int | None = None
     known_hot: dict = field(default_factory=dict, repr=False)
     # Rejected records by table, of tables that were landed from files.
     rejected: dict = field(default_factory=dict, repr=False)
@@ -50,9 +50,11 @@ class RawTables:
         return {name: getattr(self, renamed.get(name, name)) for name in SCHEMAS}
 
     def hot(self, table: str, column: str) -> list:
-        """Keys too heavy for one task, found once per table and column."""
+        """Keys too heavy for one task, found once per table and column; none unless ``hot_rows`` is set."""
+        if self.hot_rows is None:
+            return []
         if (table, column) not in self.known_hot:
-            self.known_hot[table, column] = hot_keys(getattr(self, table), column, self.hot_share, self.hot_rows)
+            self.known_hot[table, column] = hot_keys(getattr(self, table), column, self.hot_rows)
         return self.known_hot[table, column]
 
 
@@ -129,11 +131,11 @@ def _landed(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(T.StructType([*fields, *extra])).parquet(f"{root}/{table}")
 
 
-def load_parquet(spark: SparkSession, root: str) -> RawTables:
-    """The landed tables, ready for the mart builders."""
+def load_parquet(spark: SparkSession, root: str, hot_rows: int | None = HOT_ROWS) -> RawTables:
+    """The landed tables, ready for the mart builders; keys from ``hot_rows`` rows on are looked for while building."""
     tables = {name: _landed(spark, root, name).where(~F.col(REJECTED)).drop(CORRUPT, REJECTED) for name in SCHEMAS}
     tables["category_translation"] = tables.pop("product_category_translation")
-    return RawTables(**tables, rejected={name: quarantined(spark, root, name) for name in SCHEMAS})
+    return RawTables(**tables, hot_rows=hot_rows, rejected={name: quarantined(spark, root, name) for name in SCHEMAS})
 
 
 def quarantined(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -84,15 +84,10 @@ def to_edge(df: DataFrame) -> DataFrame:
 
 
 REGISTRY: dict[str, Query] = {}
-# Hot keys per application and folder, so that the next query need not look
-# for them again. Only execution depends on them, never a result.
-_HOT: dict[tuple[str, str], dict] = {}
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> RawTables:
-    raw = load_star(spark, sf_dir)
-    raw.known_hot = _HOT.setdefault((spark.sparkContext.applicationId, sf_dir), raw.known_hot)
-    return raw
+    return load_star(spark, sf_dir)
 
 
 def query(build: Callable[[RawTables], DataFrame]) -> Callable[[RawTables], DataFrame]:
@@ -310,8 +305,7 @@ def metrics_by_dims(raw):
     sellers = raw.sellers.select("seller_id", "seller_state")
     joined = with_dims(
         fact,
-        # One row per day of the data's years, whatever the volume.
-        {"date": F.broadcast(calendar), "seller_id": sellers},
+        {"date": calendar, "seller_id": sellers},
         {"seller_id": raw.hot("order_items", "seller_id")},
     )
     measured = metrics.evaluate(joined, metrics.ITEM_METRICS, ["year", "quarter", "seller_state"])

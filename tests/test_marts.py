@@ -171,7 +171,8 @@ def test_hot_keys_change_nothing(spark, raw):
     """Every key treated as heavy: both facts stay as they are."""
     plain_orders = sorted(map(repr, build_fct_order(raw).collect()))
     plain_lines = sorted(map(repr, build_fct_order_item(raw).collect()))
-    heavy = raw_tables(spark, hot_rows=1, hot_share=0.2)
+    heavy = raw_tables(spark, hot_rows=2)
+    assert raw.hot("order_items", "order_id") == []
     assert heavy.hot("order_items", "order_id") and heavy.hot("orders", "customer_id")
     assert sorted(map(repr, build_fct_order(heavy).collect())) == plain_orders
     assert sorted(map(repr, build_fct_order_item(heavy).collect())) == plain_lines

@@ -80,12 +80,33 @@ def test_orders_are_shuffled_once_by_order(spark, no_broadcast):
     assert plan.count("Exchange") <= 5
 
 
-def test_distinct_sellers_cost_one_shuffle_of_the_lines(spark, no_broadcast):
-    assert plan_of(QUERIES["items_by_order"](spark, SF_DIR)).count("Exchange") == 1
-    plan = plan_of(QUERIES["fct_order"](spark, SF_DIR))
-    assert "hashpartitioning(order_id#" in plan and "REPARTITION_BY_COL" in plan
-    assert "seller_id" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
-    assert "REPARTITION_BY_COL" not in plan_of(QUERIES["metrics_total"](spark, SF_DIR))
+def test_distinct_sellers_combine_on_the_map_side(spark, no_broadcast):
+    """By order and seller, then by order: one scan, and only partial sums are shuffled."""
+    for name in ("items_by_order", "fct_order"):
+        plan = plan_of(QUERIES[name](spark, SF_DIR))
+        assert plan.count("lineitem.parquet") == 1
+        assert "Exchange hashpartitioning(order_id#" in plan and "seller_id" in "".join(x for x in plan.split("\n") if "Exchange" in x)
+        assert "REPARTITION" not in plan
+
+
+def test_hot_keys_add_no_scan(spark, no_broadcast):
+    """Customer, order, product and seller keys spread: as many scans as without."""
+    from grainwise.operators.joins import join_many_to_one
+    from grainwise.plans.marts import build_fct_order, build_fct_order_item
+    from grainwise.sources.star import load_star
+
+    plain, hot = load_star(spark, SF_DIR), load_star(spark, SF_DIR)
+    hot.hot_rows = 1
+    for key in (("orders", "customer_id"), ("order_items", "order_id"), ("order_items", "product_id"), ("order_items", "seller_id")):
+        hot.known_hot[key] = [1, 2]
+
+    def scans(raw):
+        lines = build_fct_order_item(raw)
+        sellers = raw.sellers.select("seller_id", "seller_state")
+        with_seller = join_many_to_one(lines, sellers, "seller_id", "left", raw.hot("order_items", "seller_id"))
+        return [plan_of(df).count("FileScan") for df in (build_fct_order(raw), with_seller)]
+
+    assert scans(hot) == scans(plain)
 
 
 def test_no_payment_work_unless_asked_for(spark, no_broadcast):
