@@ -292,7 +292,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicates(docs).filter("kept")
     ids = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    rows = docs.join(checkpointed(ids), "doc_id", "left")
+    # The ids that are kept grow with the corpus, so they are never broadcast.
+    rows = docs.join(checkpointed(ids).hint("merge"), "doc_id", "left")
     single = rows.filter((F.col("__rows") == 1) | F.col("doc_id").isNull())
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     repeated = rows.filter("__rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("__row"))
