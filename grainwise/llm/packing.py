@@ -12,11 +12,12 @@ The best predecessor of a place lies in a sliding window of one sequence's
 length. The cost of a transition is a term of its start plus a term of its end,
 so the minimum over the window is the head of a monotone queue, and a block is
 solved in time linear in its places. Sequences whose length is a power of two
-need no padding; these are one further transition for each power from LEAST_POWER on.
+need no padding; these are one further transition for each power.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -36,11 +37,12 @@ STEP = 256
 SENTENCE_CUT = 12
 INNER_CUT = 96
 SEQUENCE_COST = 8
-LEAST_POWER = 32  # shorter sequences without padding are not looked for
+LEAST_POWER = 1
 MEMORY_ENTRIES = 500_000
 
 DOCUMENT_END, SENTENCE_END, INSIDE = 0, 1, 2
-SENTENCE_LAST = b".!?\n"
+SENTENCE_LAST = ".!?\n…。"
+ENDS_SENTENCE = 1 << 31  # added to the id of a remembered token
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -69,10 +71,23 @@ class IdsOfPretokens:
         self.alphabet = _byte_alphabet()
         self.splitter = Splitter(pattern)
         self.known: dict[str, bytes] = {}
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        last = tuple(self.alphabet[byte] for byte in SENTENCE_LAST)
-        self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_sentence[[i for token, i in vocabulary.items() if token.endswith(last)]] = True
+        self.mark = re.compile(f"[{re.escape(SENTENCE_LAST)}]")
+        self.spelled_marks = tuple(map(self._spelled, SENTENCE_LAST))
+
+    def _spelled(self, text: str) -> str:
+        return text.encode("utf-8").decode("latin-1").translate(self.alphabet)
+
+    def _learnt(self, pretoken: str) -> bytes:
+        """Ids of a pre-token; tokens up to which it ends in a sentence mark, in whatever tokens that lies, have ENDS_SENTENCE added."""
+        tokens = self.model.tokenize(self._spelled(pretoken))
+        ids = [token.id for token in tokens]
+        if self.mark.search(pretoken):
+            so_far = ""
+            for k, token in enumerate(tokens):
+                so_far += token.value
+                if so_far.endswith(self.spelled_marks):
+                    ids[k] += ENDS_SENTENCE
+        return np.array(ids, dtype="<u4").tobytes()
 
     def _ids(self, block: list[str]) -> bytes:
         """Ids of a block of pre-tokens, those not remembered yet worked out."""
@@ -84,15 +99,13 @@ class IdsOfPretokens:
             self.known.clear()
             new = set(block)
         for pretoken in new:
-            spelled = pretoken.encode("utf-8").decode("latin-1").translate(self.alphabet)
-            ids = [token.id for token in self.model.tokenize(spelled)]
-            self.known[pretoken] = np.array(ids, dtype="<u4").tobytes()
+            self.known[pretoken] = self._learnt(pretoken)
         return b"".join(map(self.known.__getitem__, block))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the token offsets at which its sentences end."""
-        ids = np.frombuffer(b"".join(map(self._ids, self.splitter.blocks(text))), dtype="<u4")
-        return ids, np.flatnonzero(self.ends_sentence[ids]) + 1
+        marked = np.frombuffer(b"".join(map(self._ids, self.splitter.blocks(text))), dtype="<u4")
+        return marked & np.uint32(ENDS_SENTENCE - 1), np.flatnonzero(marked >= ENDS_SENTENCE) + 1
 
 
 @lru_cache(maxsize=2)
@@ -118,6 +131,22 @@ def cut_places(lengths: np.ndarray, sentence_ends: list[np.ndarray]) -> tuple[np
     return places, kinds
 
 
+def _unpadded(at: np.ndarray, powers: list[int]) -> tuple[list[int], list[int]]:
+    """Starts of the sequences of ``powers`` tokens that end at each place, and where each place's starts begin; shorter sequences first."""
+    index = np.full(at[-1] + 1, -1, dtype=np.int64)
+    index[at] = np.arange(len(at))
+    ends, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for power in powers:
+        first = np.searchsorted(at, power)
+        start = index[at[first:] - power]
+        found = np.flatnonzero(start >= 0)
+        ends.append(found + first)
+        starts.append(start[found])
+    end = np.concatenate(ends)
+    order = np.argsort(end, kind="stable")
+    return np.concatenate(starts)[order].tolist(), np.searchsorted(end[order], np.arange(len(at) + 1)).tolist()
+
+
 def best_cuts(places: list[int], kinds: list[int], width: int = SEQUENCE_TOKENS, least_power: int = LEAST_POWER) -> list[int]:
     """The cheapest increasing cuts out of ``places`` (the last one included) with no gap over ``width``.
 
@@ -128,8 +157,7 @@ def best_cuts(places: list[int], kinds: list[int], width: int = SEQUENCE_TOKENS,
     penalty = (0, SENTENCE_CUT, INNER_CUT)
     powers = [1 << k for k in range(width.bit_length()) if least_power <= 1 << k < width]
     at = [0, *places]
-    index = {place: i for i, place in enumerate(at)}
-    find = index.get
+    unpadded, first = _unpadded(np.array(at, dtype=np.int64), powers)
     cost = [0] * len(at)
     back = [0] * len(at)
     window: deque[tuple[int, int]] = deque([(0, 0)])
@@ -139,9 +167,8 @@ def best_cuts(places: list[int], kinds: list[int], width: int = SEQUENCE_TOKENS,
             window.popleft()
         base, origin = window[0]
         best = base + width - place
-        for power in powers:
-            j = find(place - power)
-            if j is not None and cost[j] < best:
+        for j in unpadded[first[i] : first[i + 1]]:
+            if cost[j] < best:
                 best, origin = cost[j], j
         best += penalty[kinds[i - 1]] + SEQUENCE_COST
         cost[i], back[i] = best, origin

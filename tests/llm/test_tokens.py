@@ -186,6 +186,37 @@ def test_cuts_are_the_cheapest():
             assert cuts[-1] == places[-1] and total == all_costs(places, kinds, width)[places[-1]]
 
 
+def test_short_unpadded_sequences_are_found_by_default():
+    for power in (1, 2, 4, 8, 16):
+        # A cut inside a document, and no padding, against one at a document's end with two padded sequences.
+        places = [100, 2048, 2048 + power]
+        assert packing.best_cuts(places, [packing.DOCUMENT_END, packing.INSIDE, packing.DOCUMENT_END]) == places[1:]
+    rng = random.Random(61)
+    for _ in range(5):
+        places = np.unique(np.cumsum([rng.choice([1, 2, 3, 8, 16, 40, 700, 2048]) for _ in range(120)])).tolist()
+        kinds = [rng.randrange(3) for _ in places]
+        total, penalty = 0, (0, packing.SENTENCE_CUT, packing.INNER_CUT)
+        cuts = packing.best_cuts(places, kinds)
+        for a, b in zip([0, *cuts], cuts):
+            total += (0 if (b - a) & (b - a - 1) == 0 else 2048 - (b - a)) + packing.SEQUENCE_COST + penalty[kinds[places.index(b)]]
+        assert total == all_costs(places, kinds, 2048)[places[-1]]
+
+
+def test_all_sentence_marks_allow_a_cut(tokenizer):
+    ids_of = packing.ids_of_pretokens(JSON, PATTERN)
+    for text in ("你好。世界。再见", "Wait… and… go", "a …b", "「好。」他说。", "x」。!…y", "é.é!é?é\né…é。", "🙂。🙂…🙂.)"):
+        ids, ends = ids_of(text)
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        # The bytes before every offset, by the vocabulary's spelling of bytes.
+        byte_of = {c: byte for byte, c in packing._byte_alphabet().items()}
+        spelled = [bytes(byte_of[c] for c in tokenizer.id_to_token(i)) for i in ids.tolist()]
+        before = [b"".join(spelled[: k + 1]) for k in range(len(ids))]
+        marks = tuple(mark.encode() for mark in ".!?\n…。")
+        assert ends.tolist() == [k + 1 for k, done in enumerate(before) if done.endswith(marks)]
+        stops = {len(m.group().encode()) + len(text[: m.start()].encode()) for m in regex.finditer(PATTERN, text) if m.group()[-1] in ".!?\n…。"}
+        assert stops <= {len(before[k - 1]) for k in ends.tolist()}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
