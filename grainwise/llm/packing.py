@@ -59,11 +59,13 @@ def _byte_alphabet() -> dict[int, str]:
 class IdsOfPretokens:
     """Ids of whole texts by the ``tokenizers`` library, each distinct pre-token encoded once.
 
-    Ids are kept as little-endian unsigned 32-bit bytes. A special token's
-    string in a text is ordinary text.
+    Ids are kept as little-endian unsigned 32-bit bytes. With ``split_added``,
+    the file's added tokens are found in a text first, as the library's encode
+    does by default; without it, a string like theirs is ordinary text, as with
+    the library's encode_special_tokens.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, split_added: bool = False):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -73,6 +75,22 @@ class IdsOfPretokens:
         self.known: dict[str, bytes] = {}
         self.mark = re.compile(f"[{re.escape(SENTENCE_LAST)}]")
         self.spelled_marks = tuple(map(self._spelled, SENTENCE_LAST))
+        self.added = self._added_tokens(tokenizer) if split_added else {}
+        # The library takes the longest of those that begin at a place.
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.any_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
+
+    @staticmethod
+    def _added_tokens(tokenizer) -> dict[str, bytes]:
+        """Ids of the added tokens by their strings."""
+        found = {}
+        for i, token in tokenizer.get_added_tokens_decoder().items():
+            if token.single_word or token.lstrip or token.rstrip or (token.normalized and tokenizer.normalizer):
+                raise ValueError(f"added token {token.content!r} is matched by more than its string, which is not supported")
+            if token.content:
+                marked = i + ENDS_SENTENCE * token.content.endswith(tuple(SENTENCE_LAST))
+                found[token.content] = np.array([marked], dtype="<u4").tobytes()
+        return found
 
     def _spelled(self, text: str) -> str:
         return text.encode("utf-8").decode("latin-1").translate(self.alphabet)
@@ -102,16 +120,25 @@ class IdsOfPretokens:
             self.known[pretoken] = self._learnt(pretoken)
         return b"".join(map(self.known.__getitem__, block))
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._ids, self.splitter.blocks(text)))
+
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the token offsets at which its sentences end."""
-        marked = np.frombuffer(b"".join(map(self._ids, self.splitter.blocks(text))), dtype="<u4")
+        if any(content in text for content in self.added):
+            # Added tokens stand at the odd places.
+            parts = self.any_added.split(text)
+            found = b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(parts))
+        else:
+            found = self._plain(text)
+        marked = np.frombuffer(found, dtype="<u4")
         return marked & np.uint32(ENDS_SENTENCE - 1), np.flatnonzero(marked >= ENDS_SENTENCE) + 1
 
 
 @lru_cache(maxsize=2)
-def ids_of_pretokens(path: str, pattern: str) -> IdsOfPretokens:
+def ids_of_pretokens(path: str, pattern: str, split_added: bool = False) -> IdsOfPretokens:
     """Built once in a Python worker and kept with what it has learnt."""
-    return IdsOfPretokens(path, pattern)
+    return IdsOfPretokens(path, pattern, split_added)
 
 
 def cut_places(lengths: np.ndarray, sentence_ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +239,7 @@ def _pack_block(docs: list[tuple[object, np.ndarray, np.ndarray]], first_sequenc
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, with_ids: bool = False
+    docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, with_ids: bool = False, split_added: bool = False
 ) -> DataFrame:
     """One row per piece: which tokens of which document stand where in which sequence.
 
@@ -221,14 +248,15 @@ def pack_documents(
     document follow each other, and documents follow each other in the order of
     their input partition. Repeated rows are packed once each. A sequence's
     number is the input partition's, times 2**32, plus its rank there. An empty
-    table gives no rows. ``with_ids`` adds the ids of each piece.
+    table gives no rows. ``with_ids`` adds the ids of each piece; ``split_added``
+    gives the added tokens of the tokenizer's file in a text their own ids.
 
     Read documents from a stored table: a task that is run again then meets the
     same rows in the same order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = ids_of_pretokens(tokenizer_path, pattern)
+        ids_of = ids_of_pretokens(tokenizer_path, pattern, split_added)
         sequence = TaskContext.get().partitionId() << 32
         block: list[tuple[object, np.ndarray, np.ndarray]] = []
         tokens = 0

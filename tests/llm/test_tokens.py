@@ -258,6 +258,33 @@ def test_pieces_cover_every_token_once(spark, tokenizer, monkeypatch):
     assert padded < 0.02 * total
 
 
+def test_added_tokens_in_a_text_have_their_own_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from grainwise.llm import queries
+
+    unmodified = Tokenizer.from_file(JSON)
+    end = "<|endoftext|>"
+    texts = [t for t in TEXTS if t] + [end, end * 3, f"a  {end}  b.{end}\n\n", f"<|{end}|>", f"x{end}'s 漢{end}字。", "<|endoftext", f" {end} " * 40 + "no"]
+    texts += [end.join(some_texts(3, seed=k)) for k in range(40)]
+    ids_of = packing.ids_of_pretokens(JSON, PATTERN, True)
+    for text in texts:
+        assert ids_of(text)[0].tolist() == unmodified.encode(text, add_special_tokens=False).ids, text
+    assert ids_of(f"One.{end}Two.")[1].tolist() == [2, 5]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for packed in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        pieces = packed.collect()
+        for doc_id, text in rows:
+            ids = np.array([*unmodified.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+            own = [p for p in pieces if p["doc_id"] == doc_id]
+            assert sum(p["length"] for p in own) == len(ids)
+            for p in own:
+                assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+
+
 def test_packing_of_repeated_rows_and_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string").coalesce(1)
     assert [(p["doc_id"], p["start"], p["offset"], p["sequence_id"]) for p in packing.pack_documents(docs, JSON, PATTERN).collect()] == [(1, 0, 0, 0), (1, 0, 3, 0)]
