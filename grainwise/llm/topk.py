@@ -12,6 +12,9 @@ smaller id.
 A block only reports bins from its own k-th greatest score up: below it no bin
 can hold the overall one. So a round moves at most k counts for each query and
 block of candidates.
+
+Products are taken in double precision where that is exact, and of long vectors
+or large components in whole numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checkpointed
@@ -29,33 +32,41 @@ SCALE = 1024
 BINS = 1 << 14
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 16384
-LIMIT = 1 << 21  # of a scaled component: products of up to 2**11 components then are exact in double precision
+EXACT = 1 << 52  # sums up to it are exact in double precision, with a bit to spare for the rounding of the bound
 SCORED_AT_ONCE = 64
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector): usable vectors as floor(SCALE * x) doubles, one for each vec_id.
 
-    Left out are rows without a vec_id, null vectors and those that hold null,
-    non-finite or out-of-range components (beyond LIMIT after scaling). Of rows
-    that share a vec_id the smallest vector counts.
+    Left out are rows without a vec_id, null vectors and those that hold null
+    or non-finite components. Of rows that share a vec_id the smallest vector
+    counts. A finite component that is no bigint after scaling is an error, as
+    it is in SQL.
     """
-    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * SCALE).cast("double"))
-    fits = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * SCALE <= LIMIT))
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fits, F.lit(False)))
+
+    def scale(v: Column) -> Column:
+        product = v.cast("double") * SCALE
+        said = F.concat(F.lit("A component of vector "), F.col("vec_id").cast("string"), F.lit(f" times {SCALE} is no bigint."))
+        return F.when(F.abs(product) < float(1 << 63), F.floor(product).cast("double")).otherwise(F.raise_error(said).cast("double"))
+
+    x = F.transform("embedding", scale)
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     return rows.select("vec_id", x.alias("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def _packed(rows: DataFrame, blocks: int) -> DataFrame:
     """Rows dealt to ``blocks`` blocks by a hash of their id, each block's vectors of one dimension packed into one row.
 
-    Columns: dim, block, ids (in order) and matrix, as bytes of longs and ints.
+    Columns: dim, block, ids (in order) and matrix, as bytes of longs and of ints, or longs where a component needs them.
     """
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("vec_id")
         ids = table["vec_id"].to_numpy().astype(np.int64)
-        matrix = np.stack(table["vector"].to_numpy(zero_copy_only=False)).astype(np.int32)
+        matrix = np.stack(table["vector"].to_numpy(zero_copy_only=False))
+        matrix = matrix.astype(np.int32 if np.abs(matrix).max(initial=0) < 1 << 31 else np.int64)
         packed = {"dim": table["dim"][:1], "block": table["block"][:1]}
         return pa.table(packed | {"ids": pa.array([ids.tobytes()]), "matrix": pa.array([matrix.tobytes()])})
 
@@ -67,15 +78,36 @@ def _packed(rows: DataFrame, blocks: int) -> DataFrame:
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], dtype=np.int64)
-    matrix = np.frombuffer(row["matrix"], dtype=np.int32).reshape(len(ids), row["dim"])
+    kind = np.int32 if len(row["matrix"]) == 4 * len(ids) * row["dim"] else np.int64
+    matrix = np.frombuffer(row["matrix"], dtype=kind).reshape(len(ids), row["dim"])
     return ids, matrix.astype(np.float64)
 
 
 def _scores(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, candidates: np.ndarray):
     """(positions of queries, their scores, a mask of what is not the query itself), some queries at a time."""
+    largest = np.maximum(candidates.max(axis=1, initial=0), -candidates.min(axis=1, initial=0))
     for start in range(0, len(q_ids), SCORED_AT_ONCE):
         at = np.arange(start, min(start + SCORED_AT_ONCE, len(q_ids)))
-        yield at, (queries[at] @ candidates.T).astype(np.int64), q_ids[at][:, None] != c_ids[None, :]
+        asked, others = queries[at], q_ids[at][:, None] != c_ids[None, :]
+        scores = asked @ candidates.T
+        wide = np.flatnonzero(largest * (np.abs(asked).max(initial=0) * asked.shape[1]) > EXACT)
+        if len(wide):
+            scores[:, wide] = 0
+        scores = scores.astype(np.int64)
+        if len(wide):
+            scores[:, wide] = _whole_scores(q_ids[at], asked, c_ids[wide], candidates[wide], others[:, wide])
+        yield at, scores, others
+
+
+def _whole_scores(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, candidates: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Exact products modulo 2**64, which are the products themselves: one between ``others`` that is no bigint is an error."""
+    sizes = np.abs(queries) @ np.abs(candidates).T
+    off = sizes * (queries.shape[1] + 4) / (1 << 52)  # more than the error of the product in double precision
+    for i, j in np.argwhere(others & (np.abs(queries @ candidates.T) + off >= float(1 << 63))).tolist():
+        score = sum(int(a) * int(b) for a, b in zip(queries[i].tolist(), candidates[j].tolist()))
+        if not -(1 << 63) <= score < 1 << 63:
+            raise OverflowError(f"The score of vectors {q_ids[i]} and {c_ids[j]} is no bigint.")
+    return queries.astype(np.int64) @ candidates.astype(np.int64).T
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -122,7 +154,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     # need: the rank, from the top of the range, of the score that is looked for.
     state = ranges.select("query_id", "low", "high", F.least("n", F.lit(k).cast("bigint")).alias("need"))
     state = checkpointed(state)
-    while (state.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0) > 0:
+    while not state.filter("low < high").isEmpty():
         counts = pairs(with_state(state)).mapInArrow(_histograms(k), "query_id bigint, bin int, n bigint")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         # At most k bins of a query hold one of its k greatest scores and are read from the top.
@@ -130,10 +162,13 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         above = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         read = counts.withColumn("above", above).join(state, "query_id")
         hit = read.filter((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need")))
-        width = _width(F.col("low"), F.col("high"))
-        low = F.col("low") + F.col("bin") * width
+        # A range and its bins may go beyond a bigint, their ends that are kept do not.
+        wider = {c: F.col(c).cast("decimal(20,0)") for c in ("low", "high")}
+        hit = hit.withColumns(wider).withColumn("width", F.expr(f"cast((high - low) div {BINS} + 1 as decimal(20,0))"))
+        low = F.col("low") + F.col("bin") * F.col("width")
+        high = F.least(F.col("high"), low + F.col("width") - 1)
         state = checkpointed(
-            hit.select("query_id", low.alias("low"), F.least("high", low + width - 1).alias("high"), (F.col("need") - F.col("above")).alias("need"))
+            hit.select("query_id", low.cast("bigint").alias("low"), high.cast("bigint").alias("high"), (F.col("need") - F.col("above")).alias("need"))
         )
 
     found = pairs(with_state(state)).mapInArrow(_kept(k), "query_id bigint, vec_id bigint, score bigint")
@@ -141,11 +176,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _width(low, high):
-    """Width of the bins that cover a range: at least 1, and at most BINS of them."""
-    return F.floor((high - low) / BINS).cast("bigint") + 1
-
-
 def _ids(batches):
     for batch in batches:
         for row in batch.select(["dim", "block", "ids"]).to_pylist():
@@ -171,8 +201,11 @@ def _histograms(k: int):
                 q_ids, q, c_ids, c, values = _query_state(row)
                 for at, scores, others in _scores(q_ids, q, c_ids, c):
                     low, high = values[at, 0][:, None], values[at, 1][:, None]
-                    width = (high - low) // BINS + 1
-                    bins = np.where(others & (scores >= low) & (scores <= high), (scores - low) // width, -1)
+                    # Differences of longs may only fit without a sign.
+                    base = low.astype(np.uint64)
+                    width = (high.astype(np.uint64) - base) // BINS + 1
+                    bin_of = ((scores.astype(np.uint64) - base) // width).astype(np.int64)
+                    bins = np.where(others & (scores >= low) & (scores <= high), bin_of, -1)
                     kth = np.partition(bins, max(bins.shape[1] - k, 0), axis=1)[:, max(bins.shape[1] - k, 0)]
                     i, j = np.nonzero((bins >= 0) & (bins >= kth[:, None]))
                     codes, n = np.unique(i * BINS + bins[i, j], return_counts=True)

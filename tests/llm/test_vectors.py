@@ -58,6 +58,36 @@ def test_topk_equals_brute_force(spark, monkeypatch, bins):
     assert {tuple(r) for r in found.collect()} == expected_top(rows, 5, 10)
 
 
+def test_topk_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(60, 4))
+    vectors[10:20] *= 5000
+    vectors[20:40] *= 1e5  # scores beyond 2**53
+    vectors[40:50] = np.float32(6e5) * np.sign(vectors[40:50])  # ranges of scores beyond 2**62
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors.astype(np.float32))]
+    rows += [(70, [1.0, 4e6, 0.0, 0.0], 1), (71, [3.0, 0.0, 0.0, 4e6], 1), (80, [2048.5, 0.0], 1), (81, [1e6, 1.0], 1)]
+    rows += [(90, [8.0, 9e6, 0.0], 1), (91, [0.0, 0.0, 9e6], 1)]  # no product with itself fits
+    want = expected_top(rows, 5, 10)
+    assert max(s for *_, s in want) > 1 << 61
+    assert {tuple(r) for r in topk.search(frame(spark, rows), k=5, every=10).collect()} == want
+    near = 1.9 * 2**20  # scores near the largest bigint and near the smallest
+    rows = [(0, [2.0**22, 0.0], 1), (1, [near, 1.0], 1), (2, [-near, 0.0], 1), (3, [near - 1, 0.0], 1)]
+    assert {tuple(r) for r in topk.search(frame(spark, rows), k=2).collect()} == expected_top(rows, 2, 100)
+
+
+def test_topk_of_long_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate((2047 - rng.random(size=(6, 9000))).astype(np.float32))]
+    assert {tuple(r) for r in topk.search(frame(spark, rows), k=4).collect()} == expected_top(rows, 4, 100)
+
+
+@pytest.mark.parametrize("vectors", ([[1e30, 0.0], [1.0, 1.0]], [[4e6, 4e6], [4e6, 4e6]]))
+def test_topk_refuses_what_is_no_bigint(spark, vectors):
+    with pytest.raises(Exception, match="is no bigint"):
+        topk.search(frame(spark, [(i, v, 1) for i, v in enumerate(vectors)])).collect()
+
+
 def test_topk_with_few_candidates(spark):
     rows = [(100, [1.0, 2.0], 1), (3, [1.0, 0.0], 1), (200, [1.0, 2.0, 3.0], 1)]
     assert {tuple(r) for r in topk.search(frame(spark, rows)).collect()} == {(100, 1, 3, 1024 * 1024)}
