@@ -4,8 +4,9 @@ Texts become square roots of the shares of their hashed letter trigrams, which a
 vectors of length 1. One linear support vector machine for each family against
 the rest chooses the family; within it, machines for each pair of its
 languages vote. They are fitted on the driver to a sample of about SAMPLE
-documents of each of the at most LANGUAGES most frequent languages, chosen by
-the hash of the id; the model has a fixed size and every whole text is scored.
+documents of each labelled language, chosen by the hash of the id; of many
+languages, fewer documents each, so that all are about SAMPLE_ROWS. The model
+grows with the languages and not with the documents, and every whole text is scored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .shared import held_out, map_slices
 from .words import PIECE_BYTES, string_buffers
 
 SAMPLE = 800
-LANGUAGES = 32
+SAMPLE_ROWS = 25_600
 BUCKETS = 1 << 12
 STEPS = 150
 PENALTY = 1e-4
@@ -142,20 +143,23 @@ def fit(x: np.ndarray, languages: list[str]) -> LanguageModel:
     return model
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> LanguageModel:
+def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit to about ``sample`` documents of each language that are not held out and have a letter.
 
+    Of more than ``rows`` / ``sample`` languages, equal parts of about ``rows``
+    documents are taken. Every language with a usable document is learnt, from one at least.
     Rows of one doc_id and language count once, with the smallest text. Without
     labelled documents there is no language to learn.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(2, 4))
     usable = usable.select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel()
+    sample = min(sample, rows / len(counts))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*(F.lit(v) for row in counts for v in (row["lang"], sample / row["count"])))
-    drawn = usable.filter(draw < share[F.col("lang")]).filter(F.col("text").rlike(r"\p{L}"))
+    shares = docs.sparkSession.createDataFrame([(row["lang"], sample / row["count"]) for row in counts], "lang string, share double")
+    drawn = usable.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).filter(F.col("text").rlike(r"\p{L}"))
     drawn = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", "text")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,7 +170,16 @@ def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *arrays], names=["doc_id", "lang", "index", "value"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_slices(drawn, run, f"doc_id {kind}, lang string, index array<int>, value array<float>").toArrow()
+    schema = f"doc_id {kind}, lang string, index array<int>, value array<float>"
+    found = map_slices(drawn, run, schema).toArrow()
+    missed = {row["lang"] for row in counts}.difference(found["lang"].to_pylist())
+    if missed:
+        # By chance, or for texts without a letter: the first usable document by the same draw.
+        missing = docs.sparkSession.createDataFrame([(name,) for name in sorted(missed)], "lang string")
+        usable = usable.join(F.broadcast(missing), "lang").filter(F.col("text").rlike(r"\p{L}"))
+        first = usable.groupBy("lang").agg(F.min(F.struct(draw.alias("draw"), "doc_id", "text")).alias("first"))
+        more = map_slices(first.select("first.doc_id", "lang", "first.text"), run, schema).toArrow()
+        found = pa.concat_tables([found, more.cast(found.schema)])
     found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     x = np.zeros((found.num_rows, BUCKETS), dtype=np.float32)
     for row in range(found.num_rows):

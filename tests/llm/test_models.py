@@ -131,6 +131,20 @@ def test_language_of_held_out_documents(spark, tables):
     assert len(known) > 20 and sum(a == b for a, b in known) >= 0.95 * len(known)
 
 
+def test_every_labelled_language_is_learnt(spark):
+    rng = random.Random(40)
+    names = [f"x{k:02d}" for k in range(45)] + ["en", "de"]
+    words = {name: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for name in names}
+    rows = [(1000 * k + i, " ".join(rng.choices(words[name], k=25)), name) for k, name in enumerate(names) for i in range(14 + k % 5)]
+    rows += [(10**6 + i, "12 34", "rare") for i in range(400)] + [(10**7 + i, "kwyjibo zzyzx qoph", "rare") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(docs, language.learn(docs)).collect()
+    held = [r for r in found if crc32(str(r["doc_id"]).encode()) % 4 == 2 and r["text"] != "12 34"]
+    assert len({r["lang"] for r in held}) > 40 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    few = language.learn(docs, rows=60)
+    assert sorted(n for members in few.families for n in members) == sorted([*names, "rare"])
+
+
 def test_language_of_odd_rows(spark, tables):
     model = language.learn(tables[0])
     rows = [(i, t, 1.5) for i, t in enumerate(ODD)] + [(None, "the of and", None), (1, None, 2.0)]
