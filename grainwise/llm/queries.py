@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language, minhash, packing, quality, secrets, sentencepieces, token_counts, topk, warc
+from . import bpe, conversation_trie, embedding_dedup, language, minhash, packing, quality, secrets, sentencepieces, token_counts, topk, warc
 from .shared import held_out, new_folder, ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,6 +74,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(PIECES))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk,
         op9_embedding_near_dedup,
         op10_warc,
+        op12_conversation_trie,
         op13_sentencepiece,
     )
 }
@@ -183,4 +188,63 @@ ORACLE_SQL: dict[str, str] = {
             case when page_id = first then null else first end as refers_to
         from digests
     """,
+    "op12_conversation_trie": """
+        with recursive crc_table as (
+            select list(x order by byte) as t from (
+                select byte, list_reduce(list_prepend(byte, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                    lambda x, _: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as x
+                from (select unnest(range(0, 256)) as byte)
+            )
+        ),
+        turns as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                row_number() over (partition by conv_id order by turn nulls first, role) as pos
+            from conversations where conv_id is not null
+        ),
+        convs as (
+            select conv_id, conv_id - conv_id % 100 as base,
+                xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''),
+                        lambda c: cast(ord(c) as bigint))),
+                    lambda x, c: xor(x >> 8, t[cast(xor(x, c) & 255 as integer) + 1])), 4294967295) % 6 as h
+            from (select distinct conv_id from turns), crc_table
+        ),
+        path as (
+            select c.conv_id, 0 as own, p.pos, p.role, p.text from convs c join turns p on p.conv_id = c.base and p.pos <= c.h
+            union all
+            select c.conv_id, 1, p.pos, p.role, p.text from convs c join turns p on p.conv_id = c.conv_id and p.pos > c.h
+        ),
+        steps as (
+            select conv_id, row_number() over (partition by conv_id order by own, pos) as depth,
+                sha256(length(role) || ':' || role || text) as step, length(text) as n
+            from path
+        ),
+        keys as (
+            select c.conv_id, 0 as depth, '' as key, 0 as n from convs c
+            union all
+            select k.conv_id, s.depth, sha256(k.key || s.step), s.n from keys k join steps s on s.conv_id = k.conv_id and s.depth = k.depth + 1
+        ),
+        ended as (select conv_id, max(depth) as depth from keys group by conv_id),
+        nodes as (
+            select key, depth, min(conv_id) as name, count(*) as n_convs, any_value(n) as n,
+                (count(*) - 1) * any_value(n) as saves,
+                sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256
+            from (select k.*, k.depth = e.depth as ends from keys k join ended e using (conv_id)) group by key, depth
+        ),
+        parents as (
+            select distinct k.key, k.depth, u.key as above from keys k join keys u on u.conv_id = k.conv_id and u.depth = k.depth - 1
+        ),
+        below as (select above, count(*) as n_children from parents group by above),
+        subtree as (
+            select u.key, sum(v.saves) as saved_tokens, count(*) filter (where b.above is null) as n_leaves
+            from nodes v join keys k on k.conv_id = v.name and k.depth <= v.depth
+            join keys kv on kv.conv_id = v.name and kv.depth = v.depth and kv.key = v.key
+            join nodes u on u.key = k.key and u.depth = k.depth
+            left join below b on b.above = v.key
+            group by u.key
+        )
+        select n.name as conv_id, cast(n.depth as bigint) as depth, p.name as parent_conv_id, n.n_convs,
+            coalesce(b.n_children, 0) as n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, n.ends_sha256
+        from nodes n left join parents q on q.key = n.key left join nodes p on p.key = q.above
+        left join below b on b.above = n.key join subtree s on s.key = n.key
+    """,
 }
