@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_trie, embedding_dedup, language, minhash, packing, quality, secrets, sentencepieces, token_counts, topk, warc
+from . import ball_codes, bpe, conversation_trie, embedding_dedup, language, minhash, packing, quality, secrets, sentencepieces, token_counts, topk, warc
 from .shared import held_out, new_folder, ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,6 +74,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.codes_of(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.rebuilt_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -94,11 +98,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk,
         op9_embedding_near_dedup,
         op10_warc,
+        op11_vector_codes,
         op12_conversation_trie,
         op13_sentencepiece,
     )
 }
 
+
+def _vector_codes_sql(rounds: int) -> str:
+    """Plain k-means of four parts, round by round; whole numbers stand in doubles, which hold them."""
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+        near{r} as materialized (
+            select vec_id, part, arg_min({{'entry': entry, 'd': d}}, (d, entry)) as best
+            from (select p.vec_id, p.part, e.entry, p.x2 + e.e2 - 2 * list_inner_product(p.v, e.v) as d
+                from parts p join book{r} e on e.part = p.part)
+            group by vec_id, part
+        ),"""
+        if r < rounds:
+            steps += f"""
+        means{r} as (
+            select part, entry, list(m order by place) as v from (
+                select n.part, n.best.entry as entry, place, floor(sum(p.v[place]) / count(*)) as m
+                from near{r} n join parts p on p.vec_id = n.vec_id and p.part = n.part, (select unnest(range(1, width + 1)) as place from shape)
+                group by all
+            ) group by part, entry
+        ),
+        book{r + 1} as materialized (
+            select part, entry, v, list_inner_product(v, v) as e2
+            from (select b.part, b.entry, coalesce(m.v, b.v) as v from book{r} b left join means{r} m on m.part = b.part and m.entry = b.entry)
+        ),"""
+    return f"""
+        with usable as (
+            select vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        shape as (select max(len(v)) // 4 as width from usable),
+        parts as materialized (
+            select vec_id, part, v, list_inner_product(v, v) as x2
+            from (select vec_id, part, v[part * width + 1 : (part + 1) * width] as v from usable, shape, (select unnest(range(0, 4)) as part))
+        ),
+        book0 as materialized (
+            select part, entry, v, x2 as e2 from parts
+            join (select vec_id, row_number() over (order by vec_id) - 1 as entry from usable order by vec_id limit 256) using (vec_id)
+        ),{steps}
+        books as (
+            select sha256(string_agg(cast(cast(v[place] as bigint) as varchar), ',' order by part, entry, place)) as codebooks_sha256
+            from book{rounds}, (select unnest(range(1, width + 1)) as place from shape)
+        ),
+        coded as (
+            select vec_id, string_agg(printf('%02x', best.entry), '' order by part) as code, cast(sum(best.d) as bigint) as error
+            from near{rounds} group by vec_id
+        )
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+        from coded join usable using (vec_id), books
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
         with recursive words as (
@@ -188,6 +246,7 @@ ORACLE_SQL: dict[str, str] = {
             case when page_id = first then null else first end as refers_to
         from digests
     """,
+    "op11_vector_codes": _vector_codes_sql(4),
     "op12_conversation_trie": """
         with recursive crc_table as (
             select list(x order by byte) as t from (
