@@ -143,7 +143,9 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fits = (F.size("embedding") > 0) & (F.size("embedding") % PARTS == 0)
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & fits)
-    return rows.select("vec_id", "label", F.transform(x, lambda v: F.floor(v * SCALE).cast("bigint")).alias("v"))
+    too_large = F.raise_error(F.lit("a scaled component is no bigint"))
+    whole = F.transform(x, lambda v: F.when(F.abs(v * SCALE) < 2.0**63, F.floor(v * SCALE).cast("bigint")).otherwise(too_large))
+    return rows.select("vec_id", "label", whole.alias("v"))
 
 
 def _matrix(column: pa.ListArray, dimension: int) -> np.ndarray:

@@ -66,6 +66,7 @@ def test_nulls_ties_and_repeated_rows(spark):
     grid = [[rng.choice([0.0, 0.5, -0.25]) for _ in range(8)] for _ in range(300)]
     rows = [(i, v, None if i % 4 else 7) for i, v in enumerate(grid)]
     rows += [(5, grid[5], None), (5, grid[5], None)]
+    rows += [(400 + i, [rng.choice([0.1, 0.37, -0.2, 0.55]) for _ in range(8)], None if i % 4 else 7) for i in range(100)]
     rows += [(1000, None, 1), (1001, [0.1, None] * 4, 1), (1002, [float("nan")] * 8, 1), (1003, [float("inf")] * 8, 1)]
     got = check(spark, rows)
     assert len({r["label_error"] for r in got}) == 2
@@ -127,5 +128,5 @@ def test_stable_cores_and_far_entries_are_not_compared(monkeypatch):
 
 def test_components_beyond_bigint_are_an_error(spark):
     df = spark.createDataFrame([(1, [1e18] * 4, 1), (2, [0.0] * 4, 1)], SCHEMA)
-    with pytest.raises(Exception, match="(?i)overflow|range|out of"):
+    with pytest.raises(Exception, match="no bigint"):
         ball_codes.codes_of(df).collect()
