@@ -1,10 +1,10 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 A text is normalised as the model says (a space in front, spaces written as U+2581)
-and cut into words between which no piece of the vocabulary reaches: in front of a
-run of U+2581 after another character, and around characters that no piece has. The
-distinct new words of a slice of texts are then encoded together. Their symbols lie in
-one flat numpy array, a word being a segment of it. In every round
+and cut into words that no piece of the vocabulary reaches across: between any two
+characters that stand beside each other in no piece. The distinct new words of a slice
+of texts are then encoded together. Their symbols lie in one flat numpy array, a word
+being a segment of it. In every round
 
 1. each word's smallest pair rank is a segmented minimum,
 2. all pairs of that rank in a word merge at once, the leftmost first where they overlap,
@@ -24,11 +24,9 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
-import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +37,6 @@ from .shared import map_slices
 SPACE = "▁"
 LONG = 2048
 WHOLE_CHARS = 1 << 20
-BLOCK = 1 << 16
 MEMORY_ENTRIES = 500_000
 REMEMBERED_CHARS = 64
 NO_PAIR = np.iinfo(np.int32).max
@@ -152,11 +149,14 @@ class PieceCoder:
         self.pair_keys = np.array(sorted(made), dtype=np.int64)
         self.pair_makes = np.array([made[key] for key in sorted(made)], dtype=np.int64)
 
-        known = re.escape("".join(sorted(characters - {SPACE})))
-        if any(SPACE in piece.lstrip(SPACE) for piece in normal):
-            self.word = re.compile(f"[{SPACE}{known}]+|[^{SPACE}{known}]+")
-        else:
-            self.word = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{SPACE}{known}]+")
+        # Which characters stand beside each other in some piece; the last row and column are all other characters.
+        listed = sorted(characters)
+        self.character_class = np.full(0x110000, len(listed), dtype=np.int32)
+        self.character_class[[ord(c) for c in listed]] = np.arange(len(listed))
+        self.beside = np.zeros((len(listed) + 1, len(listed) + 1), dtype=bool)
+        for piece in normal:
+            in_piece = self.character_class[[ord(c) for c in piece]]
+            self.beside[in_piece[:-1], in_piece[1:]] = True
         self.controls = {i for i, kind in enumerate(model.kinds) if kind == CONTROL}
         self.surface = [self._surface(i) for i in range(len(model.pieces))]
         self.known: dict[str, bytes] = {}
@@ -289,13 +289,10 @@ class PieceCoder:
 
     # Words and texts
 
-    def _ids(self, symbol: np.ndarray, start: np.ndarray, text: str) -> bytes:
-        """Ids of symbols, an unknown character being its bytes (or the unknown piece), as little-endian 32-bit."""
-        if (symbol >= 0).all() and (symbol < len(self.model.pieces)).all():
-            return symbol.astype("<i4").tobytes()
+    def _with_unknown(self, symbol: list[int], start: list[int], text: str) -> bytes:
+        """Ids of a word's symbols, an unknown character being its bytes or, without byte pieces, the unknown piece."""
         ids: list[int] = []
-        ends = [*start[1:].tolist(), len(text)]
-        for s, begin, end in zip(symbol.tolist(), start.tolist(), ends):
+        for s, begin, end in zip(symbol, start, [*start[1:], len(text)]):
             if 0 <= s < len(self.model.pieces):
                 ids.append(s)
             elif self.model.byte_id:
@@ -304,48 +301,60 @@ class PieceCoder:
                 ids.append(self.model.unknown)
         return np.array(ids, dtype="<i4").tobytes()
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of every word, the usual ones merged together."""
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of every word as little-endian 32-bit numbers, the usual words merged together."""
         usual = [w for w in words if len(w) <= LONG]
         symbol, word, start = self.merge(usual)
-        edges = np.searchsorted(word, np.arange(len(usual) + 1))
-        begins = np.cumsum([0, *(len(w) for w in usual)])
-        found = {}
-        for k, w in enumerate(usual):
+        edges = np.searchsorted(word, np.arange(len(usual) + 1)).tolist()
+        ids = symbol.astype("<i4").tobytes()
+        found = {w: ids[4 * a : 4 * b] for w, a, b in zip(usual, edges, edges[1:])}
+        odd = np.unique(word[(symbol < 0) | (symbol >= len(self.model.pieces))]).tolist()
+        for k in odd:
             a, b = edges[k], edges[k + 1]
-            found[w] = self._ids(symbol[a:b], start[a:b] - begins[k], w)
+            found[usual[k]] = self._with_unknown(symbol[a:b].tolist(), (start[a:b] - start[a]).tolist(), usual[k])
         for w in words:
             if len(w) > LONG:
-                found[w] = self._ids(*self.merge_long(w), w)
-        return [found[w] for w in words]
+                merged, at = self.merge_long(w)
+                found[w] = self._with_unknown(merged.tolist(), at.tolist(), w)
+        return found
+
+    def words(self, spaced: str) -> list[str]:
+        """Cut between all characters that stand beside each other in no piece."""
+        classes = self.character_class[np.frombuffer(spaced.encode("utf-32-le"), dtype=np.uint32)]
+        cuts = (np.flatnonzero(~self.beside[classes[:-1], classes[1:]]) + 1).tolist()
+        return [spaced[a:b] for a, b in zip([0, *cuts], [*cuts, len(spaced)])] if spaced else []
 
     def blocks(self, text: str) -> Iterator[list[str]]:
-        """The words of a normalised text: in one list for a common text, in lists of BLOCK for a very long one."""
-        if not text:
-            return
-        spaced = (SPACE if self.model.add_prefix else "") + text.replace(" ", SPACE)
-        if len(spaced) <= WHOLE_CHARS:
-            yield self.word.findall(spaced)
-            return
-        matches = (match.group() for match in self.word.finditer(spaced))
-        while block := list(islice(matches, BLOCK)):
-            yield block
+        """The words of a text, normalised: in one list for a common text, in bounded lists for a very long one."""
+        rest = SPACE if text and self.model.add_prefix else ""
+        for at in range(0, len(text), WHOLE_CHARS):
+            block = self.words(rest + text[at : at + WHOLE_CHARS].replace(" ", SPACE))
+            if at + WHOLE_CHARS < len(text):
+                rest = block.pop()
+            if block:
+                yield block
 
     def encode_texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text; words not remembered yet are encoded together, for all common texts at once."""
         texts = list(texts)
-        short = [next(self.blocks(t), []) if len(t) < WHOLE_CHARS else None for t in texts]
+        short = [next(self.blocks(t), []) if len(t) <= WHOLE_CHARS else None for t in texts]
         fresh = self._learn(w for words in short if words for w in words)
         for text, words in zip(texts, short):
             if words is not None:
-                yield self._joined([fresh.get(w) or self.known[w] for w in words])
+                yield self._joined(self._ids_of(words, fresh))
                 continue
             parts = []
             for block in self.blocks(text):
                 own = self._learn(block)
-                parts.append(b"".join([own.get(w) or self.known[w] for w in block]))
+                parts += self._ids_of(block, own)
             yield self._joined(parts)
 
+    def _ids_of(self, words: list[str], fresh: dict[str, bytes]) -> list[bytes]:
+        try:
+            return list(map(self.known.__getitem__, words))
+        except KeyError:
+            return [fresh.get(w) or self.known[w] for w in words]
+
     def _joined(self, parts: list[bytes]) -> np.ndarray:
         """Ids of a text; without byte pieces, neighbouring unknown characters are one."""
         ids = np.frombuffer(b"".join(parts), dtype="<i4")
@@ -357,14 +366,14 @@ class PieceCoder:
     def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of those words that are not remembered, now remembered if they are short."""
         new = list({w for w in words if w not in self.known})
-        fresh = dict(zip(new, self.encode_words(new)))
-        if len(self.known) + len(fresh) <= MEMORY_ENTRIES:
+        fresh = self.encode_words(new)
+        if len(self.known) < MEMORY_ENTRIES:
             self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= REMEMBERED_CHARS)
         return fresh
 
     def forget_if_full(self) -> None:
         """Start remembering anew; call between slices."""
-        if len(self.known) > MEMORY_ENTRIES // 2:
+        if len(self.known) >= MEMORY_ENTRIES:
             self.known.clear()
 
     def encode(self, text: str) -> list[int]:

@@ -67,7 +67,6 @@ def test_the_heap_merges_in_the_same_order(monkeypatch, library):
 
 def test_long_texts_and_forgetting_change_nothing(monkeypatch, library):
     monkeypatch.setattr(sentencepieces, "WHOLE_CHARS", 100)
-    monkeypatch.setattr(sentencepieces, "BLOCK", 7)
     monkeypatch.setattr(sentencepieces, "MEMORY_ENTRIES", 20)
     pieces = sentencepieces.PieceCoder(sentencepieces.PieceModel(MODEL))
     for text in some_texts(150, seed=8, longest=400):
