@@ -9,8 +9,9 @@ characters of the base64 alphabets that hold a letter and a digit. A window of
 WINDOW characters slides over each; the counts of its characters change by one
 character out and one in, and so does the sum of c * log2(c) that its Shannon
 entropy follows from. The greatest entropy over all windows is held against the
-threshold of the candidate's character class. Candidates on the allow-list
-(identifiers, checksums, placeholders) are dropped.
+threshold of the character class. Candidates that are identifiers or checksums as a
+whole are dropped. Words of placeholders cut a candidate into parts: no window
+overlaps them, and each part is judged by itself.
 
 Positions count code points. Java's matches give no positions, so a
 text is also split at the matches; a match starts after all pieces and matches
@@ -41,12 +42,13 @@ CLASSES = (
     (r"^[0-9a-z]+$|^[0-9A-Z]+$", 3.4),
     (r"", 3.7),
 )
+#: Whole candidates that are no secrets: identifiers and checksums.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
     r"|^sha(256|384|512)-"
-    r"|example|sample|dummy|placeholder|changeme|redacted|xxxxx"
-    r"|abcdefghij|0123456789|1234567890"
 )
+#: Words that no secret holds. Windows that overlap one are left out; the others count.
+ALLOWED_WORDS = r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{5,}|abcdefghij|0123456789|1234567890"
 KINDS = ("assign", "access", "hex", "entropy")
 MASK = "[SECRET]"
 _CHUNK = 64
@@ -148,12 +150,17 @@ def greatest_entropy(string: Column) -> Column:
 
 
 def looks_random(string: Column) -> Column:
-    """Whether a candidate's entropy reaches its class's threshold and the allow-list does not name it."""
-    least = F.lit(CLASSES[-1][1])
-    for form, threshold in reversed(CLASSES[:-1]):
-        least = F.when(string.rlike(form), threshold).otherwise(least)
+    """Whether the entropy of a candidate, or of a part of it between allowed words, reaches its class's threshold."""
+
+    def part_looks_random(part: Column) -> Column:
+        least = F.lit(CLASSES[-1][1])
+        for form, threshold in reversed(CLASSES[:-1]):
+            least = F.when(part.rlike(form), threshold).otherwise(least)
+        formed = (F.length(part) >= WINDOW) & part.rlike("[0-9]") & part.rlike("[A-Za-z]")
+        return F.when(formed, F.round(greatest_entropy(part), 9) >= least).otherwise(False)
+
     formed = string.rlike("[0-9]") & string.rlike("[A-Za-z]") & ~string.rlike(ALLOWED)
-    return F.when(formed, F.round(greatest_entropy(string), 9) >= least).otherwise(False)
+    return F.when(formed, F.exists(F.split(string, ALLOWED_WORDS, -1), part_looks_random)).otherwise(False)
 
 
 def secret_spans(text: Column) -> Column:

@@ -53,13 +53,17 @@ def secret_spans(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
         run = m[0]
-        if len(run) < 20 or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or re.search(secrets.ALLOWED, run):
+        if re.search(secrets.ALLOWED, run):
             continue
-        windows = (run[i : i + 20] for i in range(len(run) - 19))
-        entropy = max(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows)
-        least = next(bits for form, bits in secrets.CLASSES if re.search(form, run))
-        if round(entropy, 9) >= least:
-            out.append((m.start(), 3, m.end()))
+        for part in re.split(secrets.ALLOWED_WORDS, run):
+            if len(part) < 20 or not re.search("[0-9]", part) or not re.search("[A-Za-z]", part):
+                continue
+            windows = (part[i : i + 20] for i in range(len(part) - 19))
+            entropy = max(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows)
+            least = next(bits for form, bits in secrets.CLASSES if re.search(form, part))
+            if round(entropy, 9) >= least:
+                out.append((m.start(), 3, m.end()))
+                break
     return sorted(out)
 
 

@@ -15,6 +15,9 @@ PARTS = (
     "abcxyzABC123+/_.=-", "api key", "0123456789abcdefXYZ",
 )
 
+# Secrets beside a word of the allow-list.
+HIDDEN = ("examples/v1/Zx81kQ0pLm42VbTr9YcW7dQ4sT6u", "sample_key=Zx81kQ0pLm42VbTr9YcW7dQ4sT6u", "Zx81kQ0pLm42VbTr9YcW7dxxxxx")
+
 
 def rows():
     rng = random.Random(2)
@@ -28,6 +31,7 @@ def rows():
         "é🙂 api_key: Zx81kQ0pLm42VbTr9YcW7d", "EXAMPLEkey81kQ0pLm42VbTr9YcW7d", "AKIAABCDEFGHIJKLMN AKIASHORT",
         "ſecret=abcdefghijklmn toKen=abcdefghijklmn", "a1" * 20_000, " ".join(f"token=abcdefgh12345{i:06d}" for i in range(1500)),
         "token=password=abcdefghijklmnop", "token=password: 'abcdefghijklmnop'",
+        *HIDDEN, "examples/v1/aaaaaaaaaaaaaaaaaaaaa1", f"sha512-{'Zx81kQ0pLm42VbTr9YcW7d' * 4}", "Zx81kQ0pLmExampleVbTr9YcW7dQ4",
     ]
     return out + [(10_000 + i, t) for i, t in enumerate(fixed)]
 
@@ -61,6 +65,14 @@ def test_allow_list_and_classes(spark):
     assert [r["r"] for r in one.collect()] == [False, False, False, True, True]
 
 
+def test_an_allowed_word_does_not_hide_a_secret_beside_it(spark):
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(HIDDEN)], "doc_id long, text string")
+    assert [r["text"] for r in secrets.mask_secrets(docs).orderBy("doc_id").collect()] == [f"see {secrets.MASK} there"] * 3
+    kept = ["id 0f8fad5b-d9cd-469f-a165-70867728950e", "sha512-Zx81kQ0pLm42VbTr9YcW7dQ4sT6uZx81kQ0pLm42VbTr9YcW7dQ4sT6u", "Zx81kQ0pLmexampleVbTr9YcW7dQ4"]
+    docs = spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")
+    assert [r["text"] for r in secrets.mask_secrets(docs).orderBy("doc_id").collect()] == kept
+
+
 def test_repeated_rows_missing_ids_and_nothing(spark):
     docs = spark.createDataFrame([(None, "deadbeefdeadbeef"), (1, "x"), (1, "x")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_hex"]) for r in secrets.scan_secrets(docs).collect()) == [(0, 1), (1, 0), (1, 0)]
