@@ -30,11 +30,14 @@ def held_out(remainder: int, modulus: int, column: str = "doc_id") -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that the cluster names in spark.checkpoint.dir.
 
-    Only a session without one (tests, a notebook on one machine) gets a folder
-    of its own.
+    A session without one falls back to its checkpoint directory. Only a session on
+    one machine (tests, a notebook) gets a folder of its own; elsewhere, where executors would not
+    see it, a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if named is None and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return named or context.getCheckpointDir()
