@@ -7,19 +7,25 @@ can be taken for a header. From each record it synthesises a WARC record:
 identifier (a name-based UUID of URL, date and digest), date, type and SHA-1
 digests in base32.
 
-WARC files are UTF-8 text: Spark's text writer ends every value with the two
-line breaks that end a record, so executors write them to any file system that
-Spark knows. They are read back as binary files and again walked by lengths.
+Files may be plain or gzip with any number of members; one is unpacked as a
+stream, so a task holds its packed bytes and one record. Written files
+have one gzip member a record, as the format wants it. They go through
+Spark's text writer, so executors write them to any file system that Spark
+knows: a row is the members of one file, and what the writer puts after a row is
+an empty member. Spark names the files .txt; their content is that of .warc.gz.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -42,6 +48,8 @@ ARCHIVE_BYTES = 16 << 20
 EPOCH = "20000101000000"
 TYPE_OF_SCHEME = {"dns": "resource", "filedesc": "warcinfo", "http": "response", "https": "response"}
 END = b"\r\n\r\n"
+GZIP = b"\x1f\x8b"
+HEADER_BYTES = 1 << 20  # more without a line's end is no header
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -59,6 +67,14 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(7)), letters))
 
 
+# The names of WARC headers as they are usually written; names mean the same in any case.
+CANONICAL = {name.lower(): name for name in (
+    "WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Target-URI", "WARC-IP-Address",
+    "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-Profile", "WARC-Refers-To", "WARC-Refers-To-Target-URI",
+    "WARC-Refers-To-Date", "WARC-Filename", "WARC-Truncated",
+)}
+
+
 # --- ARC ---
 
 
@@ -85,36 +101,77 @@ def arc_line(version: str, url: str, content_type: str, length: int, status: int
     return (" ".join([*fields, str(length)]) + "\n").encode()
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, its version block first.
+def opened(source: bytes | BinaryIO) -> BinaryIO:
+    """A stream of an archive's plain bytes; all members of a packed one follow each other."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    packed = stream.read(2) == GZIP
+    stream.seek(0)
+    return io.BufferedReader(gzip.GzipFile(fileobj=stream)) if packed else stream
+
+
+def _line(stream: BinaryIO, what: str, at: int) -> bytes:
+    line = stream.readline(HEADER_BYTES)
+    if line and not line.endswith(b"\n"):
+        raise ValueError(f"unfinished {what} at byte {at}")
+    return line
+
+
+def _text(line: bytes) -> str:
+    """Old archives hold addresses in other encodings than UTF-8."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+def arc_fields(names: tuple[str, ...], line: str) -> dict[str, str] | None:
+    """The fields of a URL record line; None if there are too few.
+
+    Content types may hold spaces before a parameter, and so may old addresses: the fields after the content
+    type are counted from the end, and the date is the first field of 14 digits if the third is no number.
+    """
+    parts = line.split(" ")
+    after = len(names) - 4
+    if len(parts) < len(names):
+        return None
+    date = 2
+    if not parts[2].isdigit() and parts[2] != "-":
+        date = next((i for i in range(3, len(parts) - after - 1) if len(parts[i]) == 14 and parts[i].isdigit()), 2)
+    kind = " ".join(parts[date + 1 : len(parts) - after])
+    return dict(zip(names, [" ".join(parts[: date - 1]), parts[date - 1], parts[date], kind, *parts[len(parts) - after :]]))
+
+
+def parse_arc(source: bytes | BinaryIO) -> Iterator[ArcRecord]:
+    """The records of an ARC file, plain or packed, its version block first.
 
     The version is read from the opening record's second line and decides how
-    many fields each later line has. A line with another number of fields, or a
+    many fields each later line has. A line with fewer fields, or a
     block shorter than declared, is an error: lengths after it mean nothing.
     """
+    stream = opened(source)
     at, version = 0, None
-    while at < len(data):
-        stop = data.find(b"\n", at)
-        if stop < 0:
-            raise ValueError(f"unfinished ARC header line at byte {at}")
-        if stop == at:  # the newline that ends a record
-            at += 1
+    while header := _line(stream, "ARC header line", at):
+        if not header.strip(b"\r\n"):  # the newline that ends a record
+            at += len(header)
             continue
-        line = data[at:stop].decode("utf-8").rstrip("\r").split(" ")
-        if not line[-1].isdigit():
+        line = _text(header).rstrip("\r\n")
+        length = line.rpartition(" ")[2]
+        if not length.isdigit():
             raise ValueError(f"no length in the ARC header line at byte {at}")
-        block = data[stop + 1 : stop + 1 + int(line[-1])]
-        if len(block) != int(line[-1]):
+        block = stream.read(int(length))
+        if len(block) != int(length):
             raise ValueError(f"ARC record at byte {at} is shorter than declared")
         if version is None:
-            version = block.split(b" ", 1)[0].decode()
+            version = block.split(b" ", 1)[0].decode("latin-1")
             if version not in ARC_FIELDS:
                 raise ValueError(f"no ARC version {version!r}")
-        names = ARC_FIELDS[version]
-        if len(line) != len(names):
-            raise ValueError(f"{len(line)} fields in the ARC header line at byte {at}, {len(names)} expected")
-        yield ArcRecord(version, dict(zip(names, line)), block)
-        at = stop + 1 + len(block) + (data[stop + 1 + len(block) : stop + 2 + len(block)] == b"\n")
+        # The opening line of a version 2 file may have the fields of version 1.
+        opening = line.startswith("filedesc:") and len(line.split(" ")) == len(ARC_FIELDS["1"])
+        found = arc_fields(ARC_FIELDS["1"] if opening else ARC_FIELDS[version], line)
+        if found is None:
+            raise ValueError(f"too few fields in the ARC header line at byte {at}, {len(ARC_FIELDS[version])} expected")
+        yield ArcRecord(version, found, block)
+        at += len(header) + len(block)
 
 
 # --- WARC ---
@@ -133,26 +190,41 @@ class WarcRecord:
         return "\r\n".join(lines).encode() + END + self.block
 
 
-def parse_warc(data: bytes) -> Iterator[WarcRecord]:
-    """The records of a WARC file, found by their declared lengths."""
+def parse_warc(source: bytes | BinaryIO) -> Iterator[WarcRecord]:
+    """The records of a WARC file, plain or packed, found by their declared lengths."""
+    stream = opened(source)
     at = 0
-    while at < len(data):
-        if data.startswith(b"\r\n", at):
-            at += 2
+    while line := _line(stream, "WARC header", at):
+        if not line.strip(b"\r\n"):
+            at += len(line)
             continue
-        stop = data.find(END, at)
-        if stop < 0:
-            raise ValueError(f"unfinished WARC header at byte {at}")
-        version, *lines = data[at:stop].decode("utf-8").split("\r\n")
+        version, start = _text(line).strip(), at
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC version at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines)
-        length = int(headers.pop("Content-Length"))
-        block = data[stop + 4 : stop + 4 + length]
-        if len(block) != length:
-            raise ValueError(f"WARC record at byte {at} is shorter than declared")
+        at += len(line)
+        headers: dict[str, str] = {}
+        name = ""
+        while line := _line(stream, "WARC header", start):
+            at += len(line)
+            text = _text(line).rstrip("\r\n")
+            if not text:
+                break
+            if text[0] in " \t" and name:  # a value that goes on
+                headers[name] += " " + text.strip()
+                continue
+            name, _, value = text.partition(":")
+            name = CANONICAL.get(name.strip().lower(), name.strip())
+            headers[name] = value.strip()
+        else:
+            raise ValueError(f"unfinished WARC header at byte {start}")
+        length = headers.pop("Content-Length", "")
+        if not length.isdigit():
+            raise ValueError(f"no length in the WARC header at byte {start}")
+        block = stream.read(int(length))
+        if len(block) != int(length):
+            raise ValueError(f"WARC record at byte {start} is shorter than declared")
+        at += len(block)
         yield WarcRecord(headers, block, version)
-        at = stop + 4 + length
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -252,13 +324,43 @@ def first_pages(pages: DataFrame, revisit_from: int) -> DataFrame:
     return found.select("digest", "bytes", F.col("page.page_id").alias("first"), F.col("page.url").alias("first_url"))
 
 
+def packed(record: bytes) -> bytes:
+    """One record as a gzip member of its own; the same record gives the same bytes."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
+def _write_archives(archives: DataFrame, path: str) -> None:
+    """A file for each row of ``value``, packed records, closed by an empty member."""
+    empty = packed(b"").decode("latin-1")
+    writer = archives.select(F.col("value").cast("string").alias("value")).write.mode("overwrite")
+    writer.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", empty).text(path)
+
+
+class _Archive:
+    """Packed records of one file to be."""
+
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
+        self.size = 0
+
+    def add(self, record: WarcRecord) -> None:
+        self.parts.append(packed(record.to_bytes() + END))
+        self.size += len(self.parts[-1])
+
+    def row(self) -> pa.RecordBatch:
+        found = pa.RecordBatch.from_arrays([pa.array([b"".join(self.parts)], type=pa.binary())], names=["value"])
+        self.parts, self.size = [], 0
+        return found
+
+
 def write_warc(pages: DataFrame, path: str, arc_version: str = "2", revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one WARC record per page into files under ``path``.
 
     Each task first lays its pages out as ARC records and then converts those. Of
     pages with equal payloads of at least ``revisit_from`` bytes, all but that
     with the smallest id become revisits of it; shorter ones are all responses. Each
-    archive is a file of its own with about ``archive_bytes``, or one record if
+    archive is a file of its own made of about ``archive_bytes`` of ARC records, or one record if
     that is longer. A null page has an empty payload; rows with the same id and
     payload are responses alike; a page without id revisits one that has
     an id. An empty table leaves no records.
@@ -276,9 +378,11 @@ def write_warc(pages: DataFrame, path: str, arc_version: str = "2", revisit_from
 
         def archive() -> pa.RecordBatch:
             opening, *records = parse_arc(b"".join(parts))
-            out = [to_warc(opening).to_bytes()]
-            out += [to_warc(record, original).to_bytes() for record, original in zip(records, originals, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([END.join(out).decode()], type=pa.string())], names=["value"])
+            out = _Archive()
+            out.add(to_warc(opening))
+            for record, original in zip(records, originals, strict=True):
+                out.add(to_warc(record, original))
+            return out.row()
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -295,55 +399,115 @@ def write_warc(pages: DataFrame, path: str, arc_version: str = "2", revisit_from
         if parts:
             yield archive()
 
-    archives = rows.mapInArrow(run, "value string")
-    writer = archives.write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", 1)
-    writer.option("compression", "gzip").text(path)
+    _write_archives(rows.mapInArrow(run, "value binary"), path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files, one row each.
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
-    Columns: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, html. Sizes and digests of responses are worked out from their
-    payloads; those of revisits, which have none, come from their headers.
+
+def convert_arc(spark: SparkSession, arc_path: str, path: str, pattern: str = "*.arc*", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Convert the ARC files under ``arc_path``, plain or gzip, to WARC files under ``path``.
+
+    Every record becomes one of its own: payloads are kept byte for byte, and none becomes a revisit, as ARC has
+    none. A file is one task's work; its records fill files of about ``archive_bytes``, each
+    opened by the file's own version block. Without ARC files there are no WARC files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                out = []
-                for record in parse_warc(zlib.decompress(batch.column(0)[row].as_py(), 47)):
-                    kind = record.headers["WARC-Type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    header, payload = split_http(record.block)
-                    uri = record.headers["WARC-Target-URI"]
-                    if kind == "response":
-                        size, digest, refers = len(payload), base32_sha1(payload), None
-                    else:
-                        size = _http_length(header)
-                        digest = record.headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        refers = page_of(record.headers["WARC-Refers-To-Target-URI"])
-                    html = payload.decode() if kind == "response" else None
-                    out.append((page_of(uri), uri.rpartition("#")[0], size, digest, kind, refers, html))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(zip(*out), RECORD.types)] if out else [pa.array([], type=t) for t in RECORD.types],
-                    schema=RECORD,
-                )
-
-    schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, schema)
-
-
-RECORD = pa.schema(
-    [
-        ("page_id", pa.int64()),
-        ("url", pa.string()),
-        ("payload_bytes", pa.int64()),
-        ("payload_digest", pa.string()),
-        ("record_type", pa.string()),
-        ("refers_to", pa.int64()),
-        ("html", pa.string()),
-    ]
-)
+                out, opening = _Archive(), None
+                for record in parse_arc(batch.column("content")[row].as_py()):
+                    converted = to_warc(record)
+                    opening = opening or converted
+                    if out.size > archive_bytes:
+                        yield out.row()
+                        out.add(opening)
+                    out.add(converted)
+                if out.parts:
+                    yield out.row()
+
+    _write_archives(_files(spark, arc_path, pattern).mapInArrow(run, "value binary"), path)
+
+
+#: Name and type of what read_records returns.
+RECORD = {
+    "path": pa.string(), "record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "date": pa.string(),
+    "content_type": pa.string(), "http_header": pa.binary(), "payload": pa.binary(), "payload_bytes": pa.int64(),
+    "payload_digest": pa.string(), "refers_to": pa.string(), "refers_to_url": pa.string(),
+}
+RECORD_ROWS, RECORD_BYTES = 256, 8 << 20
+
+
+def _record_row(path: str, record: WarcRecord) -> tuple:
+    get = record.headers.get
+    header, payload = split_http(record.block)
+    if get("WARC-Type") == "revisit":
+        declared = get("WARC-Payload-Digest") or ""
+        size, digest, payload = _http_length(header), declared.removeprefix("sha1:") or None, None
+    else:
+        size, digest = len(payload), base32_sha1(payload)
+    return (
+        path, get("WARC-Record-ID"), get("WARC-Type"), get("WARC-Target-URI"), get("WARC-Date"), get("Content-Type"),
+        header, payload, size, digest, get("WARC-Refers-To"), get("WARC-Refers-To-Target-URI"),
+    )
+
+
+def _record_batches(path: str, records: Iterator[WarcRecord]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(list(RECORD.items()))
+    rows, size = [], 0
+    for record in records:
+        rows.append(_record_row(path, record))
+        size += len(record.block)
+        if len(rows) == RECORD_ROWS or size > RECORD_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), RECORD.values())], schema=schema)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), RECORD.values())], schema=schema)
+
+
+def read_records(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """All records of the WARC and ARC files under ``path``, plain or gzip with any number of members, one row each.
+
+    Which of both a file is shows in its first line; records of ARC files are converted. Columns: path, record_id,
+    record_type, url, date, content_type, http_header, payload (bytes), payload_bytes, payload_digest (base32 SHA-1 without
+    its name), refers_to and refers_to_url (of revisits). Sizes and digests are worked out from payloads;
+    those of revisits, which have none, come from their headers and may be null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name, content = batch.column("path")[row].as_py(), batch.column("content")[row].as_py()
+                if not content:
+                    continue
+                if opened(content).read(5) == b"WARC/":
+                    records = parse_warc(content)
+                else:
+                    records = (to_warc(record) for record in parse_arc(content))
+                yield from _record_batches(name, records)
+
+    kinds = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "bigint"}
+    schema = ", ".join(f"{name} {kinds[kind]}" for name, kind in RECORD.items())
+    return _files(spark, path, pattern).mapInArrow(run, schema)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of archives that ``write_warc`` wrote: response and revisit records, one row each.
+
+    Columns: page_id, url, payload_bytes, payload_digest, record_type,
+    refers_to (a page_id), html.
+    """
+    records = read_records(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+
+    def page(url: str) -> Column:
+        number = F.element_at(F.split(url, "#"), -1)
+        return F.when(number != "", number).cast("bigint")
+
+    address = F.expr("left(url, length(url) - length(element_at(split(url, '#'), -1)) - 1)")
+    html = F.col("payload").cast("string")
+    return records.select(
+        page("url").alias("page_id"), address.alias("url"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to_url").alias("refers_to"), html.alias("html"),
+    )

@@ -66,7 +66,7 @@ def test_pages_through_files(spark, tmp_path):
     for version in ("1", "2"):
         folder = str(tmp_path / version)
         warc.write_warc(pages, folder, arc_version=version, archive_bytes=2000)
-        assert len(list((tmp_path / version).glob("*.gz"))) > 1
+        assert len(list((tmp_path / version).glob("part-*"))) > 1
         found = warc.read_warc(spark, folder).collect()
         got = {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found}
         size, one = len(shared.encode()), digest(shared.encode())
@@ -97,3 +97,87 @@ def test_native_base32(spark):
 
     one = spark.createDataFrame([("abc",), ("",)], "t string").select("t", warc.base32_of_hex(F.sha1(F.col("t").cast("binary"))).alias("d"))
     assert all(r["d"] == digest(r["t"].encode()) for r in one.collect())
+
+
+# Files of others
+
+PNG = b"\x89PNG\r\n\x1a\n\x00\xff\xfe" + bytes(range(256))
+
+
+def foreign_arc(version="1"):
+    """Records as archives in the wild hold them: binary payloads, content types with parameters, addresses with spaces or in Latin-1."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n"
+    tail = " 200 - - 0 x.arc" if version == "2" else ""
+    records = [
+        (b"http://a/p.png 1.2.3.4 20010203040506 image/png" + tail.encode(), http + PNG),
+        (b"http://a/x 1.2.3.4 20010203040506 text/html; charset=iso-8859-1" + tail.encode(), b"HTTP/1.0 200 OK\r\n\r\n<p>\xe9"),
+        (b"http://a/with space 1.2.3.4 20010203040506 text/html" + tail.encode(), b"no header"),
+        (b"http://a/\xe9 1.2.3.4 20010203040506 text/plain" + tail.encode(), b""),
+        (b"dns:a 1.2.3.4 20010203040506 text/dns" + tail.encode(), b"20010203040506\na 1 IN A 1.2.3.4\n"),
+    ]
+    return [warc.arc_version_block(version, "old.arc"), *(line + f" {len(block)}\n".encode() + block + b"\n" for line, block in records)]
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_records_of_foreign_arc_files(version):
+    _, png, html, spaced, latin, dns = warc.parse_arc(b"".join(foreign_arc(version)))
+    assert warc.split_http(png.block)[1] == PNG and warc.to_warc(png).headers["WARC-Payload-Digest"] == "sha1:" + digest(PNG)
+    assert html.fields["Content-type"] == "text/html; charset=iso-8859-1" and html.fields["Archive-date"] == "20010203040506"
+    assert spaced.fields["URL"] == "http://a/with space" and spaced.fields["IP-address"] == "1.2.3.4"
+    assert latin.fields["URL"] == "http://a/é" and latin.block == b""
+    assert warc.to_warc(dns).headers["WARC-Type"] == "resource" and warc.to_warc(dns).headers["Content-Type"] == "text/dns"
+
+
+def test_gzip_members(tmp_path):
+    import gzip
+
+    parts = foreign_arc()
+    whole = list(warc.parse_arc(b"".join(parts)))
+    for packed in (gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts)), b"".join(map(gzip.compress, parts)) + gzip.compress(b"")):
+        assert list(warc.parse_arc(packed)) == whole
+    records = [warc.to_warc(r).to_bytes() + warc.END for r in whole]
+    assert [r.block for r in warc.parse_warc(b"".join(map(gzip.compress, records)))] == [r.block for r in warc.parse_warc(b"".join(records))]
+
+
+def test_foreign_warc_headers():
+    block = b"HTTP/1.1 200 OK\r\n\r\nx"
+    data = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Target-URI: http://a/\r\nX-Long: one\r\n  two\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    (record,) = warc.parse_warc(data)
+    assert record.version == "WARC/1.0" and record.block == block
+    assert record.headers == {"WARC-Type": "response", "WARC-Target-URI": "http://a/", "X-Long": "one two"}
+    with pytest.raises(ValueError, match="no length"):
+        list(warc.parse_warc(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"))
+    with pytest.raises(ValueError, match="unfinished"):
+        list(warc.parse_warc(b"WARC/1.0\r\nWARC-Type: response\r\n"))
+    with pytest.raises(ValueError, match="no WARC version"):
+        list(warc.parse_warc(b"HTTP/1.0 200\r\n\r\n"))
+
+
+def test_conversion_of_arc_files(spark, tmp_path):
+    import gzip
+
+    source = tmp_path / "arc"
+    source.mkdir()
+    (source / "one.arc").write_bytes(b"".join(foreign_arc("1")))
+    (source / "two.arc.gz").write_bytes(b"".join(map(gzip.compress, foreign_arc("2"))))
+    (source / "notes.txt").write_text("no archive")
+    warc.convert_arc(spark, str(source), str(tmp_path / "warc"), archive_bytes=600)
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) > 2
+    for file in files:
+        # One member a record, and every file opens with its own warcinfo.
+        members = file.read_bytes().split(warc.packed(b"")[:4])[1:]
+        records = list(warc.parse_warc(gzip.decompress(file.read_bytes())))
+        assert len(members) == len(records) + 1 and records[0].headers["WARC-Type"] == "warcinfo"
+    read = warc.read_records(spark, str(tmp_path / "warc")).filter("record_type != 'warcinfo'").collect()
+    assert len(read) == 10
+    png = [r for r in read if r["url"] == "http://a/p.png"]
+    assert [(bytes(r["payload"]), r["payload_digest"], r["date"]) for r in png] == [(PNG, digest(PNG), "2001-02-03T04:05:06Z")] * 2
+    # The same records straight from the ARC files.
+    straight = warc.read_records(spark, str(source), "*.arc*").filter("record_type != 'warcinfo'").collect()
+    without_path = lambda rows: sorted(repr(tuple(r)[1:]) for r in rows)
+    assert without_path(straight) == without_path(read)
+    empty = tmp_path / "none"
+    empty.mkdir()
+    warc.convert_arc(spark, str(empty), str(tmp_path / "none.warc"))
+    assert warc.read_records(spark, str(tmp_path / "none.warc")).collect() == []
