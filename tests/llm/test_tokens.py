@@ -114,7 +114,7 @@ def test_unigram_counts_equal_the_library():
 
 def test_unigram_counts_by_all_segmentations(monkeypatch):
     scores = {b"a": -1.0, b"b": -2.0, b"ab": -2.5, b"ba": -1.5, b"aba": -4.0, b"bb": -3.9}
-    monkeypatch.setattr(token_counts, "TRIE_NODES", 20)
+    monkeypatch.setattr(token_counts, "MEMORY_ENTRIES", 20)
     counter = token_counts.UnigramCounter(scores)
 
     def best(text):  # (negative score, pieces)
@@ -135,10 +135,30 @@ def test_unigram_counts_by_all_segmentations(monkeypatch):
 
 def test_shared_prefixes_are_scored_once():
     counter = token_counts.UnigramCounter({b"a": -1.0, b"b": -1.0})
-    counter.pieces("abab")
-    before = len(counter.children)
-    counter.pieces("abaa")
-    assert len(counter.children) == before + 1
+    counter.count({"abab"})
+    assert counter.nodes_scored == 4
+    # One node for each distinct prefix, whatever their order and number.
+    counter.count({"abaa", "abba", "ab", "abbab", "b", "abab"})
+    assert counter.nodes_scored == 4 + len({"a", "ab", "aba", "abaa", "abb", "abba", "abbab", "b"})
+    counter.count({"abaa", "abba"})
+    assert counter.nodes_scored == 12
+
+
+def test_unigram_counts_of_many_pretokens_at_once():
+    """All words of a set together, against each one by itself, long and short, with several bytes a character."""
+    scores = token_counts.zipf_scores(bpe.read_ranks(RANKS))
+    rng = random.Random(31)
+    words = {w for text in some_texts(300, seed=30) for w in regex.findall(PATTERN, text)} | {"x" * 700, "漢字" * 80, "the", "there", "therein"}
+    words |= {"".join(rng.choices("aeinrst", k=rng.randint(1, 30))) for _ in range(500)}
+    together = token_counts.UnigramCounter(scores)
+    together.count(words)
+    alone = token_counts.UnigramCounter(scores)
+    assert together.known == {w: alone.pieces(w) for w in words}
+
+
+def test_a_byte_the_vocabulary_lacks_is_an_error():
+    with pytest.raises(ValueError, match="lacks a byte"):
+        token_counts.UnigramCounter({b"a": -1.0}).pieces("ab")
 
 
 def test_token_counts_of_documents(spark):
