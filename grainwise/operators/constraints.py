@@ -53,41 +53,84 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column:
     return used.join(parent.select(F.col(parent_column).alias("key")), "key", "left_anti")
 
 
-def _one_pass_rules(df: DataFrame, rules: TableRules) -> DataFrame | None:
-    counts = {("not_null", c): F.count_if(F.col(c).isNull()) for c in rules.not_null}
-    for c, (low, high) in rules.between.items():
-        counts[("between", c)] = F.count_if(~F.col(c).between(low, high))
-    if not counts:
-        return None
-    measured = df.agg(*[agg.alias(f"{kind}:{c}") for (kind, c), agg in counts.items()])
+def _labels(rules: TableRules) -> dict[str, tuple[str, str]]:
+    """(rule, columns) of everything one pass over a table measures, by the name of its count."""
+    found = {f"_null_{c}": ("not_null", c) for c in rules.not_null}
+    return found | {f"_range_{c}": ("between", c) for c in rules.between}
+
+
+def _row_counts(rules: TableRules) -> list[Column]:
+    counts = [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in rules.not_null]
+    return counts + [F.count_if(~F.col(c).between(low, high)).alias(f"_range_{c}") for c, (low, high) in rules.between.items()]
+
+
+def _totals(names: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]
+
+
+def _one_pass(df: DataFrame, rules: TableRules, parents: Mapping[str, DataFrame]) -> DataFrame | None:
+    """``(rule, columns, violations)`` of the key, its foreign keys, domains and nulls, from one scan.
+
+    Rows are collapsed to the key, and each key carries how many of them break a domain or hold a
+    null. A foreign key that is part of the key goes on from there: the same rows are
+    collapsed once more to its column, which meets the parent's keys.
+    """
+    labels = _labels(rules)
+    counts = _row_counts(rules)
+    if not rules.key:
+        if not counts:
+            return None
+        return _as_rows(df.agg(*counts), labels)
+    keys = as_list(rules.key)
+    has_null = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    surplus = F.when(has_null, F.col("_n")).otherwise(F.col("_n") - 1)
+    found = df.groupBy(*keys).agg(F.count("*").alias("_n"), *counts).withColumn("_key", surplus)
+    labels = {"_key": ("primary_key", ",".join(keys))} | labels
+    for fk in rules.foreign_keys:
+        if fk.column not in keys:
+            continue
+        names = list(labels)
+        known = parents[fk.parent].select(F.col(fk.parent_column).alias(fk.column)).distinct().withColumn("_known", F.lit(True))
+        if len(keys) > 1:
+            found = found.groupBy(*_left(keys, fk, rules)).agg(F.sum("_n").alias("_n"), *_totals(names))
+            keys = _left(keys, fk, rules)
+        orphaned = F.col("_known").isNull() & F.col(fk.column).isNotNull()
+        found = found.join(known, fk.column, "left").withColumn(f"_fk_{fk.column}", F.when(orphaned, F.col("_n")).otherwise(0)).drop("_known")
+        labels[f"_fk_{fk.column}"] = ("foreign_key", fk.column)
+    return _as_rows(found.agg(*_totals(list(labels))), labels)
+
+
+def _left(keys: Sequence[str], fk: ForeignKey, rules: TableRules) -> list[str]:
+    """Columns to collapse to before ``fk`` meets its parent: its own, and those of the foreign keys after it."""
+    later = rules.foreign_keys[rules.foreign_keys.index(fk) :]
+    return [k for k in keys if k in {f.column for f in later}]
+
+
+def _as_rows(measured: DataFrame, labels: Mapping[str, tuple[str, str]]) -> DataFrame:
     rows = [
-        F.struct(F.lit(kind).alias("rule"), F.lit(c).alias("columns"), F.col(f"`{kind}:{c}`").alias("violations"))
-        for kind, c in counts
+        F.struct(F.lit(rule).alias("rule"), F.lit(columns).alias("columns"), F.col(f"`{name}`").alias("violations"))
+        for name, (rule, columns) in labels.items()
     ]
     return measured.select(F.inline(F.array(*rows)))
 
 
 def constraint_report(tables: Mapping[str, DataFrame], rules: Mapping[str, TableRules]) -> DataFrame:
-    """``(table_name, rule, columns, violations, status)`` for every declared rule."""
-    parts = []
-
-    def add(name: str, found: DataFrame) -> None:
-        parts.append(found.select(F.lit(name).alias("table_name"), "rule", "columns", "violations"))
-
-    def labelled(found: DataFrame, rule: str, columns: str) -> DataFrame:
-        return found.select(F.lit(rule).alias("rule"), F.lit(columns).alias("columns"), "violations")
+    """``(table_name, rule, columns, violations, status)`` for every declared rule.
 
+    A table is scanned once for its key, domains, nulls and the foreign keys in its key,
+    and once for every other foreign key.
+    """
+    parts = []
     for name, rule in rules.items():
         df = tables[name]
-        if rule.key:
-            add(name, labelled(key_violations(df, rule.key), "primary_key", ",".join(rule.key)))
+        found = [_one_pass(df, rule, tables)]
         for fk in rule.foreign_keys:
+            if fk.column in rule.key:
+                continue
             orphans = orphan_keys(df, fk.column, tables[fk.parent], fk.parent_column).agg(
                 F.coalesce(F.sum("child_rows"), F.lit(0)).alias("violations")
             )
-            add(name, labelled(orphans, "foreign_key", fk.column))
-        scan = _one_pass_rules(df, rule)
-        if scan is not None:
-            add(name, scan)
+            found.append(orphans.select(F.lit("foreign_key").alias("rule"), F.lit(fk.column).alias("columns"), "violations"))
+        parts += [f.select(F.lit(name).alias("table_name"), "rule", "columns", "violations") for f in found if f is not None]
     status = F.when(F.col("violations") == 0, "PASS").otherwise("FAIL")
     return reduce(DataFrame.unionByName, parts).withColumn("status", status)

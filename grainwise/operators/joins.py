@@ -83,17 +83,31 @@ def join_many_to_one(
     return salted.join(repeated, [key, _SALT], how).drop(_SALT)
 
 
+def one_row_per_key(df: DataFrame, key: str) -> DataFrame:
+    """``df``, with the promise that ``key`` is unique checked where it is used.
+
+    Lazy and without a job of its own: the table is collapsed to the key with
+    a count, and a key that occurs twice fails the query that reads it. NULL keys match nothing
+    in a join and may repeat.
+    """
+    others = [c for c in df.columns if c != key]
+    repeated = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string"))).cast("boolean")
+    held = F.when((F.col("_n") > 1) & F.col(key).isNotNull(), repeated).otherwise(F.lit(True))
+    kept = [F.first(c).alias(c) for c in others]
+    return df.groupBy(key).agg(F.count("*").alias("_n"), *kept).where(held).select(*df.columns)
+
+
 def with_dims(fact: DataFrame, dims: dict[str, DataFrame], hot: dict[str, Sequence] | None = None) -> DataFrame:
     """Attach dimensions to a fact, each by its unique key, filters one way.
 
-    Columns that the fact already has are kept from the fact. That the keys
-    are unique is for ``constraint_report`` to verify, once per load.
+    Columns that the fact already has are kept from the fact. A dimension
+    whose key repeats would multiply the fact's rows; it fails the query instead.
     """
     hot = hot or {}
 
     def attach(acc: DataFrame, item: tuple[str, DataFrame]) -> DataFrame:
         key, dim = item
         extra = [c for c in dim.columns if c == key or c not in acc.columns]
-        return join_many_to_one(acc, dim.select(*extra), key, "left", hot.get(key, ()))
+        return join_many_to_one(acc, one_row_per_key(dim.select(*extra), key), key, "left", hot.get(key, ()))
 
     return reduce(attach, dims.items(), fact)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from ..functions.delivery import MICROS_PER_DAY
 
 
 def histogram(df: DataFrame, value: Column, width: int, name: str = "bin_start") -> DataFrame:
@@ -34,66 +33,66 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-# Bin widths of the exact median over microseconds: a day, a second, one.
-MEDIAN_WIDTHS = (MICROS_PER_DAY, 1_000_000, 1)
+# A sketch of this accuracy misses a rank by at most this share of a group's values.
+MEDIAN_ACCURACY = 10_000
+# How many times that error the bracket reaches to either side of the middle.
+MEDIAN_MARGIN = 4
 
 
 def exact_median(
     df: DataFrame,
     value: Column,
     dims: Sequence[str] = (),
-    widths: Sequence[int] = MEDIAN_WIDTHS,
     name: str = "median",
+    accuracy: int = MEDIAN_ACCURACY,
+    margin: int = MEDIAN_MARGIN,
 ) -> DataFrame:
     """Exact median of an integer-valued column, overall or per group.
 
     The built-in exact median keeps every distinct value of a group in one
-    task. Here equal values are counted first, then the one or two middle
-    ranks are narrowed down over ever finer bins: each step counts bins with a
-    map-side partial aggregate and sorts only bins (days, then the seconds of
-    one day, then the microseconds of one second). The last width must be 1.
+    task. Here a quantile sketch of bounded size finds two values of each group
+    that the middle ranks lie between, far enough apart for the sketch's error.
+    A second pass counts exactly: what lies below the bracket and above it is one
+    row per task and group, and only the values inside, a share of about 2 * ``margin`` /
+    ``accuracy``, are shuffled and ranked one by one. Should a bracket ever miss a
+    middle rank, the query fails and returns no wrong median.
+
+    Values must be whole numbers below 2**53, which a sketch holds exactly.
     """
     dims = list(dims)
-    if widths[-1] != 1:
-        raise ValueError("the finest bin of an exact median must be 1 wide")
-    counts = df.where(value.isNotNull()).groupBy(*dims, value.cast("long").alias("_v")).agg(F.count("*").alias("_n"))
-
-    def binned(width: int) -> DataFrame:
-        start = F.col("_v") - F.pmod(F.col("_v"), F.lit(width))
-        return counts.groupBy(*dims, start.alias("_bin")).agg(F.sum("_n").alias("_n"))
-
-    def pick(cumulated: DataFrame) -> DataFrame:
-        before = F.col("_upto") - F.col("_n")
-        return cumulated.where((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))).select(
-            *dims, "_which", (F.col("_rank") - before).alias("_rank"), F.col("_bin").alias("_base")
-        )
+    rows = df.where(value.isNotNull()).select(*dims, value.cast("long").alias("_v"))
+    reach = margin / accuracy
+    ends = F.percentile_approx("_v", F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), accuracy)
+    brackets = rows.groupBy(*[F.col(d).alias(f"_b_{d}") for d in dims]).agg(ends.alias("_ends"))
+    brackets = brackets.select(*[f"_b_{d}" for d in dims], F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"))
+    if dims:
+        same = F.lit(True)
+        for d in dims:
+            same = same & F.col(d).eqNullSafe(F.col(f"_b_{d}"))
+        rows = rows.join(brackets, same)
+    else:
+        # One row by construction.
+        ends = brackets.select(F.struct("_low", "_high")).scalar()
+        rows = rows.withColumn("_ends", ends).select("_v", F.col("_ends._low").alias("_low"), F.col("_ends._high").alias("_high"))
+    # -1 below the bracket, 0 inside, 1 above; only inside does the value tell rows apart.
+    zone = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
+    inside = F.when(zone == 0, F.col("_v"))
+    counts = rows.groupBy(*dims, zone.alias("_zone"), inside.alias("_at")).agg(F.count("*").alias("_n"))
 
     group = Window.partitionBy(*dims)
-    upto = F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    middle = F.array(
-        F.struct(F.lit(0).alias("w"), F.floor((F.col("_total") + 1) / 2).alias("r")),
-        F.struct(F.lit(1).alias("w"), F.floor((F.col("_total") + 2) / 2).alias("r")),
+    upto = F.sum("_n").over(group.orderBy("_zone", "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.select("*", upto.alias("_upto"), F.sum("_n").over(group).alias("_total"))
+    first, second = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))
+
+    middle = ranked.where(holds(first) | holds(second))
+    picked = middle.groupBy(*dims).agg(
+        F.sum(F.when(holds(first), F.col("_at")).otherwise(0)).alias("_first"),
+        F.sum(F.when(holds(second), F.col("_at")).otherwise(0)).alias("_second"),
+        F.count_if(F.col("_zone") != 0).alias("_missed"),
     )
-    coarse = (
-        binned(widths[0])
-        .select("*", upto.alias("_upto"), F.sum("_n").over(group).alias("_total"))
-        .select("*", F.explode(middle).alias("_m"))
-        .select("*", F.col("_m.w").alias("_which"), F.col("_m.r").alias("_rank"))
-    )
-    found = pick(coarse)
-    for wider, width in zip(widths, widths[1:]):
-        fine = binned(width).select(
-            *[F.col(d).alias(f"_b_{d}") for d in dims],
-            "_bin",
-            "_n",
-            (F.col("_bin") - F.pmod(F.col("_bin"), F.lit(wider))).alias("_parent"),
-        )
-        same = F.col("_parent") == F.col("_base")
-        for d in dims:
-            same = same & F.col(f"_b_{d}").eqNullSafe(F.col(d))
-        within = Window.partitionBy(*dims, "_which").orderBy("_bin")
-        running = F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        # Two rows per group: without groups that is a bound, so broadcast.
-        wanted = found if dims else F.broadcast(found)
-        found = pick(fine.join(wanted, same).withColumn("_upto", running))
-    return found.groupBy(*dims).agg(ratio(F.sum("_base"), F.count("*")).alias(name))
+    missed = F.raise_error(F.lit("the bracket of a median misses its middle ranks")).cast("double")
+    median = F.when(F.col("_missed") > 0, missed).otherwise(ratio(F.col("_first") + F.col("_second"), F.lit(2)))
+    return picked.select(*dims, median.alias(name))

@@ -217,6 +217,45 @@ def test_fanout_without_matches(spark):
 # constraints
 
 
+def test_a_repeated_dimension_key_fails_the_query(spark):
+    fact = spark.createDataFrame([(1, 10.0), (2, 20.0), (None, 5.0)], "seller_id int, price double")
+    sellers = spark.createDataFrame([(1, "A"), (2, "B"), (None, "C"), (None, "D")], "seller_id int, state string")
+    kept = with_dims(fact, {"seller_id": sellers})
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, 10.0, "A"), (2, 20.0, "B"), (None, 5.0, None)]))
+    doubled = with_dims(fact, {"seller_id": sellers.unionByName(spark.createDataFrame([(2, "E")], sellers.schema))})
+    for result in (doubled, doubled.groupBy("state").agg(F.sum("price"))):
+        with pytest.raises(Exception, match="seller_id is not unique: 2"):
+            result.collect()
+
+
+def test_constraints_of_composite_keys_with_references(spark):
+    """Key, references inside and outside the key, nulls and domains of one table, each against a plain count."""
+    a = spark.createDataFrame([(1,), (2,), (2,)], "a_id int")
+    b = spark.createDataFrame([(7,), (8,)], "b_id int")
+    lines = [(1, 7, 5), (1, 7, 5), (2, 9, None), (3, 8, 50), (None, 8, 1), (3, 9, 2), (4, None, 1), (4, None, -1)]
+    tables = {"a": a, "b": b, "lines": spark.createDataFrame(lines, "a_id int, b_id int, v int")}
+    rules = {
+        "a": TableRules(key=("a_id",)),
+        "b": TableRules(key=("b_id",), not_null=("b_id",)),
+        "lines": TableRules(
+            key=("a_id", "b_id"), foreign_keys=(ForeignKey("a_id", "a", "a_id"), ForeignKey("b_id", "b", "b_id")),
+            not_null=("a_id", "v"), between={"v": (0, 10)},
+        ),
+        # The same rows without a key: references have scans of their own.
+        "free": TableRules(foreign_keys=(ForeignKey("b_id", "b", "b_id"),), between={"v": (0, 10)}),
+    }
+    tables["free"] = tables["lines"]
+    found = {(r["table_name"], r["rule"], r["columns"]): r["violations"] for r in constraint_report(tables, rules).collect()}
+    assert found == {
+        ("a", "primary_key", "a_id"): 1, ("b", "primary_key", "b_id"): 0, ("b", "not_null", "b_id"): 0,
+        ("lines", "primary_key", "a_id,b_id"): 1 + 1 + 2, ("lines", "not_null", "a_id"): 1, ("lines", "not_null", "v"): 1,
+        ("lines", "between", "v"): 2, ("lines", "foreign_key", "a_id"): 4, ("lines", "foreign_key", "b_id"): 2,
+        ("free", "foreign_key", "b_id"): 2, ("free", "between", "v"): 2,
+    }
+    empty = {name: df.limit(0) for name, df in tables.items()}
+    assert {r["violations"] for r in constraint_report(empty, rules).collect()} == {0}
+
+
 def test_constraint_report(spark):
     parent = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "id int, name string")
     child = spark.createDataFrame([(1, 1, 1), (1, 2, 6), (9, 1, None), (9, 1, 5), (None, 1, 0)], "pid int, n int, score int")
@@ -396,9 +435,26 @@ def test_exact_median(spark, n):
     assert got == want
 
 
-def test_median_needs_a_finest_bin(spark):
-    with pytest.raises(ValueError):
-        exact_median(spark.range(3), F.col("id"), widths=(100, 10))
+def test_median_by_a_coarse_sketch(spark):
+    """The bracket is wide where the sketch is coarse, and the median still exact, ties and groups of all sizes included."""
+    rng = random.Random(5)
+    rows = [(rng.choice([0, rng.randrange(10**9)]), g) for g, n in (("a", 20_000), ("b", 901), ("c", 3), (None, 5_000)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "v long, g string").repartition(7)
+    got = {r["g"]: r["median"] for r in exact_median(df, F.col("v"), ["g"], accuracy=50).collect()}
+    assert got == {g: statistics.median(v for v, h in rows if h == g) for g in ("a", "b", "c", None)}
+    assert exact_median(df, F.col("v"), accuracy=50).first()["median"] == statistics.median(v for v, _ in rows)
+
+
+def test_a_bracket_that_misses_is_an_error(spark):
+    with pytest.raises(Exception, match="misses its middle"):
+        # A bracket laid beside the middle.
+        exact_median(spark.range(1000).repartition(4), F.col("id"), accuracy=10, margin=-2).collect()
+
+
+def test_median_of_nothing(spark):
+    nothing = spark.range(0)
+    assert exact_median(nothing, F.col("id")).first()["median"] is None
+    assert exact_median(nothing.withColumn("g", F.lit(1)), F.col("id"), ["g"]).collect() == []
 
 
 def test_correlation(spark):
