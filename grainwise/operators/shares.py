@@ -49,3 +49,12 @@ def cumulative_share(df: DataFrame, value: str, tiebreak: str, n: int) -> DataFr
 def step_change(df: DataFrame, order: str, value: str, name: str | None = None) -> DataFrame:
     """Difference to the row before, over a short ordinal scale such as buckets."""
     return df.withColumn(name or f"{value}_step", F.col(value) - F.lag(value).over(Window.orderBy(order)))
+
+
+def with_place(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``place``, the row's number in the given order, which must break every tie.
+
+    For written reports and check tables, whose rows are as many as their
+    groups: one task sorts them all.
+    """
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))

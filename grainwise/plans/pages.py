@@ -76,7 +76,7 @@ def monthly_trend(fct_order: DataFrame, minimum: int = MIN_MONTH_ORDERS) -> Data
 def dropped_months(fct_order: DataFrame, minimum: int = MIN_MONTH_ORDERS) -> DataFrame:
     """The months a trend leaves out, to be named under it."""
     few = too_little_volume(monthly_sales(fct_order), "orders", minimum, strict=True)
-    return few.select(F.date_format("order_month", "yyyy-MM").alias("month"), "orders")
+    return few.select(F.date_format("order_month", "yyyy-MM").alias("month"), "orders").orderBy("month")
 
 
 def peak_month(fct_order: DataFrame, minimum: int = MIN_MONTH_ORDERS) -> DataFrame:

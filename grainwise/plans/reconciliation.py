@@ -24,8 +24,15 @@ from .reports import review_by_lateness
 def reconciliation_totals(raw: RawTables, fct_order: DataFrame, fct_order_item: DataFrame) -> DataFrame:
     """One row with every total the checks compare.
 
-    The distinct count of order ids is a scan of that one column by itself.
+    The order fact is collapsed to its ids first, so that its rows and its distinct
+    ids come from one pass.
     """
+    per_order = fct_order.groupBy("order_id").agg(
+        F.count("*").alias("_rows"),
+        F.sum("product_revenue").alias("_revenue"),
+        F.sum("order_value").alias("_value"),
+        F.count_if(F.col("payment_value").isNull()).alias("_unpaid"),
+    )
     return merge_totals(
         raw.orders.agg(F.count("*").alias("raw_orders")),
         raw.order_items.agg(
@@ -33,20 +40,25 @@ def reconciliation_totals(raw: RawTables, fct_order: DataFrame, fct_order_item:
             F.sum("price").alias("raw_product_revenue"),
         ),
         raw.order_payments.agg(F.sum("payment_value").alias("raw_payment_value")),
-        fct_order.agg(
-            F.count("*").alias("fct_orders"),
-            F.sum("product_revenue").alias("fct_product_revenue"),
-            F.sum("order_value").alias("fct_order_value"),
-            F.count_if(F.col("payment_value").isNull()).alias("orders_without_payment"),
+        per_order.agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("fct_orders"),
+            F.count("order_id").alias("fct_order_ids"),
+            F.sum("_revenue").alias("fct_product_revenue"),
+            F.sum("_value").alias("fct_order_value"),
+            F.coalesce(F.sum("_unpaid"), F.lit(0)).alias("orders_without_payment"),
         ),
-        fct_order.agg(F.countDistinct("order_id").alias("fct_order_ids")),
         fct_order_item.agg(F.count("*").alias("fct_items"), F.sum("item_value").alias("fct_item_value")),
     )
 
 
-def reconciliation_checks(payment_gap: float | None = None, unpaid_orders: int | None = None) -> list[Check]:
-    """The six checks. The last two are known gaps; the arguments bound them."""
+def reconciliation_checks(
+    payment_gap: float | None = None, unpaid_orders: int | None = None, unpaid_share: float | None = None
+) -> list[Check]:
+    """The six checks. The last two are known gaps; the arguments bound them, unpaid orders by number or share."""
     gap = ratio(F.col("raw_payment_value"), F.col("fct_order_value")) - 1
+    unpaid = [F.col("orders_without_payment") <= unpaid_orders] if unpaid_orders is not None else []
+    if unpaid_share is not None:
+        unpaid.append(F.col("orders_without_payment") <= F.col("raw_orders") * F.lit(unpaid_share))
 
     def same(a: str, b: str) -> Column:
         return F.col(a).eqNullSafe(F.col(b))
@@ -101,7 +113,7 @@ def reconciliation_checks(payment_gap: float | None = None, unpaid_orders: int |
             F.col("orders_without_payment") == 0,
             "Missing upstream and left NULL, so payment measures skip the order.",
             known_gap=True,
-            gap_bound=None if unpaid_orders is None else F.col("orders_without_payment") <= unpaid_orders,
+            gap_bound=reduce(Column.__and__, unpaid) if unpaid else None,
         ),
     ]
 
@@ -112,9 +124,10 @@ def reconcile(
     fct_order_item: DataFrame,
     payment_gap: float | None = None,
     unpaid_orders: int | None = None,
+    unpaid_share: float | None = None,
 ) -> DataFrame:
     totals = reconciliation_totals(raw, fct_order, fct_order_item)
-    return run_checks(totals, reconciliation_checks(payment_gap, unpaid_orders))
+    return run_checks(totals, reconciliation_checks(payment_gap, unpaid_orders, unpaid_share))
 
 
 def order_fanout(raw: RawTables) -> DataFrame:

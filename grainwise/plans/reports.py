@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import BUCKET_LABELS, is_late, mean, rounded, whole_days_late
+from ..functions import BUCKET_LABELS, is_late, mean, ratio, rounded, whole_days_late
 from ..operators.populations import delivered_rows, is_cancelled, sales_rows
-from ..operators.totals import merge_groups
+from ..operators.shares import with_place
 from ..sources.readers import RawTables
 from .marts import DELIVERED_AT, delivered_by_order, reviews_by_order
 
@@ -27,16 +30,19 @@ def _star_share(score: int) -> Column:
 
 
 def monthly_sales(fct_order: DataFrame) -> DataFrame:
-    """``aov`` here averages orders that have a value; see the metric ``aov`` for the ratio."""
-    months = sales_rows(fct_order).groupBy("order_month")
-    return merge_groups(
-        ["order_month"],
-        months.agg(
-            F.count("*").alias("orders"),
-            _money("order_value"),
-            rounded(mean(F.col("order_value")), 2).alias("aov"),
-        ),
-        months.agg(F.countDistinct("customer_unique_id").alias("customers")),
+    """``aov`` here averages orders that have a value; see the metric ``aov`` for the ratio.
+
+    Months are worked out of the fact collapsed to month and customer, so that
+    counting customers exactly takes no second pass of the fact.
+    """
+    customers = sales_rows(fct_order).groupBy("order_month", "customer_unique_id").agg(
+        F.count("*").alias("_orders"), F.sum("order_value").alias("_value"), F.count("order_value").alias("_valued")
+    )
+    return customers.groupBy("order_month").agg(
+        F.sum("_orders").alias("orders"),
+        _money("_value"),
+        rounded(ratio(F.sum("_value"), F.sum("_valued")), 2).alias("aov"),
+        F.count("customer_unique_id").alias("customers"),
     )
 
 
@@ -121,13 +127,13 @@ def headline_from_raw(raw: RawTables) -> DataFrame:
     return _lateness_table(rows.select(late.alias("is_late"), "review_score"))
 
 
-# How each report is ordered when it is written out.
+# How each report is ordered when it is written out; the key breaks ties.
 REPORT_ORDER = {
-    "monthly_sales": [F.asc, "order_month"],
-    "category_performance": [F.desc, "revenue"],
-    "delivery_vs_review": [F.asc, "bucket_ord"],
-    "state_performance": [F.desc, "revenue"],
-    "review_by_lateness": [F.asc, "is_late"],
+    "monthly_sales": [(F.asc, "order_month")],
+    "category_performance": [(F.desc, "revenue"), (F.asc, "product_category")],
+    "delivery_vs_review": [(F.asc, "bucket_ord"), (F.asc, "delivery_bucket")],
+    "state_performance": [(F.desc, "revenue"), (F.asc, "customer_state")],
+    "review_by_lateness": [(F.asc, "is_late")],
 }
 
 
@@ -143,6 +149,18 @@ def report_tables(fct_order: DataFrame, fct_order_item: DataFrame) -> dict[str,
     return {name: in_report_order(name, df) for name, df in built.items()}
 
 
+def _order_of(name: str) -> list[Column]:
+    return [direction(column) for direction, column in REPORT_ORDER[name]]
+
+
 def in_report_order(name: str, df: DataFrame) -> DataFrame:
-    direction, column = REPORT_ORDER[name]
-    return df.orderBy(direction(column))
+    return df.orderBy(*_order_of(name))
+
+
+def places(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(report, place, row_key) of every row of the reports in their written order."""
+    parts = []
+    for name, df in tables.items():
+        key = F.col(REPORT_ORDER[name][-1][1]).cast("string").alias("row_key")
+        parts.append(with_place(df, *_order_of(name)).select(F.lit(name).alias("report"), "place", key))
+    return reduce(DataFrame.unionByName, parts)

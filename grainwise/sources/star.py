@@ -1,12 +1,17 @@
 """Adapter: the benchmark star tables in the roles of the raw tables.
 
 orders, lineitem, customer, supplier and part play orders, item lines,
-customers, sellers and products; events play payment splits; the order
-priority is the review score. README.md lists the mapping.
+customers, sellers and products. A line also is the split that pays for it, with
+interest for instalments, and lines that were not returned are reviewed, those
+delivered with an answer. So an order may have several reviews, unanswered ones or
+none, and its payments exceed its value by a little. Events of a user are the splits
+of a second parent. README.md lists the mapping.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +74,30 @@ def _orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def _payments(events: DataFrame) -> DataFrame:
+def _installments(quantity: Column) -> Column:
+    return (F.floor(quantity / 10) + 1).cast("int")
+
+
+def _payments(lineitem: DataFrame) -> DataFrame:
+    """One split per line: its value and one percent of interest for every instalment after the first."""
+    price = _money(F.col("l_extendedprice"))
+    freight = _money(F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2))
+    installments = _installments(F.col("l_quantity"))
+    factor = ((installments + 99).cast("decimal(5,0)") * F.lit(Decimal("0.01"))).cast("decimal(4,2)")
+    kind = F.when(F.col("l_returnflag") == "A", "credit").when(F.col("l_returnflag") == "N", "transfer").otherwise("voucher")
+    return lineitem.select(
+        F.col("l_orderkey").alias("order_id"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("payment_sequential"),
+        kind.alias("payment_type"),
+        installments.alias("payment_installments"),
+        _money(F.round((price + freight) * factor, 2)).alias("payment_value"),
+    )
+
+
+def payments_of_users(events: DataFrame) -> DataFrame:
+    """Events as the payment splits of customers."""
     return events.select(
-        F.col("user_id").alias("order_id"),
+        F.col("user_id").alias("customer_id"),
         F.col("event_id").alias("payment_sequential"),
         F.col("event_type").alias("payment_type"),
         (F.floor(F.col("value") / 100) + 1).cast("int").alias("payment_installments"),
@@ -79,13 +105,16 @@ def _payments(events: DataFrame) -> DataFrame:
     )
 
 
-def _reviews(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.col("o_orderkey").alias("review_id"),
-        F.col("o_orderkey").alias("order_id"),
-        F.substring("o_orderpriority", 1, 1).cast("smallint").alias("review_score"),
-        F.col("o_orderdate").alias("review_creation_date"),
-        F.col("o_orderdate").alias("review_answer_timestamp"),
+def _reviews(lineitem: DataFrame) -> DataFrame:
+    """Lines that were not returned are reviewed; those still open have no answer, and every 17th quantity no score."""
+    quantity = F.col("l_quantity").cast("int")
+    answered = F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber"))
+    return lineitem.where(F.col("l_returnflag") != "R").select(
+        (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("review_id"),
+        F.col("l_orderkey").alias("order_id"),
+        F.when(quantity % 17 != 0, quantity % 5 + 1).cast("smallint").alias("review_score"),
+        F.col("l_shipdate").alias("review_creation_date"),
+        F.when(F.col("l_linestatus") == "F", answered).alias("review_answer_timestamp"),
     )
 
 
@@ -135,8 +164,8 @@ def load_star(spark: SparkSession, root: str) -> RawTables:
     return RawTables(
         orders=_orders(t["orders"]),
         order_items=_items(t["lineitem"]),
-        order_payments=_payments(t["events"]),
-        order_reviews=_reviews(t["orders"]),
+        order_payments=_payments(t["lineitem"]),
+        order_reviews=_reviews(t["lineitem"]),
         customers=_customers(t["customer"], t["nation"]),
         sellers=_sellers(t["supplier"], t["nation"]),
         products=_products(t["part"]),

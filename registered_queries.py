@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainwise.functions import rounded
-from grainwise.operators import constraints, fanout, grain, totals
+from grainwise.operators import constraints, fanout, grain, shares, totals
 from grainwise.operators.calendar import date_dimension, fill_months
 from grainwise.operators.constraints import ForeignKey, TableRules
 from grainwise.operators.joins import with_dims
@@ -29,7 +29,7 @@ from grainwise.operators.populations import (
 from grainwise.plans import marts, metrics, pages, reports
 from grainwise.plans import reconciliation as recon
 from grainwise.sources.readers import RawTables
-from grainwise.sources.star import load_star, star_tables
+from grainwise.sources.star import load_star, payments_of_users, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,10 +181,10 @@ def payments_by_order(raw):
     return raw.orders.select("order_id").join(marts.payments_by_order(raw.order_payments), "order_id", "left")
 
 
-@query
-def payments_by_parent(raw):
-    payments = raw.order_payments.withColumnRenamed("order_id", "customer_id")
-    return marts.payments_by_order(payments, "customer_id")
+@table_query
+def payments_by_parent(t):
+    """A second parent: the splits of customers."""
+    return marts.payments_by_order(payments_of_users(t["events"]), "customer_id")
 
 
 @query
@@ -502,7 +502,23 @@ def category_lateness_split(raw):
 def reconciliation(raw):
     order = _order(raw, "order_id", "product_revenue", "order_value", "payment_value")
     items = _item(raw, "order_id", "item_value", "order_status")
-    return recon.reconcile(raw, order, items).drop("note")
+    return recon.reconcile(raw, order, items, payment_gap=0.05, unpaid_share=0.03).drop("note")
+
+
+@query
+def check_order(raw):
+    """The check table with the place of each row in its written order."""
+    order = _order(raw, "order_id", "product_revenue", "order_value", "payment_value")
+    items = _item(raw, "order_id", "item_value", "order_status")
+    found = recon.reconcile(raw, order, items, payment_gap=0.05, unpaid_share=0.03)
+    return shares.with_place(found, F.asc("ord")).select("place", "check", "status")
+
+
+@query
+def report_order(raw):
+    """The place of every row of the five reports as they are written out."""
+    tables = reports.report_tables(_order(raw), _item(raw))
+    return reports.places(tables)
 
 
 @query
@@ -534,7 +550,7 @@ def compare_delivery(raw):
 
 @query
 def reconciliation_grown_gap(raw):
-    """The checks with bounds that the benchmark's payments exceed."""
+    """The checks with bounds that the payments of lines exceed."""
     order = _order(raw, "order_id", "product_revenue", "order_value", "payment_value")
     items = _item(raw, "order_id", "item_value", "order_status")
     return recon.reconcile(raw, order, items, payment_gap=0.02, unpaid_orders=1).drop("note")
