@@ -1,4 +1,4 @@
-from .readers import RawTables, land_parquet, load_parquet, quarantined, read_csv, read_jdbc, split_quarantine
+from .readers import RawTables, land_parquet, load_parquet, oversized_files, quarantined, read_csv, read_jdbc, split_quarantine
 from .sinks import read_report, register_views, write_fact, write_report, write_table
 from .star import load_star, star_tables
 
@@ -7,6 +7,7 @@ __all__ = [
     "land_parquet",
     "load_parquet",
     "load_star",
+    "oversized_files",
     "quarantined",
     "read_csv",
     "read_jdbc",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -16,6 +17,9 @@ from ..schemas import MULTILINE_TABLES, SCHEMAS, TRIMMED_COLUMNS
 CORRUPT = "_corrupt_record"
 REJECTED = "rejected"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# A file that cannot be split should be no longer; at about 50 MB/s one task reads it in 20 seconds.
+MULTILINE_FILE_BYTES = 1 << 30
+MOST_NAMED = 20
 WHOLE = (T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -69,8 +73,8 @@ def read_csv(
 
     A record that does not fit keeps its raw text in ``_corrupt_record`` and
     NULL in the cells that failed; see :func:`split_quarantine`. A header that
-    names other columns is an error. ``files`` maps a table to its file name
-    where that is not ``<table>.csv``. Whole numbers may be written with a
+    names other columns is an error. ``files`` maps a table to its file name, folder
+    or pattern where that is not ``<table>.csv``; every file has its header. Whole numbers may be written with a
     fraction of zeros (``40.0``), as spreadsheets do; any other fraction is
     rejected with its record.
     """
@@ -106,19 +110,56 @@ def read_csv(
     return df.drop(*trimmed)
 
 
+def oversized_files(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    files: Mapping[str, str] | None = None,
+    bound: int = MULTILINE_FILE_BYTES,
+) -> DataFrame:
+    """(path, length) of the files of a table that one task has to read although they are longer than ``bound``.
+
+    Records with line breaks keep a file from being split, so each of its files is
+    one task's work, and a table in many files (a folder, or a pattern as its name) is read
+    by as many tasks. Sizes come from the file listing; no content is read. Tables without line
+    breaks have no such files.
+    """
+    name = (files or {}).get(table, f"{table}.csv")
+    listed = spark.read.format("binaryFile").load(f"{root}/{name}").select("path", "length")
+    return listed.where(F.lit(table in MULTILINE_TABLES) & (F.col("length") > bound))
+
+
+def _warn_of_long_files(spark: SparkSession, root: str, table: str, files: Mapping[str, str] | None, bound: int) -> None:
+    if table not in MULTILINE_TABLES:
+        return
+    for r in oversized_files(spark, root, table, files, bound).orderBy(F.desc("length")).limit(MOST_NAMED).collect():
+        text = f"{r['path']} holds {r['length']} bytes, which one task has to read; deliver {table} in files of at most {bound}"
+        warnings.warn(text, stacklevel=3)
+
+
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Well-formed rows without the marker column, and the rejected ones with it."""
     bad = F.col(CORRUPT).isNotNull()
     return df.where(~bad).drop(CORRUPT), df.where(bad)
 
 
-def land_parquet(spark: SparkSession, csv_root: str, out_root: str, files: Mapping[str, str] | None = None) -> None:
+def land_parquet(
+    spark: SparkSession,
+    csv_root: str,
+    out_root: str,
+    files: Mapping[str, str] | None = None,
+    multiline_bytes: int = MULTILINE_FILE_BYTES,
+) -> None:
     """Ingest every CSV table once; later jobs read splittable, prunable Parquet.
 
     One pass per table: rejected records land beside the good ones, in a
-    partition of their own that :func:`load_parquet` never opens.
+    partition of their own that :func:`load_parquet` never opens. A table may be one
+    file, a folder of files or a pattern, see ``files`` of :func:`read_csv`. A file with line
+    breaks in its records that is longer than ``multiline_bytes`` is landed whole as any other,
+    by one task, and warned of.
     """
     for table in SCHEMAS:
+        _warn_of_long_files(spark, csv_root, table, files, multiline_bytes)
         df = read_csv(spark, csv_root, table, files)
         marked = df.withColumn(REJECTED, F.col(CORRUPT).isNotNull())
         marked.write.mode("overwrite").partitionBy(REJECTED).parquet(f"{out_root}/{table}")

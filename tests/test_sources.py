@@ -7,6 +7,7 @@ from decimal import Decimal
 
 import pytest
 from fixture_tables import CUSTOMERS, ITEMS, ORDERS, PAYMENTS, item, payment, raw_tables
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.operators.checks import ChecksFailed
@@ -16,6 +17,7 @@ from grainwise.schemas import SCHEMAS
 from grainwise.sources import (
     land_parquet,
     load_parquet,
+    oversized_files,
     quarantined,
     read_csv,
     read_jdbc,
@@ -108,6 +110,39 @@ def test_landing_keeps_every_row(spark, raw, tmp_path):
     assert quarantined(spark, out, "orders").count() == 0
 
 
+def review_files(root, number):
+    """A folder of review files, each with a record that holds line breaks and quotes."""
+    root.mkdir()
+    header, *_ = REVIEWS.split("\n")
+    for n in range(number):
+        rows = [f'r{n}_{k},o{n},{k % 5 + 1},,"first line\nsecond, ""quoted"" line {n}",2018-01-01 00:00:00,2018-01-02 00:00:00' for k in range(3)]
+        (root / f"part-{n}.csv").write_text("\n".join([header, *rows]) + "\n", encoding="utf-8")
+
+
+def test_a_folder_of_review_files_is_read_by_as_many_tasks(spark, tmp_path):
+    review_files(tmp_path / "reviews", 6)
+    for name in ("reviews", "reviews/part-*.csv"):
+        df = read_csv(spark, str(tmp_path), "order_reviews", {"order_reviews": name}, keep_text=True)
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() == 6
+        good, bad = split_quarantine(df)
+        assert (good.count(), bad.count()) == (18, 0)
+        assert good.where("review_comment_message like '%\nsecond, \"quoted\" line%'").count() == 18
+
+
+def test_long_review_files_are_landed_whole_and_warned_of(spark, raw, tmp_path):
+    write_csvs(raw, tmp_path)
+    review_files(tmp_path / "reviews", 3)
+    with (tmp_path / "reviews" / "part-1.csv").open("a", encoding="utf-8") as f:
+        f.write("".join(f"x{k},o1,5,,,2018-01-01 00:00:00,\n" for k in range(200)))
+    files = {"order_reviews": "reviews"}
+    assert [r["path"].rsplit("/", 1)[1] for r in oversized_files(spark, str(tmp_path), "order_reviews", files, 1000).collect()] == ["part-1.csv"]
+    assert oversized_files(spark, str(tmp_path), "orders", None, 1).collect() == []
+    with pytest.warns(UserWarning, match="part-1.csv holds [0-9]+ bytes, which one task") as caught:
+        land_parquet(spark, str(tmp_path), str(tmp_path / "landed"), files, multiline_bytes=1000)
+    assert len([w for w in caught if "one task" in str(w.message)]) == 1
+    assert load_parquet(spark, str(tmp_path / "landed")).order_reviews.count() == 209
+
+
 def test_rejected_records_are_kept_apart(spark, raw, tmp_path):
     write_csvs(raw, tmp_path)
     with (tmp_path / "order_items.csv").open("a", encoding="utf-8") as f:
