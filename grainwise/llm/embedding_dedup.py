@@ -8,11 +8,14 @@ projection with a known probability, so the number of collisions that such a pai
 reaches with probability RECALL is known too; pairs that reach it are verified in
 double precision.
 
-Work is laid out in blocks: up to WHOLE classes of a label are one cell. Beyond
-that, the signs of a few further projections split a label into cells of about CELL
-classes, in as many different ways as make a pair of that cosine meet in one of
-them with probability RECALL; a pair counts in the first way in which it meets. Every
-cell is cut into blocks of about BLOCK classes, and each pair of blocks
+Work is laid out in cells and blocks. A cell is where all of a few random projections, cut into
+bins of a width that is a multiple of the distance of a pair at the threshold, fall into
+the same bins; how likely such a pair shares a bin does not depend on where it lies, so a
+label whose vectors have a common direction is split like any other. A label is split in as
+many ways as make the pair meet in one of them with probability MEET; a pair
+counts in the first way in which it meets. How many projections make a cell is chosen for each label and
+dimension by one rule, the least estimated work: none for all but large labels, whose one cell loses
+nothing. Every cell is cut into blocks of about BLOCK classes, and each pair of blocks
 is one task's work, so one hot label or cell spreads over many tasks. A task
 returns, for each class, how many rows it linked with and the smallest class
 it reached: one row, however many links.
@@ -37,8 +40,10 @@ RECALL = 0.9999
 PROJECTIONS = 32
 HALF_WINDOW = 0.374  # of a projection whose values have variance 1 over unit vectors
 BLOCK = 2048
-WHOLE = 32768
-CELL = 4096
+MEET = 0.999999  # of a pair at the threshold, in some cell
+BIN = 4.0  # bin width over the distance of such a pair
+COPY = 2048  # a copy of a vector costs as much as so many comparisons
+MOST_BINS = 24  # more projections never make less work
 VERIFY = 1 << 17
 
 
@@ -63,25 +68,46 @@ def least_collisions(cosine: float = COSINE, recall: float = RECALL, projections
     return projections
 
 
-def cell_plan(largest: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """(signs per cell, number of ways) for a label with ``largest`` classes; (0, 1) keeps labels whole."""
-    if largest <= WHOLE:
-        return 0, 1
-    signs = max(6, math.ceil(math.log2(largest / CELL)))
-    together = (1 - math.acos(cosine) / math.pi) ** signs
-    return signs, math.ceil(math.log(1 - recall) / math.log(1 - together))
+def same_bin_probability(ratio: float = BIN) -> float:
+    """Chance that two vectors share a bin ``ratio`` times as wide as they are apart, on a random projection with a random offset."""
+    return 2 * _normal(ratio) - 1 - 2 / (math.sqrt(2 * math.pi) * ratio) * (1 - math.exp(-ratio * ratio / 2))
+
+
+def ways_for(bins: int, meet: float = MEET) -> int:
+    """So many ways of ``bins`` projections make a pair at the threshold meet in one of them with probability ``meet``."""
+    together = same_bin_probability() ** bins
+    return 1 if bins == 0 else math.ceil(math.log(1 - meet) / math.log(1 - together))
+
+
+def cell_plan(n: int, spread: float, cosine: float = COSINE) -> int:
+    """Projections per cell for a label of ``n`` classes whose projections have standard deviation ``spread``: the least work.
+
+    A cell is taken to hold the share of classes that so many bins of a normal distribution leave together.
+    """
+    width = BIN * math.sqrt(max(2 - 2 * cosine, 1e-300))
+    kept = min(1.0, width / (max(spread, 1e-9) * math.sqrt(2 * math.pi * math.e)))
+
+    def work(bins: int) -> float:
+        return ways_for(bins) * (n * kept**bins + COPY)
+
+    return min(range(MOST_BINS + 1), key=work)
 
 
 def directions(dimensions: int, number: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(dimensions, number))
 
 
-def cells_of(unit: np.ndarray, signs: int, ways: int) -> np.ndarray:
+def cells_of(unit: np.ndarray, bins: int, ways: int, cosine: float = COSINE) -> np.ndarray:
     """The cell of every vector in every way, as a number."""
-    if signs == 0:
+    if bins == 0:
         return np.zeros((len(unit), ways), dtype=np.int64)
-    positive = unit @ directions(unit.shape[1], signs * ways, seed=2) >= 0
-    return positive.reshape(len(unit), ways, signs).astype(np.int64) @ (1 << np.arange(signs, dtype=np.int64))
+    width = BIN * math.sqrt(max(2 - 2 * cosine, 1e-300))
+    offset = np.random.default_rng(3).random(bins * ways)
+    binned = np.floor(unit @ directions(unit.shape[1], bins * ways, seed=2) / width + offset).astype(np.int64)
+    # Unit vectors reach few bins; 64 bits wrap around without harm, since equal bins stay equal.
+    factors = np.random.default_rng(4).integers(1, 1 << 62, size=bins * ways, dtype=np.int64) | 1
+    with np.errstate(over="ignore"):
+        return (binned * factors).reshape(len(unit), ways, bins).sum(axis=2)
 
 
 def collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,15 +160,15 @@ def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return low
 
 
-def _block_task(cosine: float, signs: int, ways: int):
+def _block_task(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("cid")
         vectors = np.stack(table["vector"].to_numpy(zero_copy_only=False)).astype(np.float64) if table.num_rows else np.zeros((0, 1))
         side, rows = table["side"].to_numpy(), table["rows"].to_numpy()
-        way = int(table["way"][0].as_py())
+        way, bins = int(table["way"][0].as_py()), int(table["bins"][0].as_py())
         left = np.flatnonzero(side == 0)
         right = left if table["low"][0].as_py() == table["high"][0].as_py() else np.flatnonzero(side == 1)
-        cells = cells_of(_unit(vectors), signs, ways) if way else np.zeros((len(vectors), 1), np.int64)
+        cells = cells_of(_unit(vectors), bins, ways_for(bins), cosine) if way else np.zeros((len(vectors), 1), np.int64)
         i, j = linked_pairs(vectors, left, right, cells, way, cosine)
         links = np.bincount(i, weights=rows[j], minlength=len(side)) + np.bincount(j, weights=rows[i], minlength=len(side))
         root = smallest_reached(len(side), i, j)
@@ -154,6 +180,59 @@ def _block_task(cosine: float, signs: int, ways: int):
     return run
 
 
+def _spreads(classes: DataFrame) -> DataFrame:
+    """label, dim, n, spread: how far the unit vectors of a label and dimension lie from their mean, on a projection.
+
+    Tasks send one sum of unit vectors for each label and batch.
+    """
+
+    def sums(batches):
+        for batch in batches:
+            for dim in set(batch.column("dim").to_pylist()):
+                part = pa.Table.from_batches([batch]).filter(pc.equal(batch.column("dim"), dim))
+                unit = _unit(np.stack(part["vector"].to_numpy(zero_copy_only=False)).astype(np.float64))
+                coded = part["label"].combine_chunks().dictionary_encode()
+                of = coded.indices.to_numpy()
+                total = np.zeros((len(coded.dictionary), dim))
+                np.add.at(total, of, unit)
+                number = np.bincount(of, minlength=len(total))
+                columns = [coded.dictionary, pa.array([dim] * len(total), pa.int32()), pa.array(number), pa.array(list(total), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "dim", "n", "total"])
+
+    label = classes.schema["label"].dataType.simpleString()
+    found = classes.select("label", "dim", "vector").mapInArrow(sums, f"label {label}, dim int, n bigint, total array<double>")
+    by_place = found.select("label", "dim", "n", F.posexplode("total").alias("place", "x"))
+    by_place = by_place.groupBy("label", "dim", "place").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    mean = by_place.groupBy("label", "dim").agg(F.max("n").alias("n"), F.sum((F.col("x") / F.col("n")) ** 2).alias("squared"))
+    return mean.select("label", "dim", "n", F.sqrt(F.greatest(1 - F.col("squared"), F.lit(0.0))).alias("spread"))
+
+
+def _with_cells(classes: DataFrame, cosine: float) -> DataFrame:
+    """Classes with the projections per cell of their label (bins), and a row for each way with its cell."""
+
+    def planned(batches):
+        for batch in batches:
+            bins = [cell_plan(n, s, cosine) for n, s in zip(batch.column("n").to_pylist(), batch.column("spread").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("dim"), pa.array(bins, pa.int32())], names=["label", "dim", "bins"])
+
+    label = classes.schema["label"].dataType.simpleString()
+    plans = checkpointed(_spreads(classes).mapInArrow(planned, f"label {label}, dim int, bins int"))
+
+    def with_cells(batches):
+        for batch in batches:
+            kinds = {(d, b) for d, b in zip(batch.column("dim").to_pylist(), batch.column("bins").to_pylist())}
+            for dim, bins in kinds:
+                part = pa.Table.from_batches([batch]).filter(pc.and_(pc.equal(batch.column("dim"), dim), pc.equal(batch.column("bins"), bins)))
+                unit = _unit(np.stack(part["vector"].to_numpy(zero_copy_only=False)).astype(np.float64))
+                cells = pa.array(list(cells_of(unit, bins, ways_for(bins), cosine)), type=pa.list_(pa.int64()))
+                yield from part.append_column("cells", cells).to_batches()
+
+    # A plan is one row for a label and dimension.
+    joined = classes.join(plans, ["label", "dim"]).select(*classes.columns, "bins")
+    celled = joined.mapInArrow(with_cells, _schema(joined) + ", cells array<bigint>")
+    return celled.select("*", F.posexplode("cells").alias("way", "cell")).drop("cells")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
@@ -176,23 +255,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.min("vec_id").alias("cid"), F.count("*").alias("rows"), F.first("embedding").alias("vector")
     )
     classes = checkpointed(classes.withColumn("dim", F.size("vector")))
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    signs, ways = cell_plan(largest, cosine)
-
-    if signs:
-
-        def with_cells(batches):
-            for batch in batches:
-                for dim in set(batch.column("dim").to_pylist()):
-                    part = pa.Table.from_batches([batch]).filter(pc.equal(batch.column("dim"), dim))
-                    unit = _unit(np.stack(part["vector"].to_numpy(zero_copy_only=False)).astype(np.float64))
-                    cells = pa.array(list(cells_of(unit, signs, ways)), type=pa.list_(pa.int64()))
-                    yield from part.append_column("cells", cells).to_batches()
-
-        celled = classes.mapInArrow(with_cells, _schema(classes) + ", cells array<bigint>")
-        celled = celled.select("*", F.posexplode("cells").alias("way", "cell")).drop("cells")
-    else:
-        celled = classes.withColumn("way", F.lit(0)).withColumn("cell", F.lit(0).cast("bigint"))
+    celled = _with_cells(classes, cosine)
 
     place = ["label", "dim", "way", "cell"]
     blocks = celled.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
@@ -204,7 +267,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     label = vectors.schema["label"].dataType.simpleString()
     kind = vectors.schema["vec_id"].dataType.simpleString()
     schema = f"label {label}, key_a bigint, key_b bigint, cid {kind}, links bigint, root {kind}"
-    found = dealt.groupBy(*place, "low", "high").applyInArrow(_block_task(cosine, signs, ways), schema)
+    found = dealt.groupBy(*place, "low", "high").applyInArrow(_block_task(cosine), schema)
     found = checkpointed(found)
 
     of_class = found.groupBy("label", "key_a", "key_b").agg(F.sum("links").alias("links"))

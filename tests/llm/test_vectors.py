@@ -136,8 +136,7 @@ def test_links_equal_brute_force(spark, monkeypatch, plan):
     if plan != "whole":
         monkeypatch.setattr(embedding_dedup, "BLOCK", 50)
     if plan == "cells":
-        monkeypatch.setattr(embedding_dedup, "WHOLE", 100)
-        monkeypatch.setattr(embedding_dedup, "CELL", 2)
+        monkeypatch.setattr(embedding_dedup, "cell_plan", lambda n, spread, cosine: 3)
     rows = all_rows()
     assert found_links(spark, rows) == expected_links(rows)
 
@@ -171,8 +170,46 @@ def test_the_count_is_calibrated_for_recall():
     assert (hits >= least).mean() >= 0.995
 
 
-def test_cells_make_near_pairs_meet():
-    signs, ways = embedding_dedup.cell_plan(1 << 20)
-    together = (1 - math.acos(0.93) / math.pi) ** signs
-    assert signs == 8 and 1 - (1 - together) ** ways >= embedding_dedup.RECALL
-    assert embedding_dedup.cell_plan(1000) == (0, 1)
+def near_pairs(n, dimensions, random_, mean=0.0):
+    """Unit vectors around a common direction, each with one at cosine 0.93 exactly."""
+    x = random_.normal(size=(n, dimensions)) + mean * np.eye(dimensions)[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = random_.normal(size=x.shape)
+    y -= (y * x).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    return x, 0.93 * x + math.sqrt(1 - 0.93**2) * y
+
+
+@pytest.mark.parametrize("mean", [0.0, 3.0, 12.0])
+def test_cells_make_near_pairs_meet(mean):
+    """Wherever the vectors lie: with a common direction as without."""
+    x, y = near_pairs(20_000, 64, np.random.default_rng(6), mean)
+    for bins in (1, 3, 6):
+        ways = embedding_dedup.ways_for(bins)
+        a, b = (embedding_dedup.cells_of(v, bins, ways) for v in (x, y))
+        met = a == b
+        assert (met.any(axis=1)).mean() >= 0.9999
+        assert abs(met.mean() - embedding_dedup.same_bin_probability() ** bins) < 0.02
+
+
+def test_the_plan_is_the_least_work_at_every_size():
+    plans = [embedding_dedup.cell_plan(n, 1.0) for n in (10, 30_000, 1 << 20, 1 << 24, 1 << 30)]
+    assert plans[:2] == [0, 0] and plans == sorted(plans) and plans[-1] > plans[2] > 3
+    # Vectors that hardly differ cannot be told apart by bins: their label stays one cell, in blocks.
+    assert embedding_dedup.cell_plan(1 << 20, 0.05) == 0
+
+
+def test_a_common_direction_leaves_no_hot_cell():
+    x, _ = near_pairs(20_000, 64, np.random.default_rng(7), 3.0)
+    cells = embedding_dedup.cells_of(x, 6, embedding_dedup.ways_for(6))
+    shares = [np.unique(cells[:, way], return_counts=True)[1].max() / len(x) for way in range(cells.shape[1])]
+    assert np.mean(shares) < 0.05
+
+
+def test_spreads_of_labels(spark):
+    random_ = np.random.default_rng(8)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(near_pairs(400, 16, random_, 2.0)[0])]
+    frame_ = spark.createDataFrame(rows, "vec_id long, vector array<double>, label int").selectExpr("label", "vector", "size(vector) as dim").repartition(5)
+    for r in embedding_dedup._spreads(frame_).collect():
+        own = np.array([v for _, v, label in rows if label == r["label"]])
+        assert r["n"] == 200 and r["spread"] == pytest.approx(math.sqrt(((own - own.mean(axis=0)) ** 2).sum(axis=1).mean()))
