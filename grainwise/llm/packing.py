@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .pretokens import Splitter
-from .shared import text_slices
+from .shared import text_slices, without_cycle_search
 
 SEQUENCE_TOKENS = 2048
 BLOCK_TOKENS = 1 << 19
@@ -38,7 +38,7 @@ SENTENCE_CUT = 12
 INNER_CUT = 96
 SEQUENCE_COST = 8
 LEAST_POWER = 1
-MEMORY_ENTRIES = 500_000
+MEMORY_ENTRIES = 1_000_000
 
 DOCUMENT_END, SENTENCE_END, INSIDE = 0, 1, 2
 SENTENCE_LAST = ".!?\n…。"
@@ -95,44 +95,64 @@ class IdsOfPretokens:
     def _spelled(self, text: str) -> str:
         return text.encode("utf-8").decode("latin-1").translate(self.alphabet)
 
-    def _learnt(self, pretoken: str) -> bytes:
-        """Ids of a pre-token; tokens up to which it ends in a sentence mark, in whatever tokens that lies, have ENDS_SENTENCE added."""
-        tokens = self.model.tokenize(self._spelled(pretoken))
-        ids = [token.id for token in tokens]
-        if self.mark.search(pretoken):
-            so_far = ""
-            for k, token in enumerate(tokens):
-                so_far += token.value
-                if so_far.endswith(self.spelled_marks):
-                    ids[k] += ENDS_SENTENCE
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _ids(self, block: list[str]) -> bytes:
-        """Ids of a block of pre-tokens, those not remembered yet worked out."""
-        try:
-            return b"".join(map(self.known.__getitem__, block))
-        except KeyError:
-            new = {p for p in block if p not in self.known}
-        if len(self.known) + len(new) > MEMORY_ENTRIES:
-            self.known.clear()
-            new = set(block)
-        for pretoken in new:
-            self.known[pretoken] = self._learnt(pretoken)
-        return b"".join(map(self.known.__getitem__, block))
+    def _all_spelled(self, pretokens: list[str]) -> list[str]:
+        """Pre-tokens in the vocabulary's characters, spelled in one go with a zero character between them."""
+        joined = "\0".join(pretokens)
+        if joined.count("\0") == len(pretokens) - 1:
+            return self._spelled(joined).split(self.alphabet[0])
+        return list(map(self._spelled, pretokens))
+
+    def _sentence_ends(self, spelled: str) -> list[int]:
+        """Tokens up to which a pre-token ends in a sentence mark, in whatever tokens that lies."""
+        found, so_far = [], ""
+        for k, token in enumerate(self.model.tokenize(spelled)):
+            so_far += token.value
+            if so_far.endswith(self.spelled_marks):
+                found.append(k)
+        return found
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._ids, self.splitter.blocks(text)))
+    def _learn(self, pretokens: list[str]) -> None:
+        """Remember the ids of pre-tokens; ENDS_SENTENCE is added to the id of a token at which a sentence ends."""
+        spelled = self._all_spelled(pretokens)
+        tokenize = self.model.tokenize
+        ids = [[token.id for token in tokenize(s)] for s in spelled]
+        for k, pretoken in enumerate(pretokens):
+            # Words and numbers hold no marks.
+            if not pretoken[-1].isalnum() and self.mark.search(pretoken):
+                for token in self._sentence_ends(spelled[k]):
+                    ids[k][token] += ENDS_SENTENCE
+        ends = list(accumulate(4 * len(own) for own in ids))
+        stored = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=ends[-1] // 4).tobytes()
+        self.known.update(zip(pretokens, (stored[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _parts(self, text: str) -> list[list[str] | bytes]:
+        """Pre-tokens of a text in lists, and the ids of its added tokens between them."""
+        if not any(content in text for content in self.added):
+            return list(self.splitter.blocks(text))
+        parts: list[list[str] | bytes] = []
+        for k, part in enumerate(self.any_added.split(text)):
+            # Added tokens stand at the odd places.
+            parts += [self.added[part]] if k % 2 else self.splitter.blocks(part)
+        return parts
+
+    def of_texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text, and the token offsets at which its sentences end; new pre-tokens of all are worked out together."""
+        laid_out = [self._parts(text) for text in texts]
+        met = set().union(*(part for parts in laid_out for part in parts if isinstance(part, list)))
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > MEMORY_ENTRIES:
+            # Common pre-tokens are in every slice.
+            self.known = {pretoken: self.known[pretoken] for pretoken in met.intersection(self.known)}
+        if new:
+            self._learn(list(new))
+        ids_of = self.known.__getitem__
+        for parts in laid_out:
+            found = b"".join([part if isinstance(part, bytes) else b"".join(map(ids_of, part)) for part in parts])
+            marked = np.frombuffer(found, dtype="<u4")
+            yield marked & np.uint32(ENDS_SENTENCE - 1), np.flatnonzero(marked >= ENDS_SENTENCE) + 1
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text, and the token offsets at which its sentences end."""
-        if any(content in text for content in self.added):
-            # Added tokens stand at the odd places.
-            parts = self.any_added.split(text)
-            found = b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(parts))
-        else:
-            found = self._plain(text)
-        marked = np.frombuffer(found, dtype="<u4")
-        return marked & np.uint32(ENDS_SENTENCE - 1), np.flatnonzero(marked >= ENDS_SENTENCE) + 1
+        return next(self.of_texts([text]))
 
 
 @lru_cache(maxsize=2)
@@ -141,20 +161,27 @@ def ids_of_pretokens(path: str, pattern: str, split_added: bool = False) -> IdsO
     return IdsOfPretokens(path, pattern, split_added)
 
 
+def _distinct(runs: np.ndarray) -> np.ndarray:
+    """Distinct numbers of a few runs in order, one after the other; a stable sort merges such runs."""
+    ordered = np.sort(runs, kind="stable")
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def cut_places(lengths: np.ndarray, sentence_ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Allowed cuts of a block of documents, as token offsets in order, and the kind of each."""
     stops = np.cumsum(lengths)
     starts = stops - lengths
-    inner = [ends[ends < length] + start for ends, length, start in zip(sentence_ends, lengths, starts)]
-    places = np.unique(np.concatenate([stops[lengths > 0], *inner]))
+    inner = np.concatenate([ends[ends < length] + start for ends, length, start in zip(sentence_ends, lengths, starts)] or [stops])
+    # Both are in order.
+    places = _distinct(np.concatenate([stops[lengths > 0], inner]))
     gaps = np.diff(np.concatenate([[0], places]))
     wide = np.flatnonzero(gaps > STEP)
     if len(wide):
         steps = [np.arange(places[i] - gaps[i] + STEP, places[i], STEP) for i in wide]
-        places = np.unique(np.concatenate([places, *steps]))
+        places = _distinct(np.concatenate([places, *steps]))
     kinds = np.full(len(places), INSIDE, dtype=np.int8)
-    kinds[np.isin(places, np.concatenate(inner) if inner else [])] = SENTENCE_END
-    kinds[np.isin(places, stops)] = DOCUMENT_END
+    kinds[np.searchsorted(places, inner)] = SENTENCE_END
+    kinds[np.searchsorted(places, stops[lengths > 0])] = DOCUMENT_END
     return places, kinds
 
 
@@ -181,28 +208,34 @@ def best_cuts(places: list[int], kinds: list[int], width: int = SEQUENCE_TOKENS,
     Unpadded sequences have ``least_power`` tokens at least. Equal costs resolve
     towards the earliest start of the last sequence.
     """
-    penalty = (0, SENTENCE_CUT, INNER_CUT)
     powers = [1 << k for k in range(width.bit_length()) if least_power <= 1 << k < width]
-    at = [0, *places]
-    unpadded, first = _unpadded(np.array(at, dtype=np.int64), powers)
-    cost = [0] * len(at)
-    back = [0] * len(at)
-    window: deque[tuple[int, int]] = deque([(0, 0)])
-    for i in range(1, len(at)):
-        place = at[i]
-        while at[window[0][1]] < place - width:
-            window.popleft()
-        base, origin = window[0]
-        best = base + width - place
-        for j in unpadded[first[i] : first[i + 1]]:
-            if cost[j] < best:
-                best, origin = cost[j], j
-        best += penalty[kinds[i - 1]] + SEQUENCE_COST
-        cost[i], back[i] = best, origin
+    offsets = np.array([0, *places], dtype=np.int64)
+    at = offsets.tolist()
+    unpadded, first = _unpadded(offsets, powers)
+    # What a sequence that ends at a place costs besides its padding, and where one may begin at the earliest.
+    penalty = np.array([0, SENTENCE_CUT, INNER_CUT], dtype=np.int64)[np.array(kinds, dtype=np.int64)] + SEQUENCE_COST
+    earliest = np.searchsorted(offsets, offsets[1:] - width).tolist()
+    cost, back = [0], [0]
+    # The monotone queue: values and places, from ``head`` on.
+    values, queued, head = [0], [0], 0
+    for i, place, extra, start in zip(range(1, len(at)), places, penalty.tolist(), earliest):
+        while queued[head] < start:
+            head += 1
+        origin = queued[head]
+        best = values[head] + width - place
+        if first[i] != first[i + 1]:
+            for j in unpadded[first[i] : first[i + 1]]:
+                if cost[j] < best:
+                    best, origin = cost[j], j
+        best += extra
+        cost.append(best)
+        back.append(origin)
         value = best + place
-        while window and window[-1][0] > value:
-            window.pop()
-        window.append((value, i))
+        while len(values) > head and values[-1] > value:
+            values.pop()
+            queued.pop()
+        values.append(value)
+        queued.append(i)
     cuts, head = [], len(at) - 1
     while head:
         cuts.append(at[head])
@@ -263,7 +296,8 @@ def pack_documents(
 
         def packed() -> pa.RecordBatch:
             nonlocal sequence
-            columns, used = _pack_block(block, sequence)
+            with without_cycle_search():
+                columns, used = _pack_block(block, sequence)
             sequence += used
             rows = columns.pop("row").tolist()
             arrays = [pa.array([block[r][0] for r in rows], type=kind)]
@@ -278,8 +312,9 @@ def pack_documents(
         kind = pa.int64()
         for part in text_slices(batches, "__text"):
             kind = part.column("__id").type
-            for doc_id, text in zip(part.column("__id").to_pylist(), part.column("__text").to_pylist()):
-                ids, ends = ids_of(text or "")
+            with without_cycle_search():
+                found = list(ids_of.of_texts([text or "" for text in part.column("__text").to_pylist()]))
+            for doc_id, (ids, ends) in zip(part.column("__id").to_pylist(), found):
                 block.append((doc_id, np.append(ids, np.uint32(end_id)), ends))
                 tokens += len(ids) + 1
                 if tokens >= BLOCK_TOKENS:

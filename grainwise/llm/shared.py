@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -60,6 +62,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Work that makes very many strings and lists but no reference cycles.
+
+    Python would search all of them for cycles again and again as their number grows.
+    """
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of at most SLICE_ROWS rows that hold about ``limit`` bytes of text, one row at least."""
     for batch in batches:
@@ -86,7 +103,9 @@ def map_slices(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for part in text_slices(batches, text):
-            yield function(part, state) if setup else function(part)
+            with without_cycle_search():
+                out = function(part, state) if setup else function(part)
+            yield out
 
     return df.mapInArrow(run, schema)
 
