@@ -24,6 +24,7 @@ from .words import PIECE_BYTES, string_buffers
 
 SAMPLE = 800
 SAMPLE_ROWS = 25_600
+MOST_LANGUAGES = 1_000
 BUCKETS = 1 << 12
 STEPS = 150
 PENALTY = 1e-4
@@ -73,26 +74,32 @@ def trigram_vectors(texts: pa.Array) -> np.ndarray:
     return np.sqrt(counts / np.maximum(total, 1)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """Weights and bias (last) of the squared hinge loss, both sides weighing the same, by accelerated descent."""
-    y = np.where(positive, 1.0, -1.0).astype(np.float32)
-    share = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, dtype=np.float32)
+def linear_svms(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """A column of weights and bias (last) for each column of ``positive``: the squared hinge loss, both sides weighing the same, by accelerated descent."""
+    y = np.where(positive, 1, -1).astype(np.float32)
+    per_positive = 0.5 / np.maximum(positive.sum(axis=0), 1)
+    per_negative = 0.5 / np.maximum((~positive).sum(axis=0), 1)
+    share = np.where(positive, per_positive, per_negative).astype(np.float32)
+    w = np.zeros((x.shape[1] + 1, positive.shape[1]), dtype=np.float32)
     ahead, momentum, rate = w.copy(), 1.0, 0.25
     for _ in range(STEPS):
         slack = np.maximum(1 - y * (x @ ahead[:-1] + ahead[-1]), 0) * share * y
-        slope = np.append(-2 * (slack @ x) + PENALTY * ahead[:-1], -2 * slack.sum()).astype(np.float32)
-        new = ahead - rate * slope
+        slope = np.vstack([-2 * (x.T @ slack) + PENALTY * ahead[:-1], -2 * slack.sum(axis=0)])
+        new = (ahead - rate * slope).astype(np.float32)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = new + (momentum - 1) / after * (new - w)
+        ahead = (new + (momentum - 1) / after * (new - w)).astype(np.float32)
         w, momentum = new, after
     return w
 
 
+def linear_svm(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    return linear_svms(x, positive[:, None])[:, 0]
+
+
 @dataclass
 class LanguageModel:
     families: list[list[str]] = field(default_factory=list)
-    by_family: list[np.ndarray] = field(default_factory=list)
+    by_family: np.ndarray | None = None  # a column for each family
     by_pair: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -107,7 +114,7 @@ class LanguageModel:
         score = np.ones(len(x))
         chosen = np.zeros(len(x), dtype=int)
         if len(self.families) > 1:
-            margins = np.stack([x @ w[:-1] + w[-1] for w in self.by_family], axis=1)
+            margins = (x @ self.by_family[:-1] + self.by_family[-1]).astype(np.float64)
             chosen = margins.argmax(axis=1)
             score = sure(margins.max(axis=1))
         for k, members in enumerate(self.families):
@@ -116,7 +123,7 @@ class LanguageModel:
             against = np.ones((len(rows), len(members)))
             for i, j in combinations(range(len(members)), 2):
                 w = self.by_pair[members[i], members[j]]
-                margin = x[rows] @ w[:-1] + w[-1]
+                margin = (x[rows] @ w[:-1] + w[-1]).astype(np.float64)
                 votes[:, i] += margin >= 0
                 votes[:, j] += margin < 0
                 against[:, i] = np.minimum(against[:, i], sure(margin))
@@ -135,7 +142,7 @@ def fit(x: np.ndarray, languages: list[str]) -> LanguageModel:
     named = np.array(languages)
     model = LanguageModel([grouped[f] for f in sorted(grouped)])
     if len(model.families) > 1:
-        model.by_family = [linear_svm(x, np.isin(named, members)) for members in model.families]
+        model.by_family = linear_svms(x, np.stack([np.isin(named, members) for members in model.families], axis=1))
     for members in model.families:
         for one, other in combinations(members, 2):
             rows = np.isin(named, (one, other))
@@ -149,16 +156,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> Lan
     Of more than ``rows`` / ``sample`` languages, equal parts of about ``rows``
     documents are taken. Every language with a usable document is learnt, from one at least.
     Rows of one doc_id and language count once, with the smallest text. Without
-    labelled documents there is no language to learn.
+    labelled documents there is no language to learn; more than MOST_LANGUAGES languages are an error.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(2, 4))
     usable = usable.select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").count().collect()
+    counts = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return LanguageModel()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     sample = min(sample, rows / len(counts))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     shares = docs.sparkSession.createDataFrame([(row["lang"], sample / row["count"]) for row in counts], "lang string, share double")
+    # MOST_LANGUAGES rows at most.
     drawn = usable.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).filter(F.col("text").rlike(r"\p{L}"))
     drawn = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", "text")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from zlib import crc32
 
@@ -120,6 +121,68 @@ def test_families_and_pairs():
     assert predicted == fresh and (score > 0.5).all() and (score <= 1).all()
 
 
+def plain_prediction(model, row):
+    """Family by the greatest margin, language by most votes and then the weakest win; the first among equals."""
+
+    def margin(w):
+        return float(np.dot(row, w[:-1]) + w[-1])
+
+    def sure(m):
+        return 1 / (1 + math.exp(-4 * min(max(m, -8), 8)))
+
+    score, members = 1.0, model.families[0]
+    if len(model.families) > 1:
+        margins = [margin(model.by_family[:, k]) for k in range(len(model.families))]
+        best = margins.index(max(margins))
+        score, members = sure(margins[best]), model.families[best]
+    ranked = []
+    for name in members:
+        votes, weakest = 0, 1.0
+        for other in members:
+            if other == name:
+                continue
+            first = (name, other) in model.by_pair
+            m = margin(model.by_pair[(name, other) if first else (other, name)])
+            votes += m >= 0 if first else m < 0
+            weakest = min(weakest, sure(m if first else -m))
+        ranked.append((votes + weakest / 2, weakest))
+    place = [v for v, _ in ranked].index(max(v for v, _ in ranked))
+    return members[place], score * ranked[place][1]
+
+
+def test_votes_and_margins_equal_a_plain_version():
+    random_ = np.random.default_rng(12)
+    for names in (["en", "de", "nl", "fr", "es", "it", "pt", "zz"], ["fr", "es", "it"], ["en", "fr"], ["zz"]):
+        named = [n for n in names for _ in range(15)]
+        x = random_.random((len(named), 40)).astype(np.float32) * 0.3
+        x[np.arange(len(named)), [names.index(n) for n in named]] += 1
+        model = language.fit(x, named)
+        fresh = random_.random((200, 40)).astype(np.float32)
+        predicted, score = model.predict(fresh)
+        for row, name, s in zip(fresh, predicted, score):
+            expected, sure = plain_prediction(model, row)
+            assert name == expected and s == pytest.approx(sure, rel=1e-4)
+    # Equal margins and votes everywhere: the first family, the first language.
+    model = language.LanguageModel([["aa", "bb", "cc"], ["dd"]], np.zeros((5, 2), np.float32), {p: np.zeros(5, np.float32) for p in (("aa", "bb"), ("aa", "cc"), ("bb", "cc"))})
+    assert model.predict(np.ones((3, 4), np.float32))[0] == ["aa"] * 3 and plain_prediction(model, np.ones(4))[0] == "aa"
+
+
+def test_machines_fitted_together_are_those_fitted_alone():
+    random_ = np.random.default_rng(13)
+    x = random_.normal(size=(120, 20)).astype(np.float32)
+    positive = np.stack([x[:, k] > 0.2 for k in range(5)], axis=1)
+    together = language.linear_svms(x, positive)
+    for k in range(5):
+        assert np.allclose(together[:, k], language.linear_svm(x, positive[:, k]), atol=1e-3)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some words", f"l{i % 9}") for i in range(100)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.learn(docs)
+
+
 def test_language_of_held_out_documents(spark, tables):
     from grainwise.llm.queries import op7_language_id
 
