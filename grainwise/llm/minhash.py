@@ -43,6 +43,8 @@ LIKELY = 0.63  # estimates from here on are confirmed; 0.75 less 4.25 standard d
 SHARP_HASHES = 2048  # of one bit each, for the rows of buckets that hold several components
 SHARP_LIKELY = 0.687  # 0.75 less 4.3 standard deviations of 0.0146
 MATCH_PERCENT = 75
+SET_SHINGLES = 1 << 22
+BUCKET_BLOCK = 2048
 SET_BLOCK = 512
 CHUNK = 4096
 
@@ -174,15 +176,20 @@ def estimated(left: Column, right: Column, hashes: int = HASHES, bits: int = BIT
 def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes whose full sets have 100 * intersection >= 75 * union.
 
-    Classes are dealt to blocks of about SET_BLOCK, and pairs to pairs of blocks, so
-    that a set moves once for all of its pairs there.
+    Pairs are dealt by locality: those whose first ends lie in one of the blocks of about SET_BLOCK
+    classes go together, in as many tasks as keep the sets of their second ends under
+    about SET_SHINGLES numbers. A set moves once to a task, and a class that is the first end of very many pairs
+    is spread.
     """
     pairs = checkpointed(pairs)
     ends = checkpointed(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
     sets = full_sets(docs, classes.join(ends, "class", "left_semi").select("class", "set_a", "set_b"))
     blocks = F.lit(math.ceil(ends.count() / SET_BLOCK) or 1)
-    block = lambda end: F.pmod(F.xxhash64(end), blocks)
-    placed = pairs.select("a", "b", block("a").alias("p"), block("b").alias("q"))
+    placed = pairs.select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("p"))
+    seconds = placed.select("p", F.col("b").alias("class")).distinct().join(sets.select("class", F.size("shingles").alias("n")), "class")
+    tasks = seconds.groupBy("p").agg(F.ceil(F.sum("n") / SET_SHINGLES).alias("tasks"))
+    placed = placed.join(checkpointed(tasks), "p").withColumn("q", F.pmod(F.xxhash64(F.lit(1), "b"), F.greatest("tasks", F.lit(1)))).drop("tasks")
+    placed = checkpointed(placed)
     needed = placed.select("p", "q", F.col("a").alias("class")).union(placed.select("p", "q", "b"))
     needed = needed.distinct().toDF("of_p", "of_q", "class")
 
@@ -200,30 +207,36 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
 
 
 def _open_rows(buckets: DataFrame, joined: DataFrame) -> DataFrame:
-    """(key, class, component, largest) of the buckets that hold several components; largest is that with most rows there."""
+    """(key, class, component, largest, blocks) of the buckets that hold several components; largest is that with most rows there, blocks how many parts of about BUCKET_BLOCK rows it has."""
     placed = buckets.join(joined.withColumnRenamed("id", "class"), "class", "left")
     placed = checkpointed(placed.select("key", "class", F.coalesce("component", "class").alias("component")))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    parts = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
-    open_keys = checkpointed(parts.filter("parts > 1").select("key", F.col("largest.component").alias("largest")))
+    parts = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("rows"))
+    blocks = F.ceil(F.col("rows") / BUCKET_BLOCK).cast("int").alias("blocks")
+    open_keys = checkpointed(parts.filter("parts > 1").select("key", F.col("largest.component").alias("largest"), blocks))
     return checkpointed(placed.join(open_keys, "key"))
 
 
 def _across(rows: DataFrame, signed: DataFrame, likeliest_only: bool) -> DataFrame:
-    """Likely pairs (a, b) of one bucket whose components differ; or of each class only the likeliest of every other component."""
-    rows = rows.join(signed, "class")
+    """Likely pairs (a, b) of one bucket whose components differ; or of each class only the likeliest of every other component.
+
+    The rows of a bucket are cut into blocks, and each pair of blocks is joined by itself, so that
+    a bucket of any size is spread over tasks.
+    """
+    rows = rows.join(signed, "class").withColumn("block", F.pmod(F.xxhash64("class", "key"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     one = rows.filter("component != largest").select(
-        "key", *(F.col(c).alias(n) for c, n in (("class", "a"), ("component", "part_a"), ("sharp", "sharp_a"), ("bands", "bands_a")))
+        "key", F.col("block").alias("block_a"), every.alias("block_b"), *(F.col(c).alias(n) for c, n in (("class", "a"), ("component", "part_a"), ("sharp", "sharp_a"), ("bands", "bands_a")))
     )
     any_ = rows.select(
-        "key", "largest", *(F.col(c).alias(n) for c, n in (("class", "b"), ("component", "part_b"), ("sharp", "sharp_b"), ("bands", "bands_b")))
+        "key", F.col("block").alias("block_b"), every.alias("block_a"), "largest", *(F.col(c).alias(n) for c, n in (("class", "b"), ("component", "part_b"), ("sharp", "sharp_b"), ("bands", "bands_b")))
     )
     # Two rows outside the largest component would meet twice in a bucket, and a pair in each bucket that it shares.
     once = (F.col("part_b") == F.col("largest")) | (F.col("a") < F.col("b"))
     shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
     first = shared == F.array_position("bands_a", F.col("key"))
     similarity = estimated(F.col("sharp_a"), F.col("sharp_b"), SHARP_HASHES, 1)
-    pairs = one.join(any_, "key").filter((F.col("part_a") != F.col("part_b")) & once & (similarity >= SHARP_LIKELY) & first)
+    pairs = one.join(any_, ["key", "block_a", "block_b"]).filter((F.col("part_a") != F.col("part_b")) & once & (similarity >= SHARP_LIKELY) & first)
     if likeliest_only:
         best = F.max(F.struct(similarity.alias("similarity"), "b")).alias("best")
         pairs = pairs.groupBy("a", "part_b").agg(best).select("a", F.col("best.b").alias("b"))

@@ -82,6 +82,15 @@ def test_components_equal_brute_force(spark, corpus):
     assert max(list(expected.values()).count(c) for c in set(expected.values())) > 50
 
 
+def test_buckets_and_pairs_in_many_blocks(spark, corpus, monkeypatch):
+    """Hot buckets cut into blocks, pairs dealt to many tasks: the same components."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 7)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 20)
+    monkeypatch.setattr(minhash, "SET_SHINGLES", 500)
+    found = {r["doc_id"]: r["component_id"] for r in result(spark, corpus)}
+    assert found == brute.near_duplicates(corpus)
+
+
 def test_rows_without_words_and_ids(spark):
     text = "one two three four five six seven"
     rows = [(5, text), (3, text), (None, text), (None, None), (7, None), (8, ""), (9, " \n"), (3, text)]
