@@ -7,7 +7,7 @@ to common types at the edge: decimals as doubles, whole numbers as bigints.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,10 +86,17 @@ def to_edge(df: DataFrame) -> DataFrame:
 REGISTRY: dict[str, Query] = {}
 
 
+# Tables are opened once a session and folder, as a job does that runs many queries over them.
+@lru_cache(maxsize=4)
 def _raw(spark: SparkSession, sf_dir: str) -> RawTables:
     return load_star(spark, sf_dir)
 
 
+@lru_cache(maxsize=4)
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return star_tables(spark, sf_dir)
+
+
 def query(build: Callable[[RawTables], DataFrame]) -> Callable[[RawTables], DataFrame]:
     """Register a query over the tables in their roles."""
 
@@ -106,7 +113,7 @@ def table_query(build: Callable[[dict[str, DataFrame]], DataFrame]) -> Callable[
 
     @wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return to_edge(build(star_tables(spark, sf_dir)))
+        return to_edge(build(_tables(spark, sf_dir)))
 
     REGISTRY[build.__name__] = run
     return build
