@@ -157,6 +157,52 @@ def _vector_codes_sql(rounds: int) -> str:
     """
 
 
+def _secrets_sql() -> str:
+    """Spans by splitting texts at the matches of each kind; entropy counted anew in every window."""
+    kinds = (
+        # Letters in either case, spelled out: a case-insensitive match would take in letters beyond ASCII.
+        ("assign", "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token"))
+         + """|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""".replace("\\\\", "\\"), 2, "length(part) >= 12"),
+        ("access", "AKIA[A-Z0-9]+", 0, "length(whole) >= 18"),
+        ("hex", "[0-9a-f]{16,}", 0, "true"),
+        ("entropy", "[A-Za-z0-9+/_=-]{20,}", 0, """
+            regexp_matches(whole, '[0-9]') and regexp_matches(whole, '[A-Za-z]')
+            and not regexp_matches(whole, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^(?i)sha(256|384|512)-')
+            and len(list_filter(string_split_regex(whole, '(?i)example|sample|dummy|placeholder|changeme|redacted|x{5,}|abcdefghij|0123456789|1234567890'),
+                lambda p: length(p) >= 20 and regexp_matches(p, '[0-9]') and regexp_matches(p, '[A-Za-z]')
+                    and round(list_max(list_transform(range(1, length(p) - 18), lambda s: log2(20) - list_sum(list_transform(
+                        list_distinct(string_split(substr(p, s, 20), '')),
+                        lambda c: (20 - length(replace(substr(p, s, 20), c, ''))) * log2(20 - length(replace(substr(p, s, 20), c, ''))))) / 20)), 9)
+                    >= case when regexp_matches(p, '^[0-9a-f-]+$|^[0-9A-F-]+$') then 3.0e0
+                        when regexp_matches(p, '^[0-9a-z]+$|^[0-9A-Z]+$') then 3.4e0 else 3.7e0 end)) > 0"""),
+    )
+    parts = "\nunion all ".join(
+        f"""select row, {number} as kind, '{name}' as name, whole, start, start + length(whole) as stop from (
+            select row, wholes[i] as whole, parts[i] as part,
+                coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+                    + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda x: length(x))), 0) as start
+            from (select row, regexp_extract_all(text, '{pattern}') as wholes, regexp_extract_all(text, '{pattern}', {group}) as parts,
+                    string_split_regex(text, '{pattern}') as gaps, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) as i
+                from docs where regexp_matches(text, '{pattern}'))
+        ) where {kept}"""
+        for number, (name, pattern, group, kept) in enumerate(kinds)
+    )
+    listed = "string_agg(name || ':' || start || ':' || stop, ',' order by start, kind)"
+    return f"""
+        with docs as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+        spans as ({parts}),
+        summed as (
+            select row, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access,
+                count(*) filter (where kind = 2) as n_hex, count(*) filter (where kind = 3) as n_entropy,
+                {listed.replace(")", ") filter (where kind < 3)")} as base, {listed} as listed
+            from spans group by row
+        )
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+            sha256(coalesce(base, '')) as base_sha256, coalesce(listed, '') as spans, coalesce(n_entropy, 0) as n_entropy
+        from docs left join summed on summed.row = docs.row
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
         with recursive words as (
@@ -188,6 +234,7 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept
         from sets join smallest on smallest.id = doc_id
     """,
+    "op6_secret_scan": _secrets_sql(),
     "op8_exact_topk": """
         with usable as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v

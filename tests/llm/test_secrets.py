@@ -84,3 +84,16 @@ def test_no_python_and_no_shuffle(docs, spark):
     for df in (secrets.scan_secrets(real), secrets.mask_secrets(real)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_scan_equals_its_sql(docs, spark, tmp_path):
+    """A second derivation, in another engine: the query over a folder of odd texts, and its SQL."""
+    import duckdb
+    import oracle
+
+    from grainwise.llm import queries
+
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.difference(queries.op6_secret_scan(spark, str(tmp_path)), con, queries.ORACLE_SQL["op6_secret_scan"]) is None
