@@ -10,7 +10,8 @@ factors, in time linear in the features by
 
 The machine is fitted on the driver to a sample of at most SAMPLE labelled
 documents, those with the smallest hash of their ids; the model has a fixed size and
-every whole text is scored.
+every whole text is scored. A document comes to the driver as its features, FEATURES pairs of 8 bytes
+at most, so the sample takes 0.8 GB if every document has all words; measured, 16 MB.
 """
 
 from __future__ import annotations
