@@ -75,7 +75,7 @@ def test_stages_on_an_empty_table_and_odd_rows(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
